@@ -51,7 +51,7 @@ def load_all() -> None:
         importlib.import_module(f"matchlens.plans.{module}")
 
 
-MODULES = ["season"]
+MODULES = ["season", "standings", "people"]
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

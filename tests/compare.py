@@ -1,6 +1,6 @@
 """Run registered queries in Spark and their check SQL in DuckDB, and compare all rows.
 
-Usage: python tests/compare.py [sf_dir] [name-substring ...]
+Usage: python tests/compare.py [sf_dir] [name-substring | @module ...]
 """
 
 from __future__ import annotations
@@ -67,7 +67,8 @@ def main(argv: list[str]) -> int:
     bad = 0
     checks = catalog.check_queries()
     for name, run in catalog.spark_queries().items():
-        if wanted and not any(w in name for w in wanted):
+        module = catalog.PLANS[name].__module__.rsplit(".", 1)[-1]
+        if wanted and not any(w in name or w == f"@{module}" for w in wanted):
             continue
         began = time.time()
         try:
