@@ -193,7 +193,8 @@ def sides(t: Tables, season: int | None = None) -> DataFrame:
 
 def events_with_sides(t: Tables, season: int | None = None) -> DataFrame:
     """Events with their contest's home and away team, partitioned by (contest, set)."""
-    return by_set(one_season(t.pbp_events, season).join(sides(t, season), "contest_id"))
+    both = t.sized_like("contests", sides(t, season))
+    return by_set(one_season(t.pbp_events, season).join(both, "contest_id"))
 
 
 def rallies(t: Tables, season: int | None = None) -> DataFrame:
@@ -293,7 +294,7 @@ def season_rollup(t: Tables, season: int | None = None) -> DataFrame:
     both = seen.select("season", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).groupBy("season", "team_id").agg(
         F.count(F.lit(1)).alias("matches_with_pbp")
     )
-    six = both.filter(F.col("team_id").isNotNull()).select("season", "team_id", "matches_with_pbp", F.explode(F.sequence(F.lit(1), F.lit(6))).cast("int").alias("rotation"))
+    six = both.filter(F.col("team_id").isNotNull()).select("season", "team_id", "matches_with_pbp", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("rotation"))
     return six.join(counts, ["season", "team_id", "rotation"], "left").na.fill(0, list(ROTATION_FIELDS))
 
 

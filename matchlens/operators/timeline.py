@@ -206,3 +206,17 @@ def stoppages(t: Tables, season: int | None = None) -> DataFrame:
         .filter(F.size("p") > 0)
         .select("season", *SET, "seq", "team_id", F.array_join(F.transform("p", lambda x: x["player_name"]), "; ").alias("players"))
     )
+
+
+def matches_on(t: Tables, team_id: int, date: str, opponent_id: int | None = None, season: int | None = None) -> DataFrame:
+    """A team's matches on a day, optionally against one opponent."""
+    from matchlens.tables import one_season
+
+    plays = lambda x: (F.col("home_team_id") == x) | (F.col("away_team_id") == x)
+    games = one_season(t.contests, season).filter(F.col("date").startswith(date) & plays(team_id))
+    return games if opponent_id is None else games.filter(plays(opponent_id))
+
+
+def match_report(t: Tables, team_id: int, date: str, opponent_id: int | None = None, season: int | None = None) -> DataFrame:
+    """Momentum of the sets of one team's matches on a day."""
+    return momentum(t, season).join(matches_on(t, team_id, date, opponent_id, season).select("contest_id"), "contest_id", "left_semi")
