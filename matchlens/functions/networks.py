@@ -14,45 +14,48 @@ STATE_THEN_CITY = r"^[A-Z]{2}\s*\|"
 HOST_ONLY = r"^[a-z0-9][a-z0-9.-]*\.[a-z]{2,}$"
 
 
-def _affiliate(raw: Column) -> Column:
-    """Parent network of a local station: the network's word plus a call sign, place or channel."""
-    upper = F.upper(raw)
+def _texts(values) -> Column:
+    return F.array(*[F.lit(v).cast("string") for v in values])
+
+
+def _first_rule(text: Column, patterns: Column) -> Column:
+    """1-based number of the first pattern found in a text. The text is named once, which keeps the
+    expression small however long the list of rules is."""
+    hits = F.filter(F.transform(patterns, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda r: F.regexp_like(text, r["p"]))
+    return F.try_element_at(hits, F.lit(1))["i"]
+
+
+def _labels(channels: DataFrame, label: str, logo: str) -> DataFrame:
+    raw, low = F.col("_raw"), F.lower("_raw")
+    words = _texts(rf"\b{w}\d*\b" for w, _ in AFFILIATED_NETWORKS)
+    numbered = _texts(rf"\b{w}\s?\d{{1,2}}\b" for w, _ in AFFILIATED_NETWORKS)
     station = raw.rlike(CALL_SIGN) | raw.rlike(STATE_THEN_CITY)
-    out = F.lit(None).cast("string")
-    for word, label in reversed(AFFILIATED_NETWORKS):
-        named = upper.rlike(rf"\b{word}\d*\b")
-        out = F.when(named & (station | upper.rlike(rf"\b{word}\s?\d{{1,2}}\b")), label).otherwise(out)
-    return out
+    dropped = F.exists(_texts(DROPPED_CHANNELS), lambda x: F.contains(low, x))
+    # A station is local when it has a call sign, a place or a channel number beside its network.
+    parent_no = F.when(station, _first_rule(F.upper(raw), words)).otherwise(_first_rule(F.upper(raw), numbered))
+    host = low.rlike(HOST_ONLY) & ~F.contains(low, F.lit("urldefense."))
+    pick = lambda values, no: F.when(F.col(no).isNotNull(), F.try_element_at(_texts(values), F.col(no)))
+    return (
+        channels.withColumn("_parent_no", parent_no)
+        .withColumn("_parent", pick([n for _, n in AFFILIATED_NETWORKS], "_parent_no"))
+        .withColumn("_rule", _first_rule(F.coalesce("_parent", "_raw"), _texts(f"(?i){r[0]}" for r in NETWORK_RULES)))
+        .select(
+            "_raw",
+            F.when(~dropped, F.coalesce(pick([r[1] for r in NETWORK_RULES], "_rule"), F.col("_parent"), F.when(host, "Web stream"))).alias(label),
+            F.when(~dropped, pick([r[2] for r in NETWORK_RULES], "_rule")).alias(logo),
+        )
+    )
 
 
 def with_network(df: DataFrame, channel: str, label: str = "network", logo: str = "logo_key") -> DataFrame:
     """Add the label and logo of a channel text; both NULL when it is not to be listed.
 
     Order matters: dropped texts, then local stations as their parent, then the rules, then a bare
-    host name as a web stream. The steps are columns of their own so that each is worked out once.
+    host name as a web stream. Channel texts repeat, so each distinct one is worked out once.
     """
-    low = F.lower("_raw")
-    dropped = F.lit(False)
-    for text in DROPPED_CHANNELS:
-        dropped = dropped | F.contains(low, F.lit(text))
-    rule = F.lit(None).cast("int")
-    for i in range(len(NETWORK_RULES), 0, -1):
-        rule = F.when(F.col("_source").rlike(f"(?i){NETWORK_RULES[i - 1][0]}"), i).otherwise(rule)
-    host = low.rlike(HOST_ONLY) & ~F.contains(low, F.lit("urldefense."))
-    labels = F.array(*[F.lit(r[1]) for r in NETWORK_RULES])
-    logos = F.array(*[F.lit(r[2]).cast("string") for r in NETWORK_RULES])
-    return (
-        df.withColumn("_raw", F.nullif(F.trim(F.col(channel)), F.lit("")))
-        .withColumn("_parent", _affiliate(F.col("_raw")))
-        .withColumn("_source", F.when(~dropped, F.coalesce("_parent", "_raw")))
-        .withColumn("_rule", rule)
-        .withColumns({
-            label: F.when(F.col("_source").isNotNull(), F.coalesce(
-                F.element_at(labels, F.col("_rule")), F.col("_parent"), F.when(host, "Web stream"))),
-            logo: F.element_at(logos, F.col("_rule")),
-        })
-        .drop("_raw", "_parent", "_source", "_rule")
-    )
+    keyed = df.withColumn("_raw", F.nullif(F.trim(F.col(channel)), F.lit("")))
+    known = _labels(keyed.select("_raw").filter("_raw is not null").distinct(), label, logo)
+    return keyed.join(known, "_raw", "left").drop("_raw")
 
 
 def clean_title(col: Column | str) -> Column:

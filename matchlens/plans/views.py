@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from matchlens.sources.adapter import PER_SEASON, PORTABLE, RAW
+from matchlens.sources.staged import STAGED
 
 _SEASONS = "(select distinct cast(year(o_orderdate) as int) as season from orders)"
 
@@ -17,7 +18,7 @@ def _seasoned(name: str, rows: str) -> str:
     return PER_SEASON[name].replace("{season_rows}", rows)
 
 
-VIEWS: dict[str, str] = {n: _plain(s) for n, s in PORTABLE.items()}
+VIEWS: dict[str, str] = {n: _plain(s) for n, s in (PORTABLE | STAGED).items()}
 VIEWS |= {
     "seasons": _SEASONS.strip("()"),
     "teams": """
@@ -71,14 +72,16 @@ def check_sql(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` preceded by the views it uses, directly or through others, as one statement."""
     library = VIEWS | (extra or {})
     wanted: list[str] = []
+    seen: set[str] = set()
 
-    def visit(text: str, seen: tuple[str, ...]) -> None:
-        for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", text)):
-            if word in library and word not in wanted and word not in seen:
-                visit(library[word], (*seen, word))
+    def visit(text: str) -> None:
+        for word in re.findall(r"[a-z_][a-z0-9_]*", text):
+            if word in library and word not in seen:
+                seen.add(word)
+                visit(library[word])
                 wanted.append(word)
 
-    visit(body, ())
+    visit(body)
     if not wanted:
         return body
     parts = ",\n".join(f"{n} as ({library[n].strip()})" for n in wanted)

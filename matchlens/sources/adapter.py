@@ -8,10 +8,13 @@ regions the conferences and user events the play-by-play. Texts in ``PORTABLE``
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.operators.prefix import running_by_chunk
+from matchlens.sources.staged import STAGED
 from matchlens.tables import Tables
 
 RAW = (
@@ -35,7 +38,7 @@ PORTABLE: dict[str, str] = {
           case when o_orderstatus = 'P' then null when o_orderkey % 2 = 1 then 3
                else cast(o_orderkey % 3 as int) end as away_sets_won,
           case when o_orderkey % 3 = 0 then concat('g', cast(o_orderkey as string)) end as ncaa_game_id,
-          cast(cast(o_totalprice as int) % 5000 as int) as attendance
+          cast(cast(floor(o_totalprice) as int) % 5000 as int) as attendance
         from {orders} join {customer} on c_custkey = o_custkey""",
     "ranking_weeks": """
         select '01' as m union all select '05' union all select '09'""",
@@ -124,9 +127,8 @@ PER_SEASON: dict[str, str] = {
 
 
 def _portable(t: Tables, name: str) -> DataFrame:
-    text = PORTABLE[name]
-    used = {n: t[n] for n in (*RAW, *PORTABLE) if "{" + n + "}" in text}
-    return t.spark.sql(text, **used)
+    text = (PORTABLE | STAGED)[name]
+    return t.spark.sql(text, **{n: t[n] for n in re.findall(r"\{(\w+)\}", text)})
 
 
 def _per_season(name: str, base: str, months: bool = False) -> object:
@@ -256,7 +258,7 @@ def _starters(t: Tables) -> DataFrame:
 def adapted_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All tables over the Parquet files of one test-data directory."""
     makers: dict = {n: (lambda t, _n=n: t.spark.read.parquet(f"{sf_dir}/{_n}.parquet")) for n in RAW}
-    makers |= {n: (lambda t, _n=n: _portable(t, _n)) for n in PORTABLE if n != "ranking_weeks"}
+    makers |= {n: (lambda t, _n=n: _portable(t, _n)) for n in (*PORTABLE, *STAGED) if n != "ranking_weeks"}
     makers |= {
         "teams": _teams,
         "contests": _contests,
