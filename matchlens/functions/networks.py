@@ -14,37 +14,30 @@ STATE_THEN_CITY = r"^[A-Z]{2}\s*\|"
 HOST_ONLY = r"^[a-z0-9][a-z0-9.-]*\.[a-z]{2,}$"
 
 
-def _texts(values) -> Column:
-    return F.array(*[F.lit(v).cast("string") for v in values])
-
-
-def _first_rule(text: Column, patterns: Column) -> Column:
-    """1-based number of the first pattern found in a text. The text is named once, which keeps the
-    expression small however long the list of rules is."""
-    hits = F.filter(F.transform(patterns, lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda r: F.regexp_like(text, r["p"]))
-    return F.try_element_at(hits, F.lit(1))["i"]
+def _rules(rules: list[dict]) -> Column:
+    """One row per rule, in order."""
+    return F.explode(F.array(*[
+        F.struct(F.lit(i).alias("no"), *[F.lit(v).cast("string").alias(k) for k, v in r.items()]) for i, r in enumerate(rules)
+    ]))
 
 
 def _labels(channels: DataFrame, label: str, logo: str) -> DataFrame:
-    raw, low = F.col("_raw"), F.lower("_raw")
-    words = _texts(rf"\b{w}\d*\b" for w, _ in AFFILIATED_NETWORKS)
-    numbered = _texts(rf"\b{w}\s?\d{{1,2}}\b" for w, _ in AFFILIATED_NETWORKS)
-    station = raw.rlike(CALL_SIGN) | raw.rlike(STATE_THEN_CITY)
-    dropped = F.exists(_texts(DROPPED_CHANNELS), lambda x: F.contains(low, x))
+    """Label and logo per distinct channel text: the first rule that fits, by two small aggregates."""
+    nets = [{"word": rf"\b{w}\d*\b", "numbered": rf"\b{w}\s?\d{{1,2}}\b", "net": n} for w, n in AFFILIATED_NETWORKS]
+    upper = F.upper("_raw")
     # A station is local when it has a call sign, a place or a channel number beside its network.
-    parent_no = F.when(station, _first_rule(F.upper(raw), words)).otherwise(_first_rule(F.upper(raw), numbered))
+    station = F.col("_raw").rlike(CALL_SIGN) | F.col("_raw").rlike(STATE_THEN_CITY)
+    local = F.regexp_like(upper, F.col("n.word")) & (station | F.regexp_like(upper, F.col("n.numbered")))
+    parents = channels.withColumn("n", _rules(nets)).groupBy("_raw").agg(F.min(F.when(local, F.struct("n.no", "n.net"))).alias("p"))
+    rules = [{"pattern": f"(?i){p}", "label": name, "logo": key} for p, name, key in NETWORK_RULES]
+    source = F.coalesce("p.net", "_raw")
+    found = parents.withColumn("r", _rules(rules)).groupBy("_raw", "p").agg(
+        F.min(F.when(F.regexp_like(source, F.col("r.pattern")), F.struct("r.no", "r.label", "r.logo"))).alias("r"))
+    low = F.lower("_raw")
+    dropped = F.exists(F.array(*[F.lit(x) for x in DROPPED_CHANNELS]), lambda x: F.contains(low, x))
     host = low.rlike(HOST_ONLY) & ~F.contains(low, F.lit("urldefense."))
-    pick = lambda values, no: F.when(F.col(no).isNotNull(), F.try_element_at(_texts(values), F.col(no)))
-    return (
-        channels.withColumn("_parent_no", parent_no)
-        .withColumn("_parent", pick([n for _, n in AFFILIATED_NETWORKS], "_parent_no"))
-        .withColumn("_rule", _first_rule(F.coalesce("_parent", "_raw"), _texts(f"(?i){r[0]}" for r in NETWORK_RULES)))
-        .select(
-            "_raw",
-            F.when(~dropped, F.coalesce(pick([r[1] for r in NETWORK_RULES], "_rule"), F.col("_parent"), F.when(host, "Web stream"))).alias(label),
-            F.when(~dropped, pick([r[2] for r in NETWORK_RULES], "_rule")).alias(logo),
-        )
-    )
+    return found.select(
+        "_raw", F.when(~dropped, F.coalesce("r.label", "p.net", F.when(host, "Web stream"))).alias(label), F.when(~dropped, F.col("r.logo")).alias(logo))
 
 
 def with_network(df: DataFrame, channel: str, label: str = "network", logo: str = "logo_key") -> DataFrame:

@@ -44,23 +44,16 @@ def num_int(col: Column | str) -> Column:
     return num(col).cast("bigint")
 
 
-def _recoded(col: Column, latin: Column, allowed: str) -> Column:
-    """Text whose characters, taken as bytes, form valid UTF-8 — read that way; else NULL."""
-    fits = col.rlike(allowed)
-    raw = F.encode(F.when(fits, latin), "ISO-8859-1")
-    return F.when(fits & F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8"))
-
-
 def fix_mojibake(col: Column | str) -> Column:
     """Undo UTF-8 that was read as Latin-1 or code page 1252; other text stays as it is.
 
-    Plain ASCII cannot be affected and skips the work.
+    The characters, taken as bytes of either code page, must form valid UTF-8. Real accented text
+    does not, and plain ASCII comes out unchanged.
     """
     col = _c(col)
-    once = _recoded(col, col, r"^[\x00-\xFF]*$")
-    cp = _recoded(col, F.translate(col, CP1252_CHARS, CP1252_BYTES), rf"^[\x00-\x7F\xA0-\xFF{CP1252_CHARS}]*$")
-    fixed = F.coalesce(F.when(once != col, once), F.when(cp != col, cp), col)
-    return F.when(col.rlike(r"[^\x00-\x7F]"), fixed).otherwise(col)
+    fits = col.rlike(rf"^(?:[\x00-\xFF]*|[\x00-\x7F\xA0-\xFF{CP1252_CHARS}]*)$")
+    raw = F.encode(F.when(fits, F.translate(col, CP1252_CHARS, CP1252_BYTES)), "ISO-8859-1")
+    return F.coalesce(F.try_validate_utf8(raw.cast("string")), col)
 
 
 @F.pandas_udf(StringType())

@@ -32,19 +32,15 @@ def team_keys(t: Tables, *keys: Column, short_first: bool = False) -> DataFrame:
 def resolve_team(df: DataFrame, t: Tables, text: str, out: str, *, by_slug: bool = False, short_first: bool = False) -> DataFrame:
     """Add ``out``: the team a text means, by its key (or by slug first, then key).
 
-    The text should be cleaned of prefixes before. Distinct texts are resolved, then joined back.
+    The text should be cleaned of prefixes before. Each distinct text is resolved once.
     """
     spelled = F.col("spelling")
-    if by_slug:
-        known = t.sized_like("teams", team_keys(t, school_slug(spelled), school_key(spelled), short_first=short_first))
-        tiers = (("_slug", school_slug(F.col(text))), ("_key", school_key(F.col(text))))
-    else:
-        known = t.sized_like("teams", team_keys(t, school_key(spelled), short_first=short_first))
-        tiers = (("_key", school_key(F.col(text))),)
-    for name, key in tiers:
-        df = df.withColumn(name, F.nullif(key, F.lit("")))
-        df = df.join(known.select(F.col("key").alias(name), F.col("found_team_id").alias(f"{name}_id")), name, "left")
-    return df.withColumn(out, F.coalesce(*[F.col(f"{n}_id") for n, _ in tiers])).drop(*[c for n, _ in tiers for c in (n, f"{n}_id")])
+    kinds = {"_slug": school_slug, "_key": school_key} if by_slug else {"_key": school_key}
+    known = t.sized_like("teams", team_keys(t, *[f(spelled) for f in kinds.values()], short_first=short_first))
+    texts = df.select(text).filter(F.col(text).isNotNull()).distinct().withColumns({n: f(text) for n, f in kinds.items()})
+    for name in kinds:
+        texts = texts.join(known.select(F.col("key").alias(name), F.col("found_team_id").alias(f"{name}_id")), name, "left")
+    return df.join(texts.select(text, F.coalesce(*[F.col(f"{n}_id") for n in kinds]).alias(out)), text, "left")
 
 
 def find_team(t: Tables, text: str) -> DataFrame:

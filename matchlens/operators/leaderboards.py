@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.constants import (
     API_LIMIT, GAME_STATS, LEADER_COMPONENTS, QUALIFIER_QUANTILE, QUALIFIERS, SEASON_STATS, TOOL_LIMIT,
 )
@@ -105,7 +106,7 @@ def fantasy_leaderboard(
     order = [directed("value"), F.col("player_id")]
     return top_per(rows, _keys(scope), order, clamp_limit(limit, API_LIMIT), offset).select(
         *_keys(scope), "rank", "player_id", "name", "team", "conference", "position", F.col("gp").alias("games"),
-        F.col("sp").alias("sets"), F.round("value", 2).alias("value"),
+        F.col("sp").alias("sets"), round_to("value", 2).alias("value"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.constants import TOOL_LIMIT
 from matchlens.functions.predicates import contains, roster_filters
 from matchlens.operators.conference import team_seasons
@@ -86,3 +87,72 @@ def signups_by_day(t: Tables) -> DataFrame:
     days = daily.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
     out = days.join(daily, "date", "left").withColumn("new", F.coalesce("new", F.lit(0)))
     return out.withColumn("cumulative", F.sum("new").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def game_log(t: Tables, season: int | None = None) -> DataFrame:
+    """Every player's matches with date, week, opponent, points and play-by-play counts."""
+    from matchlens.operators.rally import player_pbp
+    from matchlens.operators.totals import fantasy_points
+    from matchlens.operators.weeks import contest_week_ids
+
+    games = one_season(t.contests, season).select("contest_id", "date", "home_team_id", "away_team_id")
+    weeks = contest_week_ids(t, season).select("contest_id", "week_number")
+    pbp = player_pbp(one_season(t.pbp_events, season), ["contest_id", "player_id"])
+    names = t.dim("teams").select(F.col("id").alias("opponent_id"), F.col("name").alias("opponent"), F.col("short_name").alias("opponent_short"))
+    rows = one_season(t.player_game_stats, season).join(games.join(weeks, "contest_id", "left"), "contest_id", "left")
+    rows = rows.withColumns({
+        "opponent_id": F.when(F.col("team_id") == F.col("away_team_id"), F.col("home_team_id")).otherwise(F.col("away_team_id")),
+        "fantasy_points": round_to(fantasy_points(), 2), "total_blocks": F.coalesce("block_solos", F.lit(0.0)) + F.coalesce("block_assists", F.lit(0.0)),
+    })
+    return rows.join(names, "opponent_id", "left").join(pbp, ["contest_id", "player_id"], "left")
+
+
+def team_player_table(t: Tables, season: int | None = None, week: int | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """Every rostered player's line on the roster's team, by season or for one week; players without
+    a match keep a row."""
+    from matchlens.operators.rally import player_pbp, season_pbp
+    from matchlens.operators.totals import fantasy_points, season_totals, week_totals
+    from matchlens.operators.weeks import contest_week_ids
+
+    keys = ["player_id", "season"]
+    if week is None:
+        lines, pbp = season_totals(t.player_game_stats, season).drop("team_id"), season_pbp(t, season)
+    else:
+        lines = week_totals(t, season, week).drop("week_number")
+        within = contest_week_ids(t, season).filter(F.col("week_number") == week).select("contest_id")
+        pbp = player_pbp(one_season(t.pbp_events, season).join(within, "contest_id", "left_semi"), ["season", "player_id"])
+        pct = F.when(F.col("set_attempts") > 0, F.col("assists") / F.col("set_attempts"))
+        pbp = pbp.join(lines.select(*keys, "assists"), keys, "left").withColumn("assist_pct", pct).drop("assists")
+    people = one_season(t.players, season).select(F.col("id").alias("player_id"), "season", "team_id", "name", "number", "position", "class_year", "height_inches")
+    rows = people.join(lines, keys, "left").join(pbp, keys, "left")
+    points = round_to(fantasy_points(weights), 2)
+    return rows.withColumn("fantasy_points", points if week is None else F.when(F.col("gp").isNotNull(), points)).withColumnsRenamed({"gp": "games", "sp": "sets"})
+
+
+def team_rosters(t: Tables, season: int | None = None) -> DataFrame:
+    """Players of every team in order of number."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("season", "team_id").orderBy(F.asc_nulls_last("number"), F.col("id")))
+    return one_season(t.players, season).withColumn("place", place).withColumnRenamed("id", "player_id")
+
+
+def box_totals(t: Tables, season: int | None = None) -> DataFrame:
+    """Team line of a box score: sums, NULL where nobody has the counter; sets as the most of any player."""
+    from matchlens.tables import COUNTERS
+
+    sums = one_season(t.player_game_stats, season).groupBy("contest_id", "team_id").agg(F.max("sets").alias("sets"), *[F.sum(c).alias(c) for c in COUNTERS])
+    zero = F.lit(0.0)
+    blocks = F.coalesce("block_solos", zero) + F.coalesce("block_assists", zero) / 2.0
+    return sums.withColumn("team_blocks", F.when(F.col("block_solos").isNotNull() | F.col("block_assists").isNotNull(), blocks))
+
+
+def game_leaders(t: Tables, season: int | None = None) -> DataFrame:
+    """Best player of each side of a match in points, kills, assists, digs and blocks."""
+    zero = F.lit(0.0)
+    values = {c: F.coalesce(F.col(c), zero) for c in ("pts", "kills", "assists", "digs")}
+    values["blocks"] = F.coalesce("block_solos", zero) + F.coalesce("block_assists", zero)
+    best = one_season(t.player_game_stats, season).groupBy("contest_id", "team_id").agg(
+        *[F.max(F.struct(v.alias("value"), (-F.col("player_id")).alias("p"))).alias(c) for c, v in values.items()])
+    rows = best.select("contest_id", "team_id", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("b")) for c in values])).alias("x"))
+    return rows.select("contest_id", "team_id", "x.category", (-F.col("x.b.p")).alias("player_id"), F.col("x.b.value").alias("value")).filter("value > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.constants import CLASS_ORDINALS, DOMESTIC_TAILS, TRANSFER_SORTS
 from matchlens.functions.predicates import is_international
 from matchlens.functions.text import normalize_class
@@ -37,7 +38,7 @@ def team_heights(
     ).agg(F.count("height_inches").alias("players_measured"), F.avg("height_inches").alias("avg_h"), F.max("height_inches").alias("max_h"))
     key = "avg_h" if sort_by == "avg_height" else "max_h"
     return top_per(rows, ["season"], [directed(key, order), F.col("team_id")], limit).select(
-        "season", "rank", "team_id", "team", "conference", "players_measured", F.round("avg_h", 1).alias("avg_height_inches"),
+        "season", "rank", "team_id", "team", "conference", "players_measured", round_to("avg_h", 1).alias("avg_height_inches"),
         height_text("avg_h").alias("avg_height"), F.col("max_h").alias("tallest_inches"), height_text("max_h").alias("tallest"),
     )
 
@@ -60,8 +61,8 @@ def roster_makeup(
     rows = _members(t, season, keep).groupBy("season", "team_id", "team", "conference").agg(
         F.count(F.lit(1)).alias("roster_size"),
         F.count(F.when(is_international(), 1)).alias("international"),
-        F.round(F.avg(class_ordinal()), 2).alias("avg_class_ordinal"),
-    ).withColumn("international_pct", F.round(100.0 * F.col("international") / F.col("roster_size"), 1))
+        round_to(F.avg(class_ordinal()), 2).alias("avg_class_ordinal"),
+    ).withColumn("international_pct", round_to(100.0 * F.col("international") / F.col("roster_size"), 1))
     keys = {
         "international": [directed("international", order), directed("international_pct", order)],
         "international_pct": [directed("international_pct", order), directed("international", order)],
@@ -191,7 +192,7 @@ def transfer_impact(
     rows = moved.select("player_id", "season", "previous_team_id").join(lines, ["player_id", "season"], how).join(people, ["player_id", "season"])
     names = t.dim("teams").select(F.col("id").alias("previous_team_id"), F.col("name").alias("previous_team"))
     digits = {"hit_pct": 3} | {c: 2 for c in ("kills_per_set", "assists_per_set", "aces_per_set", "digs_per_set", "blocks_per_set", "pts_per_set")}
-    rows = rows.withColumns({c: F.round(c, d) for c, d in digits.items()})
+    rows = rows.withColumns({c: round_to(c, d) for c, d in digits.items()})
     return top_per(rows, ["season"], [directed(sort_by), F.col("player_id")], limit).join(names, "previous_team_id", "left").select(
         "season", "rank", "player_id", F.col("name").alias("player"), "position", "class_year", "team", "previous_team", "sp", "gp",
         "kills", "assists", "digs", "aces", "total_blocks", "pts", *digits,

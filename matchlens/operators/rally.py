@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.operators.totals import ratio, season_totals
 from matchlens.tables import Tables, one_season
 
@@ -300,11 +301,11 @@ def season_rollup(t: Tables, season: int | None = None) -> DataFrame:
 
 def rotation_summary(t: Tables, season: int | None = None, min_recv: int = 10) -> DataFrame:
     """Side-out and hold rates per rotation, and each team's weakest and strongest rotation."""
-    pct = lambda a, b: F.round(100.0 * ratio(F.col(a).cast("double"), F.col(b)), 1)
+    pct = lambda a, b: round_to(100.0 * ratio(F.col(a).cast("double"), F.col(b)), 1)
     table = season_rollup(t, season).select(
         "season", "team_id", "rotation", pct("recv_won", "recv_rallies").alias("sideout_pct"), pct("serve_won", "serve_rallies").alias("hold_pct"),
         (F.col("points_won") - F.col("points_lost")).alias("net"), "recv_rallies",
-        F.round(ratio((F.col("kills") - F.col("attack_errors")).cast("double"), F.col("attack_attempts")), 3).alias("hit_pct"),
+        round_to(ratio((F.col("kills") - F.col("attack_errors")).cast("double"), F.col("attack_attempts")), 3).alias("hit_pct"),
     )
     team = Window.partitionBy("season", "team_id")
     ok = (F.col("recv_rallies") >= min_recv) & F.col("sideout_pct").isNotNull()
@@ -316,9 +317,9 @@ def rotation_summary(t: Tables, season: int | None = None, min_recv: int = 10) -
 
 def phase_summary(t: Tables, season: int | None = None) -> DataFrame:
     """Hitting on the first ball and in transition, and the gap between them."""
-    hit = lambda p: F.round(ratio((F.col(f"{p}_kills") - F.col(f"{p}_errors")).cast("double"), F.col(f"{p}_attacks")), 3)
+    hit = lambda p: round_to(ratio((F.col(f"{p}_kills") - F.col(f"{p}_errors")).cast("double"), F.col(f"{p}_attacks")), 3)
     rows = phase_totals(t, season).withColumns({"fbso_hit_pct": hit("fbso"), "trans_hit_pct": hit("trans")})
     return rows.select(
         "season", "team_id", "fbso_hit_pct", "fbso_attacks", "trans_hit_pct", "trans_attacks",
-        F.round(F.col("fbso_hit_pct") - F.col("trans_hit_pct"), 3).alias("in_out_gap"),
+        round_to(F.col("fbso_hit_pct") - F.col("trans_hit_pct"), 3).alias("in_out_gap"),
     ).filter("fbso_hit_pct is not null or trans_hit_pct is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.operators.conference import team_seasons, with_conference
 from matchlens.operators.ranking import check_choice, directed, top_per
 from matchlens.tables import Tables, one_season
@@ -80,13 +81,13 @@ def team_records(t: Tables, season: int | None = None) -> DataFrame:
             F.sum(F.when(same, 0).otherwise(lost)).alias("nonconf_losses"),
             F.sum(F.col("n") * F.col("opp_w") - lost).alias("opp_wins"),
             F.sum(F.col("n") * F.col("opp_l") - F.col("w")).alias("opp_losses"),
-            F.round(F.try_divide(
+            round_to(F.try_divide(
                 F.sum(F.when(ranked, F.col("n") * F.col("opp_rank"))).cast("double"), F.sum(F.when(ranked, F.col("n")))), 1
             ).alias("opp_rpi"),
         )
     )
     played = F.col("sets_won") + F.col("sets_lost")
-    return sums.withColumn("set_pct", F.round(F.try_divide(F.col("sets_won").cast("double"), played), 3)).join(
+    return sums.withColumn("set_pct", round_to(F.try_divide(F.col("sets_won").cast("double"), played), 3)).join(
         streaks(t, season), ["season", "team_id"]
     )
 
@@ -108,7 +109,7 @@ def ranked_records(
     if conference is not None:
         rows = rows.filter(conference)
     games = F.col("wins") + F.col("losses")
-    rows = rows.withColumn("win_pct", F.round(F.try_divide(F.col("wins").cast("double"), games), 3))
+    rows = rows.withColumn("win_pct", round_to(F.try_divide(F.col("wins").cast("double"), games), 3))
     second = -F.col("losses") if sort_by == "wins" else F.col("wins")
     keys = [F.col(sort_by).isNull(), directed(sort_by, order), directed(second, order), F.col("team_id")]
     return top_per(rows, ["season"], keys, limit).select(
@@ -181,7 +182,7 @@ def conference_summary(t: Tables, season: int | None = None) -> DataFrame:
     members = team_records(t, season).filter(F.col("conference_id").isNotNull())
     return members.groupBy("season", "conference_id", "conference", "conference_short").agg(
         F.count(F.lit(1)).alias("team_count"), F.count("avca_rank").alias("ranked_count"),
-        F.round(F.avg("rpi_rank"), 1).alias("avg_rpi_rank"),
+        round_to(F.avg("rpi_rank"), 1).alias("avg_rpi_rank"),
         F.sum("wins").alias("overall_wins"), F.sum("losses").alias("overall_losses"),
         F.sum("nonconf_wins").alias("interconf_wins"), F.sum("nonconf_losses").alias("interconf_losses"),
     )

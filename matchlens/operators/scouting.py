@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.constants import (
     BLOCKER_MIN_SETS, HITTER_MIN_ATTACKS, LIST_CAP, LOW_SAMPLE_MATCHES, METRICS, MIN_DISTRIBUTION_MATCHES, SECOND_SETTER_SHARE,
     SETTER_MIN_ASSISTS, SOLO_SETTER_SHARE, STRONG_PCT, WEAK_PCT,
@@ -53,7 +54,7 @@ def middle_share(t: Tables, season: int | None = None) -> DataFrame:
     ta = F.coalesce("total_attacks", F.lit(0.0))
     mid = F.upper(F.coalesce("position", F.lit(""))).startswith("M")
     sums = player_lines(t, season).groupBy("season", "team_id").agg(F.sum(ta).alias("all_ta"), F.sum(F.when(mid, ta).otherwise(0.0)).alias("mid_ta"))
-    return sums.select("season", "team_id", F.when(F.col("all_ta") > 0, F.round(F.col("mid_ta") / F.col("all_ta"), 3)).alias("middle_share"))
+    return sums.select("season", "team_id", F.when(F.col("all_ta") > 0, round_to(F.col("mid_ta") / F.col("all_ta"), 3)).alias("middle_share"))
 
 
 def team_metrics(t: Tables, season: int | None = None) -> DataFrame:
@@ -70,8 +71,8 @@ def team_metrics(t: Tables, season: int | None = None) -> DataFrame:
         .join(middle_share(t, season), keys, "left").join(wins, keys, "left")
         .withColumn("n_sets", F.coalesce(F.col("n_sets"), F.lit(0)))
     )
-    per_set = lambda c: F.round(ratio(c, F.nullif(F.col("n_sets"), F.lit(0)).cast("double")), 2)
-    share = lambda a, b: F.round(ratio(a, b), 3)
+    per_set = lambda c: round_to(ratio(c, F.nullif(F.col("n_sets"), F.lit(0)).cast("double")), 2)
+    share = lambda a, b: round_to(ratio(a, b), 3)
     col = F.col
     return rows.select(
         *keys, "games", "n_sets",
@@ -115,8 +116,8 @@ def league_standing(metrics: DataFrame) -> DataFrame:
     better = F.when(F.col("s.up"), F.col("n") - F.col("_hi")).otherwise(lo)
     z = (F.col("value") - F.col("_avg")) / F.when((F.col("n") > 1) & (F.col("_std") > 0), F.col("_std"))
     return rows.select(
-        "season", "team_id", "games", "key", "value", F.round(F.when(F.col("s.up"), pct).otherwise(100.0 - pct), 1).alias("pct"),
-        F.round(F.when(F.col("s.up"), z).otherwise(-z), 2).alias("z"), (better + 1).cast("int").alias("rank"), "n",
+        "season", "team_id", "games", "key", "value", round_to(F.when(F.col("s.up"), pct).otherwise(100.0 - pct), 1).alias("pct"),
+        round_to(F.when(F.col("s.up"), z).otherwise(-z), 2).alias("z"), (better + 1).cast("int").alias("rank"), "n",
         F.col("s.no").alias("no"), F.col("s.label").alias("label"), F.col("s.cat").alias("cat"), F.col("s.kind").alias("kind"), F.col("s.auto").alias("auto"),
     )
 
@@ -133,7 +134,7 @@ def percentile_among(members: DataFrame, asked: DataFrame, chunk_of: Column) ->
     placed = running_by_chunk(counts, ["season"], chunk_of, ["value"], {"lo": "eq"})
     # One row per season, so the broadcast is bounded by the number of years played.
     return placed.join(F.broadcast(total), "season").filter("n > 0").select(
-        "season", "value", F.round(100.0 * (F.col("lo") + F.col("eq") / 2.0) / F.col("n"), 1).alias("pct"))
+        "season", "value", round_to(100.0 * (F.col("lo") + F.col("eq") / 2.0) / F.col("n"), 1).alias("pct"))
 
 
 def _thousandths() -> Column:
@@ -177,8 +178,8 @@ def setter_system(t: Tables, season: int | None = None) -> DataFrame:
     rows = two.withColumns({
         "type": F.when(six, "6-2").when(first >= SOLO_SETTER_SHARE, "5-1"),
         "setters": F.when(six, F.array("s1.name", "s2.name")).otherwise(F.array("s1.name")),
-        "top_share": F.round(first, 3),
-        "value": F.when(F.col("s1.sets") > 0, F.round(F.coalesce("s1.total_attacks", F.lit(0.0)) / F.col("s1.sets"), 2)),
+        "top_share": round_to(first, 3),
+        "value": F.when(F.col("s1.sets") > 0, round_to(F.coalesce("s1.total_attacks", F.lit(0.0)) / F.col("s1.sets"), 2)),
     })
     place = percentile_among(members, rows.filter("value is not null"), _thousandths())
     return rows.join(place, ["season", "value"], "left").select(

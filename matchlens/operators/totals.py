@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.numbers import round_to
 from matchlens.constants import FANTASY_WEIGHTS, WEIGHT_LIMIT
 from matchlens.operators.conference import with_conference
 from matchlens.operators.ranking import check_choice, directed, top_per
@@ -120,7 +121,7 @@ def team_stats(
     )
     return top_per(rows, ["season"], [directed(sort_by, order), F.col("team_id")], limit).select(
         "season", "rank", "team_id", "team", "conference", "games", "kills", "assists", "aces", "digs",
-        "total_blocks", "pts", "errors", "total_attacks", F.round("hit_pct", 3).alias("hit_pct"),
+        "total_blocks", "pts", "errors", "total_attacks", round_to("hit_pct", 3).alias("hit_pct"),
     )
 
 
@@ -138,7 +139,7 @@ def team_stat_lines(
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in COUNTERS],
     )
     rows = with_conference(sums, t).filter(F.col("team").isNotNull()).withColumns(
-        {"total_blocks": official_blocks(), "fantasy_points": F.round(fantasy_points(weights), 2)}
+        {"total_blocks": official_blocks(), "fantasy_points": round_to(fantasy_points(weights), 2)}
     )
     order = [directed("fantasy_points"), F.col("team_id")]
     return top_per(rows, keys, order, limit, offset).select(
@@ -189,5 +190,5 @@ def team_defense(
     rows = rows.withColumn("opp_hit_pct", ratio(F.col("opp_kills") - F.col("opp_errors"), "opp_total_attacks"))
     return top_per(rows, ["season"], [directed(sort_by, order, "asc"), F.col("team_id")], limit).select(
         "season", "rank", "team_id", "team", "conference", "games", "opp_kills", "opp_errors",
-        "opp_total_attacks", F.round("opp_hit_pct", 3).alias("opp_hit_pct"),
+        "opp_total_attacks", round_to("opp_hit_pct", 3).alias("opp_hit_pct"),
     )

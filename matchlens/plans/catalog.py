@@ -51,7 +51,7 @@ def load_all() -> None:
         importlib.import_module(f"matchlens.plans.{module}")
 
 
-MODULES = ["season", "standings", "people", "rally", "text", "schedule"]
+MODULES = ["season", "standings", "people", "rally", "text", "schedule", "scouting"]
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
