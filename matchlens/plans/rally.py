@@ -165,7 +165,8 @@ _momentum = """select p.season, p.contest_id, p.set_number, sum((side = 'away'):
     coalesce((select run from o_runs r where r.contest_id = p.contest_id and r.set_number = p.set_number and r.side = 'home'), 0) as home_run,
     """ + ", ".join(f"sum((side = '{w}' and {c})::int) as {w}_{n}" for w in ("away", "home") for n, c in (("kills", "terminal_type = 'kill'"), ("aces", "terminal_type = 'ace'"), ("blocks", "terminal_type = 'block'"), ("opp_errors", "terminal_type like '%_error'"))) + """,
     case when sum((side = 'away')::int) > sum((side = 'home')::int) then 'away' else 'home' end as winner from o_pt2 p group by p.season, p.contest_id, p.set_number"""
-query("p12_match_momentum", _momentum)(lambda t: timeline.momentum(t))
+shared(o_momentum=_momentum)
+query("p12_match_momentum", "select * from o_momentum")(lambda t: timeline.momentum(t))
 query("w7_lead_changes", f"select contest_id, set_number, ties, lead_changes from ({_momentum}) m")(lambda t: timeline.momentum(t).select("contest_id", "set_number", "ties", "lead_changes"))
 query("w8_biggest_run", "select contest_id, set_number, side, run from o_runs")(lambda t: timeline.momentum(t).select("contest_id", "set_number", F.explode(F.array(
     F.struct(F.lit("away").alias("side"), F.col("away_run").alias("run")), F.struct(F.lit("home").alias("side"), F.col("home_run").alias("run")))).alias("s")).select("contest_id", "set_number", "s.*").filter("run > 0"))

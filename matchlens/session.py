@@ -26,11 +26,15 @@ def local_session(app: str = "matchlens", cores: str = "*", partitions: int = 8)
     )
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a temporary one where none is configured (tests only)."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
-    fresh = tempfile.mkdtemp(prefix="matchlens-")
-    spark.conf.set(CHECKPOINT_CONF, fresh)
-    return fresh
+    """The cluster's shared folder; a temporary local one only where none is named, as in tests."""
+    named = spark.conf.get(CHECKPOINT_CONF, None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="matchlens-")
+    return _local[app]
