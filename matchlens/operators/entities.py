@@ -97,39 +97,44 @@ def _name_keys(df: DataFrame, name: str) -> DataFrame:
     })
 
 
+def _word_pairs(plain: str) -> Column:
+    """All pairs of words of a name, each in alphabetical order: a handful per name."""
+    words = name_tokens(plain)
+    pair = lambda w: F.transform(F.filter(words, lambda v: v > w), lambda v: F.concat_ws(" ", w, v))
+    return F.flatten(F.transform(words, pair))
+
+
 def match_names(asked: DataFrame, roster: DataFrame, group: list[str]) -> DataFrame:
     """Match ``asked`` (``group``, ``name``) to ``roster`` (``group``, ``player_id``, ``name``).
 
     Tiers from strict to loose: full name, set of words, initial and surname, surname alone, and at
     least two shared words. A key two players share matches nobody; the next tier is then tried.
-    Each distinct name is matched once per group. Only names no tier settled enter the last one,
-    and there only words they share with their own roster meet.
+    Each distinct name is matched once per group, against keys reduced to their smallest and largest
+    player beforehand. Sharing two words is sharing a pair of words, so the last tier needs no list
+    of candidates either: the candidates over all pairs are one player when the extremes agree.
     """
     names = _name_keys(asked.select(*group, "name").distinct(), "name")
     people = _name_keys(roster.select(*group, "player_id", F.col("name").alias("roster_name")), "roster_name")
+    ends = (F.min("player_id").alias("_a"), F.max("player_id").alias("_b"))
     for tier in NAME_TIERS:
-        known = people.filter(F.coalesce(tier, F.lit("")) != "").groupBy(*group, tier).agg(
-            F.min("player_id").alias("_a"), F.max("player_id").alias("_b")
-        ).filter("_a = _b").select(*group, tier, F.col("_a").alias(f"_{tier}"))
-        names = names.join(known, [*group, tier], "left")
+        known = people.filter(F.coalesce(tier, F.lit("")) != "").groupBy(*group, tier).agg(*ends).filter("_a = _b")
+        names = names.join(known.select(*group, tier, F.col("_a").alias(f"_{tier}")), [*group, tier], "left")
     names = names.withColumn("player_id", F.coalesce(*[F.col(f"_{x}") for x in NAME_TIERS])).drop(*[f"_{x}" for x in NAME_TIERS])
-    left = names.filter(F.col("player_id").isNull()).select(*group, "name", F.explode(name_tokens("full")).alias("word"))
-    words = people.select(*group, "player_id", F.explode(name_tokens("full")).alias("word"))
-    shared = left.join(words, [*group, "word"]).groupBy(*group, "name", "player_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    only = shared.groupBy(*group, "name").agg(F.min("player_id").alias("_p"), F.max("player_id").alias("_q")).filter("_p = _q").select(
-        *group, "name", F.col("_p").alias("_overlap"))
-    return names.join(only, [*group, "name"], "left").select(*group, "name", F.coalesce("player_id", "_overlap").alias("player_id"))
+    left = names.filter(F.col("player_id").isNull()).select(*group, "name", F.explode(_word_pairs("full")).alias("pair"))
+    pairs = people.select(*group, "player_id", F.explode(_word_pairs("full")).alias("pair")).groupBy(*group, "pair").agg(*ends)
+    only = left.join(pairs, [*group, "pair"]).groupBy(*group, "name").agg(F.min("_a").alias("_overlap"), F.max("_b").alias("_last")).filter("_overlap = _last")
+    return names.join(only.drop("_last"), [*group, "name"], "left").select(*group, "name", F.coalesce("player_id", "_overlap").alias("player_id"))
 
 
 def assign_starters(lines: DataFrame, t: Tables) -> DataFrame:
-    """Give each starters line (``season``, ``contest_id``, ``set_number``, ``line_no``, ``names``) to a side.
+    """Give each starters line to a side.
 
-    The side whose roster matches more of the names gets the line; the home side on a tie, and
+    ``lines`` has one row per name: ``season``, ``contest_id``, ``set_number``, ``line_no``, ``name``. The side whose roster matches more of the names gets the line; the home side on a tie, and
     nobody when no name matches.
     """
     games = t.sized_like("contests", t.contests.select("contest_id", "home_team_id", "away_team_id"))
     spread = lines.join(games, "contest_id").select(
-        "season", "contest_id", "set_number", "line_no", F.explode("names").alias("name"), "home_team_id", "away_team_id"
+        "season", "contest_id", "set_number", "line_no", "name", "home_team_id", "away_team_id"
     ).withColumn("s", F.explode(F.array(
         F.struct(F.lit(0).alias("turn"), F.col("home_team_id").alias("team_id")), F.struct(F.lit(1).alias("turn"), F.col("away_team_id").alias("team_id")))))
     spread = spread.select("season", "contest_id", "set_number", "line_no", "name", "s.*").filter("team_id is not null")

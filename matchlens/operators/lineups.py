@@ -64,16 +64,13 @@ def starter_changes(lineups: DataFrame) -> DataFrame:
 
     A starting group is a handful of players, so it is held as one array.
     """
-    team = Window.partitionBy("contest_id", "team_id")
     groups = lineups.groupBy("season", *SET, "team_id").agg(F.array_sort(F.collect_set(F.when(F.col("role") == "starter", F.col("player_id")))).alias("six"))
-    first = F.min("set_number").over(Window.partitionBy("contest_id"))
-    groups = groups.withColumn("vs_set", first).withColumn("base", F.coalesce(
-        F.first(F.when(F.col("set_number") == F.col("vs_set"), F.col("six")), ignorenulls=True).over(
-            team.orderBy("set_number").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        F.array().cast("array<bigint>"),
-    ))
+    first = groups.groupBy("contest_id").agg(F.min("set_number").alias("vs_set"))
+    base = groups.join(first, "contest_id").filter("set_number = vs_set").select("contest_id", "team_id", F.col("six").alias("base"))
+    none = F.array().cast("array<bigint>")
+    later = groups.join(first, "contest_id").filter("set_number <> vs_set").join(base, ["contest_id", "team_id"], "left").withColumn("base", F.coalesce("base", none))
     text = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x.cast("string")), ",")
-    return groups.filter("set_number <> vs_set").select(
+    return later.select(
         "season", *SET, "team_id", "vs_set", text(F.array_except("six", "base")).alias("added"), text(F.array_except("base", "six")).alias("removed"),
     ).filter("added <> '' or removed <> ''")
 

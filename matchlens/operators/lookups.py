@@ -131,10 +131,7 @@ def team_player_table(t: Tables, season: int | None = None, week: int | None = N
 
 def team_rosters(t: Tables, season: int | None = None) -> DataFrame:
     """Players of every team in order of number."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("season", "team_id").orderBy(F.asc_nulls_last("number"), F.col("id")))
-    return one_season(t.players, season).withColumn("place", place).withColumnRenamed("id", "player_id")
+    return one_season(t.players, season).withColumnRenamed("id", "player_id").orderBy("season", "team_id", F.asc_nulls_last("number"), "player_id")
 
 
 def box_totals(t: Tables, season: int | None = None) -> DataFrame:

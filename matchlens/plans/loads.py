@@ -98,12 +98,11 @@ shared(
 
 
 def _lines(t):
-    """Per side of a match one line with the names of its box score (a dozen or so)."""
+    """Per side of a match one line: the names of its box score, one row each."""
     people = t.players.select(F.col("id").alias("player_id"), "name")
     games = t.contests.select("contest_id", "home_team_id")
     rows = t.player_game_stats.select("contest_id", "season", "team_id", "player_id").join(people, "player_id").join(games, "contest_id")
-    return rows.groupBy("contest_id", "season", (F.col("team_id") == F.col("home_team_id")).cast("int").alias("line_no")).agg(
-        F.collect_set("name").alias("names")).withColumn("set_number", F.lit(1))
+    return rows.select("contest_id", "season", (F.col("team_id") == F.col("home_team_id")).cast("int").alias("line_no"), "name", F.lit(1).alias("set_number")).distinct()
 
 
 query("j16_starters_to_sides", "select season, contest_id, team_id, set_number, player_id from o_assigned")(lambda t: entities.assign_starters(_lines(t), t))

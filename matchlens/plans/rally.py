@@ -199,3 +199,9 @@ query("p7_starter_changes", """select s.season, s.contest_id, s.set_number, s.te
     from o_six s join (select contest_id, min(set_number) as vs_set from o_lineup group by all) f on f.contest_id = s.contest_id
     left join o_six b on b.contest_id = s.contest_id and b.team_id = s.team_id and b.set_number = f.vs_set where s.set_number <> f.vs_set and (added <> '' or removed <> '')""")(
     lambda t: lineups.starter_changes(lineups.set_lineups(t)))
+query("p13_match_lineups_by_team_and_day", """select l.contest_id, l.set_number, l.team_id, l.player_id, l.role from o_lineup l join contests k on k.contest_id = l.contest_id
+    where k.date like '1998-0%' and (k.home_team_id = 7 or k.away_team_id = 7)""")(
+    lambda t: lineups.match_lineups(t, 7, "1998-0").select("contest_id", "set_number", "team_id", "player_id", "role"))
+query("p12_match_report_by_team_and_day", """select m.contest_id, m.set_number, m.away_points, m.home_points, m.lead_changes from o_momentum m join contests k on k.contest_id = m.contest_id
+    where k.date like '1997-%' and (k.home_team_id = 7 or k.away_team_id = 7)""")(
+    lambda t: timeline.match_report(t, 7, "1997-").select("contest_id", "set_number", "away_points", "home_points", "lead_changes"))

@@ -127,8 +127,8 @@ query("c2_search", """select season, kind, id, name, rank from (select *, row_nu
     lambda t: lookups.search(t, "Ring"))
 query("c2_list_teams", "select t.id, t.name as team, t.short_name, c.name as conference from teams t left join conferences c on c.id = t.conference_id where contains(lower(t.name), '_1') or contains(lower(t.short_name), '_1') or contains(lower(array_to_string(t.aliases, '|')), '_1')")(
     lambda t: lookups.list_teams(t, "_1").drop("aliases"))
-query("c23_team_roster", "select player_id, season, team_id, number, name, place from (select *, row_number() over (partition by season, team_id order by number nulls last, player_id) as place from o_roster) x")(
-    lambda t: lookups.team_rosters(t).select("player_id", "season", "team_id", "number", "name", "place"))
+query("c23_team_roster", "select player_id, season, team_id, number, name from o_roster")(
+    lambda t: lookups.team_rosters(t).select("player_id", "season", "team_id", "number", "name"))
 query("c23_contest_list", "select season, contest_id, date, place from (select *, row_number() over (partition by season order by date desc nulls last, contest_id) as place from contests) x where place <= 200")(
     lambda t: top_per(t.contests.select("season", "contest_id", "date"), ["season"], [F.desc_nulls_last("date"), F.col("contest_id")], 200, rank="place"))
 query("c23_player_game_stats", f"select contest_id, player_id, season, team_id, {_box} from player_game_stats where player_id = 103")(

@@ -324,3 +324,12 @@ def a15(t):
 @query("c9_conference_leaders", _season_leaders("pts", "r.conference_id = 2", 50))
 def c9(t):
     return _rounded_leaders(leaderboards.player_leaderboard(t, "pts", conference_id=2))
+
+
+query("w3_leaderboard_rank", """select season, rank, player_id from (select season, player_id, row_number() over (partition by season order by digs desc nulls last, player_id) as rank from o_season) x where rank <= 50""")(
+    lambda t: leaderboards.player_leaderboard(t, "digs").select("season", "rank", "player_id"))
+query("k3_limit_clamp", """select season, rank, player_id from (select season, player_id, row_number() over (partition by season order by kills desc nulls last, player_id) as rank from o_season) x where rank <= 500""")(
+    lambda t: leaderboards.player_leaderboard(t, "kills", limit=10**6).select("season", "rank", "player_id"))
+query("f14_every_rankable_stat", " union all ".join(f"select season, '{s}' as stat, player_id from (select season, player_id, row_number() over (partition by season order by {s} desc nulls last, player_id) as rank from o_season_rates) x where rank = 1" for s in ("pts", "retatt", "digs_per_set")))(
+    lambda t: leaderboards.leaderboard(t, "pts", limit=1).select("season", "stat", "player_id").unionByName(leaderboards.leaderboard(t, "retatt", limit=1).select("season", "stat", "player_id")).unionByName(
+        leaderboards.leaderboard(t, "digs_per_set", limit=1).select("season", "stat", "player_id")))
