@@ -299,10 +299,11 @@ def season_rollup(t: Tables, season: int | None = None) -> DataFrame:
     return six.join(counts, ["season", "team_id", "rotation"], "left").na.fill(0, list(ROTATION_FIELDS))
 
 
-def rotation_summary(t: Tables, season: int | None = None, min_recv: int = 10) -> DataFrame:
+def rotation_summary(t: Tables, season: int | None = None, min_recv: int = 10, rollup: DataFrame | None = None) -> DataFrame:
     """Side-out and hold rates per rotation, and each team's weakest and strongest rotation."""
     pct = lambda a, b: round_to(100.0 * ratio(F.col(a).cast("double"), F.col(b)), 1)
-    table = season_rollup(t, season).select(
+    rollup = season_rollup(t, season) if rollup is None else rollup
+    table = rollup.select(
         "season", "team_id", "rotation", pct("recv_won", "recv_rallies").alias("sideout_pct"), pct("serve_won", "serve_rallies").alias("hold_pct"),
         (F.col("points_won") - F.col("points_lost")).alias("net"), "recv_rallies",
         round_to(ratio((F.col("kills") - F.col("attack_errors")).cast("double"), F.col("attack_attempts")), 3).alias("hit_pct"),

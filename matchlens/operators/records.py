@@ -58,9 +58,15 @@ def team_records(t: Tables, season: int | None = None) -> DataFrame:
     pairs = appearances(t, season).groupBy("season", "team_id", "opp_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"), F.sum("own").alias("own"), F.sum("them").alias("them")
     )
-    overall = pairs.groupBy("season", F.col("team_id").alias("opp_id")).agg(
-        F.sum("w").alias("opp_w"), F.sum(F.col("n") - F.col("w")).alias("opp_l")
-    )
+    # A pair's mirror row knows the opponent's season: each row hands its team's record to its mirror.
+    whole = Window.partitionBy("season", "team_id")
+    pairs = pairs.withColumns({"tw": F.sum("w").over(whole), "tl": F.sum(F.col("n") - F.col("w")).over(whole)})
+    part = lambda me, opp, names, given: F.struct(
+        F.col(me).alias("team_id"), F.col(opp).alias("opp_id"), *[(F.col(names[c]) if c in names else F.lit(None).cast("bigint")).alias(c) for c in given])
+    cols = ("n", "w", "own", "them", "opp_w", "opp_l")
+    swapped = pairs.select("season", F.explode(F.array(
+        part("team_id", "opp_id", {c: c for c in cols[:4]}, cols), part("opp_id", "team_id", {"opp_w": "tw", "opp_l": "tl"}, cols))).alias("s"))
+    pairs = swapped.select("season", "s.*").groupBy("season", "team_id", "opp_id").agg(*[F.max(c).alias(c) for c in cols])
     labels = team_seasons(t)
     theirs = labels.select("season", F.col("team_id").alias("opp_id"), F.col("conference_id").alias("opp_conf"), F.col("rpi_rank").alias("opp_rank"))
     mine = labels.select("season", "team_id", "team", "team_short", "conference", "conference_id", "conference_short", "rpi_rank", "rpi_record", "avca_rank")
@@ -69,7 +75,6 @@ def team_records(t: Tables, season: int | None = None) -> DataFrame:
     ranked = F.col("opp_rank").isNotNull()
     sums = (
         pairs.join(mine, ["season", "team_id"])
-        .join(overall, ["season", "opp_id"])
         .join(theirs, ["season", "opp_id"], "left")
         .groupBy("season", "team_id", "team", "team_short", "conference", "conference_id", "conference_short", "rpi_rank", "rpi_record", "avca_rank")
         .agg(

@@ -15,7 +15,8 @@ from matchlens.operators.prefix import running_by_chunk
 from matchlens.operators.ranking import top_per
 from matchlens.operators.rally import phase_summary, rotation_summary, season_rollup
 from matchlens.operators.records import team_records
-from matchlens.operators.totals import ratio, season_totals, team_defense_totals, team_totals
+from matchlens.operators.totals import ratio, season_totals
+from matchlens.session import cut
 from matchlens.tables import Tables, one_season
 
 KEYS = [m[0] for m in METRICS]
@@ -26,22 +27,40 @@ def position_bucket(col: str = "position") -> Column:
     return F.when(p.startswith("M"), "middle").when(p.startswith("O") | p.startswith("R"), "pin")
 
 
-def opponents_by_position(t: Tables, season: int | None = None) -> DataFrame:
-    """Per (season, team): what opposing middles and pins hit, and aces taken.
+_ZERO = ("kills", "errors", "total_attacks", "assists", "aces", "digs", "block_solos", "block_assists", "pts")
+_BY_POSITION = ("mid_k", "mid_e", "mid_ta", "pin_k", "pin_e", "pin_ta", "opp_aces")
+
+
+def team_sides(t: Tables, season: int | None = None) -> DataFrame:
+    """Per (season, team): own sums, and what opponents did against it, in one pass over box scores.
 
-    Only contests with exactly two sides count; there the opponent's line is the contest's total
-    less the side's own.
+    A match side is summed once, whole and by the hitters' position. What a side faced is the match
+    total less its own line. Lines by position need a roster entry, and count only in matches where
+    exactly two sides have one.
     """
-    people = t.players.select(F.col("id").alias("player_id"), "season", position_bucket().alias("bucket"))
-    lines = one_season(t.player_game_stats, season).select("season", "contest_id", "team_id", "player_id", "kills", "errors", "total_attacks", "aces")
+    people = t.players.select(F.col("id").alias("player_id"), "season", F.lit(1).alias("known"), position_bucket().alias("bucket"))
+    lines = one_season(t.player_game_stats, season).select("season", "contest_id", "team_id", "player_id", *_ZERO)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     parts = {f"{s}_{x}": F.sum(F.when(F.col("bucket") == b, zero(c)).otherwise(0.0))
              for s, b in (("mid", "middle"), ("pin", "pin")) for x, c in (("k", "kills"), ("e", "errors"), ("ta", "total_attacks"))}
-    parts["opp_aces"] = F.sum(zero("aces"))
-    sides = lines.join(people, ["player_id", "season"]).groupBy("season", "contest_id", "team_id").agg(*[v.alias(k) for k, v in parts.items()])
+    parts["opp_aces"] = F.sum(F.when(F.col("known") == 1, zero("aces")).otherwise(0.0))
+    sides = lines.join(people, ["player_id", "season"], "left").groupBy("season", "contest_id", "team_id").agg(
+        F.max("known").alias("known"), *[F.sum(zero(c)).alias(c) for c in _ZERO], *[v.alias(k) for k, v in parts.items()])
     match = Window.partitionBy("contest_id", "season")
-    sides = sides.withColumns({"_n": F.count("team_id").over(match)} | {f"_{c}": F.sum(c).over(match) - F.col(c) for c in parts})
-    return sides.filter("_n = 2").groupBy("season", "team_id").agg(*[F.sum(f"_{c}").alias(c) for c in parts])
+    others = lambda c: F.sum(c).over(match) - F.col(c)
+    sides = sides.withColumns(
+        {"_n": F.count("team_id").over(match), "_k": F.count("known").over(match)} | {f"_o_{c}": others(c) for c in ("kills", "errors", "total_attacks")}
+        | {f"_p_{c}": others(c) for c in _BY_POSITION})
+    faced, split = F.col("_n") > 1, (F.col("_k") == 2) & (F.col("known") == 1)
+    return sides.groupBy("season", "team_id").agg(
+        F.count("contest_id").alias("games"), *[F.sum(c).alias(c) for c in _ZERO],
+        *[F.sum(F.when(faced, F.col(f"_o_{c}"))).alias(f"opp_{c}") for c in ("kills", "errors", "total_attacks")],
+        *[F.sum(F.when(split, F.col(f"_p_{c}"))).alias(c) for c in _BY_POSITION])
+
+
+def opponents_by_position(t: Tables, season: int | None = None) -> DataFrame:
+    """Per (season, team): what opposing middles and pins hit, and aces taken."""
+    return team_sides(t, season).filter("opp_aces is not null").select("season", "team_id", *_BY_POSITION)
 
 
 def player_lines(t: Tables, season: int | None = None) -> DataFrame:
@@ -50,25 +69,23 @@ def player_lines(t: Tables, season: int | None = None) -> DataFrame:
     return people.join(season_totals(t.player_game_stats, season).drop("team_id"), ["player_id", "season"], "left").withColumnRenamed("sp", "sets")
 
 
-def middle_share(t: Tables, season: int | None = None) -> DataFrame:
+def middle_share(t: Tables, season: int | None = None, lines: DataFrame | None = None) -> DataFrame:
     ta = F.coalesce("total_attacks", F.lit(0.0))
     mid = F.upper(F.coalesce("position", F.lit(""))).startswith("M")
-    sums = player_lines(t, season).groupBy("season", "team_id").agg(F.sum(ta).alias("all_ta"), F.sum(F.when(mid, ta).otherwise(0.0)).alias("mid_ta"))
+    lines = player_lines(t, season) if lines is None else lines
+    sums = lines.groupBy("season", "team_id").agg(F.sum(ta).alias("all_ta"), F.sum(F.when(mid, ta).otherwise(0.0)).alias("mid_ta"))
     return sums.select("season", "team_id", F.when(F.col("all_ta") > 0, round_to(F.col("mid_ta") / F.col("all_ta"), 3)).alias("middle_share"))
 
 
-def team_metrics(t: Tables, season: int | None = None) -> DataFrame:
+def team_metrics(t: Tables, season: int | None = None, records: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """One wide row of metrics per (season, team) with box scores. Every join is on aggregated rows."""
     keys = ["season", "team_id"]
-    off = team_totals(t, season)
-    off = off.select(*keys, "games", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in off.columns if c not in (*keys, "games")])
-    rec = team_records(t, season).select(
+    records = team_records(t, season) if records is None else records
+    rec = records.select(
         *keys, (F.col("sets_won") + F.col("sets_lost")).alias("n_sets"), "wins", "losses", "set_pct", "opp_wins", "opp_losses")
-    deff = team_defense_totals(t, season).select(*keys, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("opp_kills", "opp_errors", "opp_total_attacks")])
     wins = quality_wins(t, season).groupBy(*keys).agg(F.count(F.lit(1)).alias("quality_wins"))
     rows = (
-        off.join(rec, keys, "left").join(deff, keys, "left").join(opponents_by_position(t, season), keys, "left")
-        .join(middle_share(t, season), keys, "left").join(wins, keys, "left")
+        team_sides(t, season).join(rec, keys, "left").join(middle_share(t, season, lines), keys, "left").join(wins, keys, "left")
         .withColumn("n_sets", F.coalesce(F.col("n_sets"), F.lit(0)))
     )
     per_set = lambda c: round_to(ratio(c, F.nullif(F.col("n_sets"), F.lit(0)).cast("double")), 2)
@@ -141,9 +158,9 @@ def _thousandths() -> Column:
     return F.floor(F.col("value") * 1000)
 
 
-def team_leaders(t: Tables, season: int | None = None) -> DataFrame:
+def team_leaders(t: Tables, season: int | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Top three hitters, two blockers and two middles per team, with hitters' national percentile."""
-    lines = player_lines(t, season)
+    lines = player_lines(t, season) if lines is None else lines
     ta = F.coalesce("total_attacks", F.lit(0.0))
     mid = F.upper(F.coalesce("position", F.lit(""))).startswith("M")
     kinds = (
@@ -161,9 +178,9 @@ def team_leaders(t: Tables, season: int | None = None) -> DataFrame:
     return out.join(place, ["season", "hit_pct"], "left").withColumn("nat_pct", F.when(F.col("kind") == "hitter", F.col("_pct"))).drop("_pct")
 
 
-def setter_system(t: Tables, season: int | None = None) -> DataFrame:
+def setter_system(t: Tables, season: int | None = None, lines: DataFrame | None = None) -> DataFrame:
     """One or two setters, from their share of the team's assists, and how often the first attacks."""
-    lines = player_lines(t, season)
+    lines = player_lines(t, season) if lines is None else lines
     a = F.coalesce("assists", F.lit(0.0))
     total = lines.groupBy("season", "team_id").agg(F.sum(a).alias("total"))
     able = lines.filter(a >= SETTER_MIN_ASSISTS)
@@ -230,28 +247,30 @@ def scouting_reports(t: Tables, season: int | None = None, prose: bool = True) -
     from matchlens.functions.prose import key_paragraphs, profile_paragraphs
 
     keys = ["season", "team_id"]
-    metrics = team_metrics(t, season)
-    standing = league_standing(metrics)
+    # What several pieces read is written once: a row per team, or per player-season at most.
+    lines, records = cut(player_lines(t, season)), cut(team_records(t, season))
+    metrics = cut(team_metrics(t, season, records, lines))
+    standing = cut(league_standing(metrics))
+    phase, rollup = cut(phase_summary(t, season)), cut(season_rollup(t, season))
     pcts = pct_map(standing)
-    phase = phase_summary(t, season)
     lists = insights(standing).groupBy(*keys).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "key", "label", "pct", "value", "kind")))).alias(n)
         for s, n in (("strength", "strengths"), ("weakness", "weaknesses"))])
-    lead = team_leaders(t, season).groupBy(*keys).agg(*[
+    lead = team_leaders(t, season, lines).groupBy(*keys).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "name", "position", "kills_per_set", "blocks_per_set", "hit_pct", "total_attacks", "nat_pct")))).alias(f"{k}s")
         for k in ("hitter", "blocker", "middle")])
-    rots = rotation_summary(t, season).groupBy(*keys).agg(
+    rots = rotation_summary(t, season, rollup=rollup).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rotation", "sideout_pct", "hold_pct", "net", "recv_rallies", "hit_pct"))).alias("table"),
         F.max("weakest").alias("weakest"), F.max("strongest").alias("strongest"))
-    rec = team_records(t, season).select(*keys, F.struct("wins", "losses", "conference", "conf_wins", "conf_losses", "win_streak").alias("record"))
-    seen = season_rollup(t, season).groupBy(*keys).agg(F.max("matches_with_pbp").alias("_pbp"))
+    rec = records.select(*keys, F.struct("wins", "losses", "conference", "conf_wins", "conf_losses", "win_streak").alias("record"))
+    seen = rollup.groupBy(*keys).agg(F.max("matches_with_pbp").alias("_pbp"))
     names = t.dim("teams").select(F.col("id").alias("team_id"), F.col("name").alias("team"))
     out = metrics.select(*keys, F.col("games").alias("matches"), F.col("n_sets").alias("sets")).filter("matches > 0").join(names, "team_id", "left")
     for piece in (
         rec, pcts, contrast_notes(pcts, phase), lists, lead, seen,
         rots.select(*keys, F.struct("table", "weakest", "strongest").alias("rotations")),
         phase.select(*keys, F.struct("fbso_hit_pct", "fbso_attacks", "trans_hit_pct", "trans_attacks", "in_out_gap").alias("phase")),
-        setter_system(t, season).select(*keys, F.struct("type", "setters", "top_share", "attacks_per_set", "setter_hit_pct", "attack_pct").alias("system")),
+        setter_system(t, season, lines).select(*keys, F.struct("type", "setters", "top_share", "attacks_per_set", "setter_hit_pct", "attack_pct").alias("system")),
     ):
         out = out.join(piece, keys, "left")
     out = out.withColumns({

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -38,3 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="matchlens-")
     return _local[app]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table written once to the shared folder.
+
+    For results that several later steps read: they then read a small file table, which survives the
+    loss of an executor, in place of working the result out again each.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
