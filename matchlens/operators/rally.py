@@ -212,19 +212,19 @@ def rallies(t: Tables, season: int | None = None) -> DataFrame:
     kill = F.col("is_terminal") & (F.col("terminal_type") == "kill")
     miss = F.col("is_terminal") & (F.col("terminal_type") == "attack_error")
     rows = ev.groupBy("season", *RALLY, "home_team_id", "away_team_id").agg(
-        at(_is("serve"), F.struct("team_id", "player_id")).alias("_serve"),
+        # Field by field: numbers keep the aggregate in fixed-width hash buffers, a struct would sort.
+        at(_is("serve"), F.col("team_id")).alias("_served_by"), at(_is("serve"), F.col("player_id")).alias("server_id"),
         at(_is("reception") & ours, F.col("team_id")).alias("_recv"),
-        at(F.col("is_terminal"), F.struct("scoring_team_id")).alias("_term"),
+        at(F.col("is_terminal"), F.col("scoring_team_id")).alias("winner"),
         *[n(team, cond).alias(f"{who}_{what}") for who, team in (("home", home), ("away", away))
           for what, cond in (("attack_attempts", swing), ("kills", kill), ("attack_errors", miss))],
     )
     other = lambda x: F.when(x == home, away).otherwise(home)
-    served = F.col("_serve.team_id")
+    served = F.col("_served_by")
     rows = rows.withColumn("serving", F.when(served.isin(home, away), served).when(F.col("_recv").isNotNull(), other(F.col("_recv"))))
-    rows = rows.withColumns({"winner": F.col("_term.scoring_team_id"), "server_id": F.col("_serve.player_id")})
     return rows.filter(F.col("serving").isNotNull() & F.col("winner").isin(home, away)).withColumn(
         "receiving", other(F.col("serving"))
-    ).drop("_serve", "_recv", "_term")
+    ).drop("_served_by", "_recv")
 
 
 def main_setters(t: Tables, season: int | None = None) -> DataFrame:

@@ -75,25 +75,29 @@ def _sentence(of, home: Column, away: Column) -> Column:
     )
 
 
+def _at_first(cond: Column, value: Column) -> Column:
+    return F.min_by(F.when(cond, value), F.when(cond, F.col("seq")))
+
+
 def rally_servers(t: Tables, season: int | None = None) -> DataFrame:
     """Team and player of each rally's first serve."""
-    serve = F.when(_is("serve"), F.struct("team_id", "player_id"))
-    rows = events_with_sides(t, season).groupBy("season", *RALLY).agg(F.min_by(serve, F.when(_is("serve"), F.col("seq"))).alias("s"))
-    return rows.select("season", *RALLY, F.col("s.team_id").alias("serving_team_id"), F.col("s.player_id").alias("server_id"))
+    return events_with_sides(t, season).groupBy("season", *RALLY).agg(
+        _at_first(_is("serve"), F.col("team_id")).alias("serving_team_id"), _at_first(_is("serve"), F.col("player_id")).alias("server_id"))
 
 
 def kill_assists(t: Tables, season: int | None = None) -> DataFrame:
     """The scoring side's last setter in each rally that ended with a kill."""
-    rows = events_with_sides(t, season).groupBy("season", *RALLY).agg(
-        F.min_by(F.struct("terminal_type", "scoring_team_id"), F.when(F.col("is_terminal"), F.col("seq"))).alias("term"),
-        *[F.max_by(F.when(_is("set") & (F.col("team_id") == F.col(f"{w}_team_id")), F.struct("team_id", "player_id")),
-                   F.when(_is("set") & (F.col("team_id") == F.col(f"{w}_team_id")), F.col("seq"))).alias(w) for w in ("home", "away")],
-    )
-    pick = F.when(F.col("home.team_id") == F.col("term.scoring_team_id"), F.col("home")).when(
-        F.col("away.team_id") == F.col("term.scoring_team_id"), F.col("away"))
-    return rows.filter("term.terminal_type = 'kill'").withColumn("a", pick).filter(F.col("a").isNotNull()).select(
-        "season", *RALLY, F.col("a.team_id").alias("team_id"), F.col("a.player_id").alias("assist_player_id")
+    set_by = lambda w: _is("set") & (F.col("team_id") == F.col(f"{w}_team_id"))
+    rows = events_with_sides(t, season).groupBy("season", *RALLY, "home_team_id", "away_team_id").agg(
+        _at_first(F.col("is_terminal"), F.col("terminal_type") == "kill").alias("kill"),
+        _at_first(F.col("is_terminal"), F.col("scoring_team_id")).alias("scorer"),
+        *[F.max(F.when(set_by(w), 1)).alias(f"{w}_set") for w in ("home", "away")],
+        *[F.max_by(F.when(set_by(w), F.col("player_id")), F.when(set_by(w), F.col("seq"))).alias(f"{w}_setter") for w in ("home", "away")],
     )
+    home = F.col("scorer") == F.col("home_team_id")
+    had = F.when(home, F.col("home_set")).when(F.col("scorer") == F.col("away_team_id"), F.col("away_set"))
+    return rows.filter(F.col("kill") & had.isNotNull()).select(
+        "season", *RALLY, F.col("scorer").alias("team_id"), F.when(home, F.col("home_setter")).otherwise(F.col("away_setter")).alias("assist_player_id"))
 
 
 SIDE_COUNTS = (

@@ -14,7 +14,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 LIBRARY: dict[str, str] = {}
 
-_open: dict[tuple[int, str], Tables] = {}
+_open: dict[tuple, Tables] = {}
 
 
 def shared(**views: str) -> None:
@@ -37,9 +37,9 @@ def query(name: str, sql: str | None = None):
 
 
 def open_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (id(spark), str(sf_dir).rstrip("/"))
+    key = (spark.sparkContext.applicationId, id(spark), str(sf_dir).rstrip("/"))
     if key not in _open:
-        _open[key] = adapted_tables(spark, key[1])
+        _open[key] = adapted_tables(spark, key[-1])
     return _open[key]
 
 

@@ -53,18 +53,18 @@ query("j20_photo_matches", """select h.season, h.team_id, h.true_id, coalesce(n.
 query("j22_conference_diff", """select kind, outside_id, team, own, "foreign", expected from (
     select coalesce(o.ncaa_team_id, x.outside_id) as outside_id, coalesce(o.name, x.team) as team, o.conference as own, x.conference as "foreign", e.own as expected,
       case when o.ncaa_team_id is null then 'missing_here' when x.outside_id is null then 'missing_there' when e.own is not null and coalesce(o.conference, '') <> e.own then 'mismatch' end as kind
-    from (select s.ncaa_team_id, m.team as name, m.conference from team_season_ids s join o_team_season m on m.team_id = s.team_id and m.season = s.season where s.team_id <> 3 and s.season = 1998) o
-    full outer join (select * from second_source where season = 1998) x on x.outside_id = o.ncaa_team_id
-    left join (select f, arg_max(own, (n, own)) as own from (select x.conference as f, m.conference as own, count(*) as n from (select * from second_source where season = 1998) x join team_season_ids s on s.ncaa_team_id = x.outside_id and s.team_id <> 3
+    from (select s.ncaa_team_id, m.team as name, m.conference from team_season_ids s join o_team_season m on m.team_id = s.team_id and m.season = s.season) o
+    full outer join second_source x on x.outside_id = o.ncaa_team_id
+    left join (select f, arg_max(own, (n, own)) as own from (select x.conference as f, m.conference as own, count(*) as n from second_source x join team_season_ids s on s.ncaa_team_id = x.outside_id
       join o_team_season m on m.team_id = s.team_id and m.season = s.season group by all) v group by f) e on e.f = x.conference) z where kind is not null""")(
     lambda t: entities.diff_conferences(
-        _our_membership(t), t.second_source.filter("season = 1998").select("outside_id", "team", "conference")))
+        _our_membership(t), t.second_source.select("outside_id", "team", "conference")))
 
 
 def _our_membership(t):
     from matchlens.operators.conference import team_seasons
 
-    ids = t.team_season_ids.filter("team_id <> 3 and season = 1998").select("team_id", "season", F.col("ncaa_team_id").alias("outside_id"))
+    ids = t.team_season_ids.select("team_id", "season", F.col("ncaa_team_id").alias("outside_id"))
     return ids.join(team_seasons(t), ["team_id", "season"]).select("outside_id", "team", "conference")
 
 

@@ -50,15 +50,15 @@ PORTABLE: dict[str, str] = {
           cast(sum(cast(l_quantity as int)) as double) as kills,
           cast(sum(cast(round(l_discount * 100) as int)) as double) as errors,
           cast(sum(cast(l_quantity as int)) + sum(cast(round(l_discount * 100) as int)) + 5 as double) as total_attacks,
-          case when min(l_returnflag) <> 'N' then cast(sum(l_suppkey % 40) as double) end as assists,
-          case when min(l_linestatus) = 'F' then cast(sum(cast(round(l_tax * 100) as int)) as double) end as aces,
-          case when min(l_returnflag) = 'R' then cast(sum(l_linenumber) as double) end as serr,
+          case when min(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end) <> 1 then cast(sum(l_suppkey % 40) as double) end as assists,
+          case when min(case l_linestatus when 'F' then 0 else 1 end) = 0 then cast(sum(cast(round(l_tax * 100) as int)) as double) end as aces,
+          case when min(case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end) = 2 then cast(sum(l_linenumber) as double) end as serr,
           cast(max(l_linenumber) as double) as digs,
           cast(sum(l_suppkey % 10) as double) as retatt,
           cast(min(l_linenumber) - 1 as double) as rerr,
           cast(count(*) as double) as block_solos,
           cast(min(l_linenumber) as double) as block_assists,
-          case when min(l_linestatus) = 'O' then cast(1 as double) end as berr,
+          case when min(case l_linestatus when 'F' then 0 else 1 end) = 1 then cast(1 as double) end as berr,
           cast(sum(cast(l_quantity as int)) + count(*) as double) as pts,
           cast(max(l_linenumber) % 2 as double) as bhe
         from {lineitem} join {contests} k on k.contest_id = cast(l_orderkey as string)

@@ -136,6 +136,6 @@ STAGED: dict[str, str] = {
         select season, team_id, id as true_id, number as jersey, case when id % 3 = 0 then concat(split_part(name, ' ', 3), ' ', split_part(name, ' ', 2), ' ', split_part(name, ' ', 1)) else concat('Someone ', cast(id as string)) end as name
         from {players}""",
     "second_source": """
-        select ncaa_team_id as outside_id, season, concat('T', cast(team_id as string)) as team, case when team_id % 11 = 0 then 'Zeta' else concat('League ', cast(coalesce(conference_id, team_id % 5) as string)) end as conference
+        select case when team_id % 11 = 5 then concat('X', ncaa_team_id) else ncaa_team_id end as outside_id, season, concat('T', cast(team_id as string)) as team, case when team_id % 11 = 0 then 'Zeta' else concat('League ', cast(coalesce(conference_id, team_id % 5) as string)) end as conference
         from {team_season_ids} where team_id % 13 <> 0""",
 }
