@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import id_files, packing, quality_rules
+from matchlens.llm import embedding_neighbours, id_files, mixing, packing, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"))
@@ -33,6 +38,28 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_stats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_hyperplane_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, (size, sizes, goals, uses) = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.col(size).alias("size"),
+        F.col(sizes)[0].alias("source_size"),
+        F.col(goals)[0].alias("target"),
+        (F.col(size) * F.col(uses)).alias("taken"),
+    )
+
+
+@query
+def op8_segment_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

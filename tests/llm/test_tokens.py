@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchlens.llm import id_files, packing, queries
+from matchlens.llm import id_files, packing, postings, queries, token_counts
 from matchlens.llm.pretokens import PieceMemo, split, vocabulary_path
 
 from .conftest import ODD_ROWS, documents
@@ -147,3 +147,21 @@ def test_payload_is_raw_ids(spark, tmp_path):
     content = id_files.shard_files(spark, str(tmp_path / "raw")).filter(F.col("length") > 40).first().content
     want = [*ids_of("one"), 0, *ids_of("two words"), 0]
     assert np.frombuffer(bytes(content[: 2 * len(want)]), "<u2").tolist() == want
+
+
+def test_token_counts_whole_table(spark, sf):
+    want = {r.doc_id: (len(r.text.encode()), len(ids_of(r.text))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.QUERIES["op1_token_counts"](spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want and len(got) == len(want)
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+
+
+def test_token_counts_odd_rows(spark, monkeypatch):
+    rows = [*ODD_ROWS, (10, "<|endoftext|>"), (11, "\U0003fffd new"), (12, "ab " * 700)]
+    want = sorted(((i, len((t or "").encode()), len(ids_of(t))) for i, t in rows), key=str)
+    for block, pending in ((1 << 24, 4_000_000), (100, 3)):
+        monkeypatch.setattr(postings, "BLOCK_BYTES", block)
+        monkeypatch.setattr(postings, "PENDING", pending)
+        got = token_counts.token_counts(documents(spark, rows)).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == want
+    assert token_counts.token_counts(documents(spark, [])).count() == 0
