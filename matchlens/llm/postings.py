@@ -26,10 +26,13 @@ ROWS = 50_000
 #: Entries a task sums up before it sends partial sums on.
 PENDING = 4_000_000
 
-POSTINGS = "term binary, block long, places binary, times binary, doc_id long, slot long, n_bytes long, n_own long, flag boolean"
+POSTINGS = (
+    "term binary, block long, places binary, times binary, n_flagged long,"
+    " doc_id long, slot long, n_bytes long, n_terms long, value double, flag boolean"
+)
 
-#: Splits a text into terms, or returns a number when the text's count is known without them.
-Splitter = Callable[[str], "list[bytes] | list[str] | int"]
+#: For each text its terms and a value that is carried along.
+Splitter = Callable[[list[str]], "Iterator[tuple[list[bytes] | list[str], float | None]]"]
 
 
 class _Numbering(dict):
@@ -59,18 +62,17 @@ class _Block:
         self.docs: list[tuple] = []
         self.size = 0
 
-    def add(self, doc_id: int | None, n_bytes: int, terms, flag: bool) -> None:
+    def add(self, doc_id: int | None, n_bytes: int, terms, value: float | None, flag: bool) -> None:
         place = len(self.docs)
-        own = terms if isinstance(terms, int) else 0
-        self.docs.append((doc_id, self.number << PLACE_BITS | place, n_bytes, own, flag))
-        if not isinstance(terms, int) and terms:
+        self.docs.append((doc_id, self.number << PLACE_BITS | place, n_bytes, len(terms), value, flag))
+        if terms:
             ids = np.fromiter(map(self.numbering.__getitem__, terms), np.int64, len(terms))
             self.terms.append(ids << PLACE_BITS | place)
         self.size += n_bytes
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """The postings, then a row per document. Times over 255 are several entries."""
-        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
         names = [c.split()[0] for c in POSTINGS.split(", ")]
 
         def batch(n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -85,15 +87,17 @@ class _Block:
             capped[last] = times - 255 * (again - 1)
             places = (keys & (1 << PLACE_BITS) - 1).astype("<u2")
             ends = np.searchsorted(keys >> PLACE_BITS, np.arange(len(self.numbering) + 1))
+            flags = np.fromiter((d[-1] for d in self.docs), np.int64, len(self.docs))
+            flagged = np.add.reduceat(flags[places] * capped, ends[:-1])
             terms = list(self.numbering)
             for part in _batches(len(terms)):
                 bounds = ends[part.start : part.stop + 1]
                 words = [t if isinstance(t, bytes) else t.encode() for t in terms[part]]
                 n = len(words)
-                yield batch(n, {"term": pa.array(words, pa.binary()), "block": pa.array(np.full(n, self.number)), "places": _pack(places, bounds), "times": _pack(capped, bounds)})
+                yield batch(n, {"term": pa.array(words, pa.binary()), "block": pa.array(np.full(n, self.number)), "places": _pack(places, bounds), "times": _pack(capped, bounds), "n_flagged": pa.array(flagged[part])})
         for part in _batches(len(self.docs)):
             columns = list(zip(*self.docs[part]))
-            yield batch(len(columns[0]), {c: pa.array(v, k) for c, k, v in zip(names[4:], kinds[4:], columns)})
+            yield batch(len(columns[0]), {c: pa.array(v, k) for c, k, v in zip(names[5:], kinds[5:], columns)})
 
 
 def postings(docs: DataFrame, splitter: Callable[[], Splitter], flag=None) -> DataFrame:
@@ -111,8 +115,9 @@ def postings(docs: DataFrame, splitter: Callable[[], Splitter], flag=None) -> Da
         first = TaskContext.get().partitionId() << BLOCK_BITS
         block = _Block(first)
         for b in batches:
-            for doc_id, text, flagged in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                block.add(doc_id, len(text.encode()), split(text), flagged)
+            texts = b.column(1).to_pylist()
+            for doc_id, text, flagged, found in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), split(texts)):
+                block.add(doc_id, len(text.encode()), *found, flagged)
                 if block.size >= BLOCK_BYTES or len(block.docs) == 1 << PLACE_BITS:
                     yield from block.rows()
                     block = _Block(block.number + 1)

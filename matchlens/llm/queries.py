@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import embedding_neighbours, id_files, mixing, packing, quality_rules, simhash, token_counts
+from matchlens.llm import context_trees, embedding_neighbours, id_files, mixing, packing, quality_classifier, quality_rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_stats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_trees.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_hyperplane_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -60,6 +65,11 @@ def op8_segment_popcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -37,9 +37,10 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     def splitter():
         memo = piece_memo(vocabulary)
 
-        def terms(text: str):
-            pieces = None if memo.special(text) else split(text)
-            return len(memo.encode([text])[0]) if pieces is None else pieces
+        def terms(texts: list[str]):
+            for text in texts:
+                pieces = None if memo.special(text) else split(text)
+                yield ([], len(memo.encode([text])[0])) if pieces is None else (pieces, 0)
 
         return terms
 
@@ -59,7 +60,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
             known = c["slot"].is_valid()
             if known.true_count:
                 own = b.filter(known)
-                yield pa.RecordBatch.from_arrays([own.column(n) for n in ("slot", "n_own", "doc_id", "n_bytes")], names=names)
+                whole = own.column("value").cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([own.column("slot"), whole, own.column("doc_id"), own.column("n_bytes")], names=names)
                 b = b.filter(c["slot"].is_null())
                 c = dict(zip(b.schema.names, b.columns))
             terms = c["term"].to_pylist()
