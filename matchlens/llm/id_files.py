@@ -268,12 +268,12 @@ def lookup(spark: SparkSession, index_path: str, segments: int, keys: DataFrame)
         marks = np.frombuffer(s["fingerprints"], "<u4")
         known = (number >= 0) & (marks[np.maximum(number, 0)] == (h2 >> np.uint64(32)).astype("<u4"))
         at = number[known]
-        out = rows.loc[known, RECORD_KEY].reset_index(drop=True)
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        out = rows.loc[known, ["doc", "none", "copy"]].reset_index(drop=True)
+        out.insert(0, "doc_id", pd.arrays.IntegerArray(out.pop("doc").to_numpy(np.int64), out.pop("none").to_numpy(bool)))
         return out.assign(shard=np.frombuffer(s["shards"], "<i4")[at], offset=np.frombuffer(s["offsets"], "<i8")[at], n_tokens=np.frombuffer(s["lengths"], "<i8")[at])
 
     return (
-        asked.select(*RECORD_KEY, "h1", "h2", "segment")
+        asked.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().alias("none"), "copy", "h1", "h2", "segment")
         .groupBy("segment")
         .cogroup(index.groupBy("segment"))
         .applyInPandas(find, "doc_id long, copy long, shard int, offset long, n_tokens long")

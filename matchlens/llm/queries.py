@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import context_trees, embedding_neighbours, id_files, mixing, packing, quality_classifier, quality_rules, simhash, token_counts
+from matchlens.llm import context_trees, embedding_neighbours, id_files, mixing, packing, quality_classifier, quality_rules, repeats, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op5_hyperplane_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, (size, sizes, goals, uses) = mixing.mix(table(spark, sf_dir, "documents"))
