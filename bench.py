@@ -1,6 +1,7 @@
 """Wall time of the headline queries. Prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 4).
+All headline queries, each after the same warm-up. BENCH_SF_DIR (default /root/testdata/sf0.1),
+BENCH_CPUS (default 4), BENCH_RUNS (default 1; the median counts).
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ def main() -> None:
     runs_each = int(os.environ.get("BENCH_RUNS", "1"))
     seconds: dict[str, float] = {}
     run = lambda name, where=sf_dir: queries[name](spark, where).write.format("noop").mode("overwrite").save()
-    # BENCH_WARM=1 runs every query on the smallest data beside the measured one first.
+    # Every query runs on the smallest data beside the measured one first.
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     warm = small if os.path.isdir(small) else sf_dir
-    for name in HEADLINE if os.environ.get("BENCH_WARM") else HEADLINE[:1]:
+    for name in HEADLINE:
         run(name, warm)
         times = []
         for _ in range(runs_each):
