@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchlens.constants import BANDS, TERMINAL_WORDS, TOUCH_WORDS
+from matchlens.functions.numbers import round_to
 from matchlens.functions.text import normalize_text
 
 
@@ -121,12 +122,12 @@ def nationally(pct: Column) -> Column:
 
 def hit_text(v: Column) -> Column:
     """Hitting percentage without the leading zero: .245, -.050."""
-    s = F.regexp_replace(F.format_string("%.3f", F.abs(v)), "^0+", "")
+    s = F.regexp_replace(F.format_string("%.3f", round_to(F.abs(v), 3)), "^0+", "")
     return F.when(v.isNull(), "—").when(v < 0, F.concat(F.lit("-"), s)).otherwise(s)
 
 
 def rate_text(v: Column) -> Column:
-    return F.when(v.isNull(), "—").otherwise(F.format_string("%.1f", v))
+    return F.when(v.isNull(), "—").otherwise(F.format_string("%.1f", round_to(v, 1)))
 
 
 def share_text(v: Column) -> Column:

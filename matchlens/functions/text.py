@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from matchlens.constants import CLASS_ORDINALS, SCHOOL_STOP_WORDS, STAFF_WORDS
 
-# Accented Latin letters and the letters they fold to.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĖėĘęĚěĞğĪīĮįİĹĺĽľŃńŅņŇňŌōŐőŔŕŘřŚśŞşŠšŢţŤťŪūŮůŰűŲųŹźŻżŽž"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeEeGgIiIiILlLlNnNnNnOoOoRrRrSsSsSsTtTtUuUuUuUuZzZzZz"
-
 # Characters of code page 1252 outside Latin-1 and the bytes they stand for.
 CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
-CP1252_BYTES = bytes.fromhex("80 82 83 84 85 86 87 88 89 8a 8b 8c 8e 91 92 93 94 95 96 97 98 99 9a 9b 9c 9e 9f").decode("latin-1")
+CP1252_BYTES = CP1252_CHARS.encode("cp1252").decode("latin-1")
+
+
+@functools.cache
+def folding() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without combining marks does to single characters.
+
+    Characters that become one other, those others, and a map of the characters that become several.
+    Marks themselves stand last in the first text, without a counterpart. Hangul syllables, which fall
+    into their letters by a rule, stay whole.
+    """
+    one, marks, several = [], [], {}
+    for point in range(0x80, sys.maxunicode + 1):
+        char = chr(point)
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif unicodedata.decomposition(char):
+            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+            if len(plain) == 1 and plain != char:
+                one.append((char, plain))
+            elif plain != char:
+                several[char] = plain
+    return "".join(c for c, _ in one) + "".join(marks), "".join(p for _, p in one), several
 
 
 def _c(col: Column | str) -> Column:
@@ -56,20 +76,22 @@ def fix_mojibake(col: Column | str) -> Column:
     return F.coalesce(F.try_validate_utf8(raw.cast("string")), col)
 
 
-@F.pandas_udf(StringType())
-def _fold_rest(texts: pd.Series) -> pd.Series:
-    folded = texts.str.normalize("NFKD")
-    return folded.str.replace("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]", "", regex=True)
-
-
 def strip_accents(col: Column | str) -> Column:
-    """Accented Latin letters as plain ones, inside the JVM."""
-    return F.translate(_c(col), ACCENTED, UNACCENTED)
-
-
-def strip_accents_any_script(col: Column | str) -> Column:
-    """The same for any script, through one Arrow batch function."""
-    return _fold_rest(_c(col))
+    """Accented and compatibility letters of any script as plain ones, inside the JVM."""
+    single, plain, several = folding()
+    col = F.translate(_c(col), single, plain)
+    # Ligatures, fractions and the like are rare: only texts that hold one are taken apart.
+    table = F.str_to_map(F.lit("\uf8ff".join(f"{c}\uf8fe{p}" for c, p in several.items())), F.lit("\uf8ff"), F.lit("\uf8fe"))
+    spelled = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(col.rlike(_any_of(several)), spelled).otherwise(col)
+
+
+def _any_of(chars) -> str:
+    """A character class of the given characters, as ranges."""
+    points = sorted(map(ord, chars))
+    starts = [p for i, p in enumerate(points) if i == 0 or p != points[i - 1] + 1]
+    ends = [p for i, p in enumerate(points) if i + 1 == len(points) or p != points[i + 1] - 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
 
 
 def normalize_player_name(col: Column | str) -> Column:

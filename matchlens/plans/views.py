@@ -86,8 +86,8 @@ def half_even(text: str) -> str:
         digits = text[comma + 1 : j - 1].strip()
         inner = half_even(text[i + 6 : comma])
         plain = f"round({inner}, {digits})"
-        scale = f"1{'0' * int(digits)}.0::double"
-        out += text[at:i] + (f"(round_even(cast({inner} as double) * {scale}, 0) / {scale})" if digits in ("1", "2", "3") else plain)
+        exact = f"cast(format('{{:.{digits}f}}', cast({inner} as double)) as double)"
+        out += text[at:i] + (exact if digits in ("1", "2", "3") else plain)
         at = j
     return out + text[at:]
 
