@@ -1,12 +1,14 @@
 """Loads as merges: the stored rows and the new ones give the rows to store.
 
-Each function returns the merged DataFrame. :func:`store` writes it, replacing only the partitions
-it holds, so that a run repeated or restarted leaves the same table.
+Each function returns the merged DataFrame; :func:`store` writes it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.session import shared_dir
@@ -94,16 +96,33 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.when(F.col("_n").isNull(), 1)).alias("untouched"))
 
 
-def store(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Replace the partitions present in ``df``; others stay.
+def store(df: DataFrame, path: str, partition_by: list[str], covered: DataFrame | None = None) -> None:
+    """Replace the partitions present in ``df``; others stay, so a run repeated or restarted leaves the
+    same table.
+
+    ``covered`` holds the old rows that went into the merge, or their keys: a partition that it has and
+    ``df`` does not was emptied, and goes.
 
     ``df`` may read the table it is written to, so it is first written to the shared folder: the
     swap then depends on files, not on recomputing a source that is being replaced.
     """
-    import uuid
-
     spark = df.sparkSession
     staged = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(staged)
     ready = spark.read.schema(df.schema).parquet(staged).select(*df.columns)
+    emptied = [] if covered is None else covered.select(*partition_by).distinct().join(ready.select(*partition_by).distinct(), partition_by, "left_anti").collect()
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    for row in emptied:
+        remove(spark, "/".join([path, *[f"{c}={partition_name(row[c])}" for c in partition_by]]))
+    remove(spark, staged)
+
+
+def partition_name(value) -> str:
+    """A partition value as it stands in a folder's name."""
+    return "__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" -_.,()~!@&;$+")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -17,6 +17,7 @@ from matchlens.session import shared_dir
 from matchlens.sources.merge import refresh_forward, replace_keys, store
 
 LATE = "3 days"
+BATCH = "batch_id"
 # The epoch fell on a Thursday; four days on is the first Monday.
 MONDAY = "4 days"
 
@@ -106,7 +107,7 @@ def event_sink(path: str) -> Callable[[DataFrame, int], None]:
         new = batch.dropDuplicates(keys)
         old = _stored(batch.sparkSession, path, batch)
         touched = old.join(new.select("season").distinct(), "season", "left_semi").select(*batch.columns)
-        store(replace_keys(touched, new, keys), path, ["season"])
+        store(replace_keys(touched, new, keys), path, ["season"], covered=touched)
 
     return write
 
@@ -127,24 +128,28 @@ def recompute_sink(source: str, path: str, rebuild: Callable[[DataFrame], DataFr
         old = _stored(spark, path, made)
         kept = old.join(touched.select("season").distinct(), "season", "left_semi").select(*made.columns)
         kept = kept.join(touched, ["season", "contest_id"], "left_anti").select(*made.columns)
-        store(kept.unionByName(made), path, ["season"])
+        store(kept.unionByName(made), path, ["season"], covered=touched)
 
     return write
 
 
 def split_late_sink(path: str, late_path: str, time: str, days: int = 3) -> Callable[[DataFrame, int], None]:
-    """Rows older than the newest stored one by more than ``days`` go to a gap table for a batch job."""
+    """Rows older than the newest stored one by more than ``days`` go to a gap table for a batch job.
+
+    Both tables are partitioned by the number of the micro-batch, of one checkpoint, so that a batch
+    that is sent again after a failure replaces what it stored before.
+    """
 
     def write(batch: DataFrame, _id: int) -> None:
-        stored = _stored(batch.sparkSession, path, batch)
-        newest = stored.agg(F.max(time)).scalar()
-        old = newest.isNotNull() & (F.col(time) < newest - F.make_dt_interval(F.lit(days)))
-        marked = batch.withColumn("_late", F.coalesce(old, F.lit(False)))
-        staged = fresh_dir(batch.sparkSession, "split")
-        marked.write.parquet(staged)
-        done = batch.sparkSession.read.parquet(staged)
-        done.filter("not _late").drop("_late").write.mode("append").parquet(path)
-        done.filter("_late").drop("_late").write.mode("append").parquet(late_path)
+        stored = _stored(batch.sparkSession, path, batch.withColumn(BATCH, F.lit(_id).cast("long")))
+        # Rows of this batch stored by an earlier try do not count as newer ones.
+        before = stored.filter(F.col(BATCH) != _id) if BATCH in stored.columns else stored
+        newest = before.agg(F.max(time)).first()[0]
+        late = F.coalesce(F.col(time) < F.lit(newest) - F.make_dt_interval(F.lit(days)), F.lit(False)) if newest else F.lit(False)
+        marked = batch.withColumns({"_late": late, BATCH: F.lit(_id).cast("long")})
+        # A batch sent again replaces its own partition, so it is stored once.
+        for rows, to in ((marked.filter("not _late"), path), (marked.filter("_late"), late_path)):
+            rows.drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(to)
 
     return write
 
@@ -155,7 +160,7 @@ def refresh_sink(path: str, keys: list[str], day: str, today: str, last: str, pa
     def write(batch: DataFrame, _id: int) -> None:
         new = batch.dropDuplicates(keys)
         old = _stored(batch.sparkSession, path, batch)
-        store(refresh_forward(old, new, keys, day, today, last).select(*batch.columns), path, partition_by)
+        store(refresh_forward(old, new, keys, day, today, last).select(*batch.columns), path, partition_by, covered=old)
 
     return write
 
