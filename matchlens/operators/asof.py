@@ -74,7 +74,7 @@ def quality_wins(
     wins = with_conference(wins, t)
     if conference is not None:
         wins = wins.filter(conference)
-    opp = t.dim("teams").select(F.col("id").alias("loser_id"), F.col("name").alias("opponent"), F.col("short_name").alias("opponent_short"))
+    opp = t.teams.select(F.col("id").alias("loser_id"), F.col("name").alias("opponent"), F.col("short_name").alias("opponent_short"))
     return wins.join(opp, "loser_id", "left").select(
         "season", "team_id", "team", "team_short", "conference", "conference_short", F.col("loser_id").alias("opponent_id"),
         "opponent", "opponent_short", "rank_at_time", F.lit(poll).alias("poll"), F.col("day").alias("date"), "score", "contest_id",
@@ -122,7 +122,7 @@ def biggest_upsets(
     ]
     best = top_per(rows, ["season"], order, limit)
     for who in ("winner", "loser"):
-        names = t.dim("teams").select(F.col("id").alias(f"{who}_id"), F.col("name").alias(who))
+        names = t.teams.select(F.col("id").alias(f"{who}_id"), F.col("name").alias(who))
         best = best.join(names, f"{who}_id", "left")
     return best.select(
         "season", "rank", "winner_id", "winner", "loser_id", "loser", "winner_rpi", "winner_avca", "loser_rpi", "loser_avca",

@@ -10,11 +10,11 @@ from matchlens.tables import Tables
 
 def team_seasons(t: Tables) -> DataFrame:
     """One row per (team, season) with the conference the team belonged to that season."""
-    teams = t.dim("teams").select(
+    teams = t.teams.select(
         F.col("id").alias("team_id"), F.col("name").alias("team"), F.col("short_name").alias("team_short"),
         F.col("conference_id").alias("_current"), "rpi_rank", "rpi_record", "avca_rank",
     )
-    conf = t.dim("conferences").select(
+    conf = t.conferences.select(
         F.col("id").alias("conference_id"), F.col("name").alias("conference"),
         F.col("short_name").alias("conference_short"),
     )
@@ -33,14 +33,14 @@ def with_conference(df: DataFrame, t: Tables, team: str = "team_id", season: str
     A team without an entry for the season keeps its current conference; an unknown team keeps the
     row with null labels.
     """
-    teams = t.dim("teams").select(
+    teams = t.teams.select(
         F.col("id").alias(team), F.col("name").alias("team"), F.col("short_name").alias("team_short"),
         F.col("conference_id").alias("_current"),
     )
-    then = t.dim("team_season_ids").select(
+    then = t.team_season_ids.select(
         F.col("team_id").alias(team), F.col("season").alias(season), F.col("conference_id").alias("_then")
     )
-    conf = t.dim("conferences").select(
+    conf = t.conferences.select(
         F.col("id").alias("conference_id"), F.col("name").alias("conference"),
         F.col("short_name").alias("conference_short"),
     )
@@ -59,5 +59,5 @@ def conferences_in_season(t: Tables, season: int | None = None) -> DataFrame:
 
     present = one_season(team_seasons(t), season).select("season", "conference_id").distinct()
     return present.join(
-        t.dim("conferences").select(F.col("id").alias("conference_id"), "name", "short_name"), "conference_id"
+        t.conferences.select(F.col("id").alias("conference_id"), "name", "short_name"), "conference_id"
     ).select("season", F.col("conference_id").alias("id"), "name", "short_name")

@@ -36,7 +36,7 @@ def resolve_team(df: DataFrame, t: Tables, text: str, out: str, *, by_slug: bool
     """
     spelled = F.col("spelling")
     kinds = {"_slug": school_slug, "_key": school_key} if by_slug else {"_key": school_key}
-    known = t.sized_like("teams", team_keys(t, *[f(spelled) for f in kinds.values()], short_first=short_first))
+    known = team_keys(t, *[f(spelled) for f in kinds.values()], short_first=short_first)
     texts = df.select(text).filter(F.col(text).isNotNull()).distinct().withColumns({n: f(text) for n, f in kinds.items()})
     for name in kinds:
         texts = texts.join(known.select(F.col("key").alias(name), F.col("found_team_id").alias(f"{name}_id")), name, "left")
@@ -56,13 +56,13 @@ def find_team(t: Tables, text: str) -> DataFrame:
 
 def resolve_by_id_or_name(df: DataFrame, t: Tables, id_col: str, name_col: str, out: str) -> DataFrame:
     """Outside id of the season first, then the name."""
-    ids = t.dim("team_season_ids").select(F.col("season"), F.col("ncaa_team_id").alias(id_col), F.col("team_id").alias("_by_id"))
+    ids = t.team_season_ids.select(F.col("season"), F.col("ncaa_team_id").alias(id_col), F.col("team_id").alias("_by_id"))
     df = df.join(ids, ["season", id_col], "left")
     return resolve_team(df, t, name_col, "_by_name").withColumn(out, F.coalesce("_by_id", "_by_name")).drop("_by_id", "_by_name")
 
 
 def team_by_outside_id(df: DataFrame, t: Tables, id_col: str, out: str) -> DataFrame:
-    ids = t.dim("team_season_ids").select("season", F.col("ncaa_team_id").alias(id_col), F.col("team_id").alias(out))
+    ids = t.team_season_ids.select("season", F.col("ncaa_team_id").alias(id_col), F.col("team_id").alias(out))
     return df.join(ids, ["season", id_col], "left")
 
 
@@ -70,12 +70,12 @@ def resolve_conference(df: DataFrame, t: Tables, label: str, out: str = "confere
     """Feed label → conference: aliased full name, then the label as name, then as short name."""
     alias = F.create_map(*[F.lit(x) for pair in CONFERENCE_ALIASES.items() for x in pair])
     df = df.withColumn("_full", F.coalesce(F.try_element_at(alias, F.col(label)), F.col(label)))
-    conf = t.dim("conferences")
+    conf = t.conferences
     by_name = conf.groupBy("name").agg(F.min("id").alias("_i"))
     by_short = conf.groupBy("short_name").agg(F.min("id").alias("_i"))
-    df = df.join(t.sized_like("conferences", by_name.select(F.col("name").alias("_full"), F.col("_i").alias("_1"))), "_full", "left")
-    df = df.join(t.sized_like("conferences", by_name.select(F.col("name").alias(label), F.col("_i").alias("_2"))), label, "left")
-    df = df.join(t.sized_like("conferences", by_short.select(F.col("short_name").alias(label), F.col("_i").alias("_3"))), label, "left")
+    df = df.join(by_name.select(F.col("name").alias("_full"), F.col("_i").alias("_1")), "_full", "left")
+    df = df.join(by_name.select(F.col("name").alias(label), F.col("_i").alias("_2")), label, "left")
+    df = df.join(by_short.select(F.col("short_name").alias(label), F.col("_i").alias("_3")), label, "left")
     return df.withColumn(out, F.coalesce("_1", "_2", "_3")).drop("_1", "_2", "_3").withColumnRenamed("_full", f"{out}_name")
 
 
@@ -132,7 +132,7 @@ def assign_starters(lines: DataFrame, t: Tables) -> DataFrame:
     ``lines`` has one row per name: ``season``, ``contest_id``, ``set_number``, ``line_no``, ``name``. The side whose roster matches more of the names gets the line; the home side on a tie, and
     nobody when no name matches.
     """
-    games = t.sized_like("contests", t.contests.select("contest_id", "home_team_id", "away_team_id"))
+    games = t.contests.select("contest_id", "home_team_id", "away_team_id")
     spread = lines.join(games, "contest_id").select(
         "season", "contest_id", "set_number", "line_no", "name", "home_team_id", "away_team_id"
     ).withColumn("s", F.explode(F.array(
@@ -206,7 +206,7 @@ def backfill_short_names(t: Tables, harvested: DataFrame, season: int | None = N
     ids = t.team_season_ids if season is None else t.team_season_ids.filter(F.col("season") == season)
     return (
         ids.join(harvested.select(F.col("outside_id").alias("ncaa_team_id"), F.col("name").alias("new_short")), "ncaa_team_id")
-        .join(t.dim("teams").select(F.col("id").alias("team_id"), F.col("short_name").alias("old_short")), "team_id")
+        .join(t.teams.select(F.col("id").alias("team_id"), F.col("short_name").alias("old_short")), "team_id")
         .filter(~F.col("old_short").eqNullSafe(F.col("new_short"))).select("team_id", "season", "old_short", "new_short")
     )
 

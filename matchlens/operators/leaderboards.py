@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from matchlens.functions.numbers import round_to
 from matchlens.constants import (
-    API_LIMIT, GAME_STATS, LEADER_COMPONENTS, QUALIFIER_QUANTILE, QUALIFIERS, SEASON_STATS, TOOL_LIMIT,
+    GAME_STATS, LEADER_COMPONENTS, QUALIFIER_QUANTILE, QUALIFIERS, SEASON_STATS,
 )
 from matchlens.functions.predicates import contains, roster_filters
 from matchlens.operators.conference import with_conference
-from matchlens.operators.ranking import check_choice, clamp_limit, directed, top_per
+from matchlens.operators.ranking import check_choice, directed, top_per
 from matchlens.operators.totals import fantasy_points, ratio, season_totals, week_totals
 from matchlens.tables import Tables, one_season
 
@@ -59,7 +59,7 @@ def player_leaderboard(
         rows = rows.filter(F.col("conference_id") == conference_id)
     rows = rows.withColumn("value", F.col(stat))
     order = [directed("value"), F.col("player_id")]
-    return top_per(rows, _keys(scope), order, clamp_limit(limit, API_LIMIT), offset).select(
+    return top_per(rows, _keys(scope), order, limit, offset).select(
         *_keys(scope), "rank", "player_id", "name", "team_id", "team", "conference", "position", "class_year",
         "height_inches", F.col("gp").alias("games"), F.col("sp").alias("sets"), "value",
         *[F.col(c).alias(f"c_{c}") for c in LEADER_COMPONENTS],
@@ -79,7 +79,7 @@ def leaderboard(
         rows = rows.filter(F.col("sp") >= float(min_sets))
     rows = rows.join(roster(t, season).filter(roster_filters(**filters)), ["player_id", "season"])
     keys = [directed("value", order), F.col("player_id")]
-    return top_per(rows, ["season"], keys, clamp_limit(limit, TOOL_LIMIT)).select(
+    return top_per(rows, ["season"], keys, limit).select(
         "season", "rank", "player_id", F.col("name").alias("player"), "team", "conference", "class_year", "position",
         "hometown", "high_school", F.col("gp").alias("games"), F.col("sp").alias("sets"),
         F.col("retatt").alias("receptions"), F.col("rerr").alias("reception_errors"), F.lit(stat).alias("stat"), "value",
@@ -104,7 +104,7 @@ def fantasy_leaderboard(
         text = q.strip()
         rows = rows.filter(contains("name", text) | contains("team", text) | contains("team_short", text))
     order = [directed("value"), F.col("player_id")]
-    return top_per(rows, _keys(scope), order, clamp_limit(limit, API_LIMIT), offset).select(
+    return top_per(rows, _keys(scope), order, limit, offset).select(
         *_keys(scope), "rank", "player_id", "name", "team", "conference", "position", F.col("gp").alias("games"),
         F.col("sp").alias("sets"), round_to("value", 2).alias("value"),
     )
@@ -163,11 +163,11 @@ def game_highs(
             people = people if keep is None else people.filter(keep)
         rows = rows.join(people, ["player_id", "season"])
     order = [directed("value"), F.col("contest_id"), F.col("player_id")]
-    best = top_per(rows, ["season"], order, clamp_limit(limit, TOOL_LIMIT))
+    best = top_per(rows, ["season"], order, limit)
     if not filtered:
         best = best.join(people, ["player_id", "season"])
     games = t.contests.select("contest_id", "date", "home_team_id", "away_team_id")
-    names = t.dim("teams").select(F.col("id").alias("_opp"), F.col("name").alias("opponent"))
+    names = t.teams.select(F.col("id").alias("_opp"), F.col("name").alias("opponent"))
     return (
         best.join(games, "contest_id", "left")
         .withColumn("_opp", F.when(F.col("side_id") == F.col("away_team_id"), F.col("home_team_id")).otherwise(F.col("away_team_id")))
@@ -194,7 +194,7 @@ def double_doubles(t: Tables, season: int | None = None, people_filter: Column |
         people = people.filter(people_filter)
     rows = counts.join(people, ["player_id", "season"])
     order = [F.desc("double_doubles"), F.desc("triple_doubles"), F.col("player_id")]
-    return top_per(rows, ["season"], order, clamp_limit(limit, TOOL_LIMIT)).select(
+    return top_per(rows, ["season"], order, limit).select(
         "season", "rank", "player_id", F.col("name").alias("player"), "team", "conference", "position",
         "double_doubles", "triple_doubles",
     )

@@ -25,7 +25,7 @@ def set_lineups(t: Tables, season: int | None = None, given: bool = True) -> Dat
     first = seen.groupBy("season", *SET, "team_id", "player_id").agg(
         F.min_by(F.struct("touch_type", "rally_number", "player_name"), "seq").alias("f"),
         F.max((F.col("touch_type") != "sub_out").cast("int")).alias("was_on"),
-    ).join(t.sized_like("contests", sides(t, season)), "contest_id").filter(F.col("team_id").isin(F.col("home_team_id"), F.col("away_team_id")))
+    ).join(sides(t, season), "contest_id").filter(F.col("team_id").isin(F.col("home_team_id"), F.col("away_team_id")))
     people = one_season(t.players, season).select(F.col("id").alias("player_id"), "season", F.col("name").alias("roster_name"), "position", "number")
     rows = first.join(people, ["player_id", "season"], "left")
     kind, early = F.col("f.touch_type"), F.col("f.rally_number") == 0
@@ -46,8 +46,8 @@ def set_lineups(t: Tables, season: int | None = None, given: bool = True) -> Dat
     any_listed = F.max(F.coalesce("listed", F.lit(False))).over(Window.partitionBy(*SET, "team_id"))
     rows = rows.withColumn("role", F.when(any_listed, F.when(F.col("listed"), "starter").otherwise("sub")).otherwise(F.col("role"))).drop("listed")
     # A listed starter without any event still needs the season and side of the match.
-    games = t.sized_like("contests", one_season(t.contests, season).select(
-        "contest_id", F.col("season").alias("_season"), F.col("home_team_id").alias("_home")))
+    games = one_season(t.contests, season).select(
+        "contest_id", F.col("season").alias("_season"), F.col("home_team_id").alias("_home"))
     rows = rows.join(games, "contest_id").withColumns({
         "season": F.coalesce("season", "_season"),
         "side": F.coalesce("side", F.when(F.col("team_id") == F.col("_home"), "home").otherwise("away")),

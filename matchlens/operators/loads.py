@@ -210,7 +210,7 @@ def enrich_ranks(t: Tables, table: DataFrame, poll: str) -> DataFrame:
 
 def resolve_listed_games(games: DataFrame, t: Tables) -> DataFrame:
     """Outside scoreboard games with our two teams, by slug, else by the slug of the short name."""
-    keys = t.sized_like("teams", team_keys(t, school_slug(F.col("spelling")), short_first=True))
+    keys = team_keys(t, school_slug(F.col("spelling")), short_first=True)
     for i in (0, 1):
         seo, short = F.col("seonames")[i], school_slug(F.col("name_shorts")[i])
         games = games.withColumns({"_a": seo, "_b": short})

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.functions.numbers import round_to
-from matchlens.constants import TOOL_LIMIT
 from matchlens.functions.predicates import contains, roster_filters
 from matchlens.operators.conference import team_seasons
 from matchlens.operators.leaderboards import roster
 from matchlens.operators.people import height_text
-from matchlens.operators.ranking import clamp_limit, directed, top_per
+from matchlens.operators.prefix import running_by_chunk
+from matchlens.operators.ranking import directed, top_per
 from matchlens.operators.totals import season_totals
 from matchlens.tables import Tables, one_season
 
@@ -22,7 +22,7 @@ def search_players(
     """Players by name and roster attributes, alphabetically or by height."""
     rows = roster(t, season).filter(roster_filters(**filters))
     keys = [directed("height_inches", order)] if sort_by == "height" else []
-    return top_per(rows, ["season"], [*keys, F.col("name"), F.col("player_id")], clamp_limit(limit, TOOL_LIMIT)).select(
+    return top_per(rows, ["season"], [*keys, F.col("name"), F.col("player_id")], limit).select(
         "player_id", "season", "rank", F.col("name").alias("player"), "team_id", "team", "conference", "position", "class_year",
         "number", "height_inches", height_text("height_inches").alias("height"), "hometown", "high_school",
     )
@@ -30,7 +30,7 @@ def search_players(
 
 def list_teams(t: Tables, query: str | None = None, conference: Column | None = None, state: str | None = None) -> DataFrame:
     """Teams by name, short name or alias, with their current conference."""
-    conf = t.dim("conferences").select(F.col("id").alias("conference_id"), F.col("name").alias("conference"), F.col("short_name").alias("conference_short"))
+    conf = t.conferences.select(F.col("id").alias("conference_id"), F.col("name").alias("conference"), F.col("short_name").alias("conference_short"))
     rows = t.teams.join(conf, "conference_id", "left")
     if query:
         rows = rows.filter(contains("name", query) | contains("short_name", query) | F.exists("aliases", lambda a: contains(a, query)))
@@ -80,13 +80,15 @@ def favorite_teams(t: Tables) -> DataFrame:
 
 def signups_by_day(t: Tables) -> DataFrame:
     """New accounts per day without gaps, and the running total."""
-    from pyspark.sql import Window
-
     daily = t.users.filter(F.col("created_at").isNotNull()).groupBy(F.to_date("created_at").alias("date")).agg(F.count(F.lit(1)).alias("new"))
-    # The calendar comes from one aggregated row, so its length is the number of days covered.
-    days = daily.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
+    # Years first, then the days of each, so that one far-off date makes no endless array.
+    span = daily.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    years = span.select("a", "b", F.explode(F.sequence(F.year("a"), F.year("b"))).alias("y"))
+    first, last = F.greatest("a", F.make_date("y", F.lit(1), F.lit(1))), F.least("b", F.make_date("y", F.lit(12), F.lit(31)))
+    days = years.select(F.explode(F.sequence(first, last)).alias("date"))
     out = days.join(daily, "date", "left").withColumn("new", F.coalesce("new", F.lit(0)))
-    return out.withColumn("cumulative", F.sum("new").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+    running = running_by_chunk(out, [], F.year("date"), ["date"], {"_before": "new"})
+    return running.select("date", "new", (F.col("_before") + F.col("new")).alias("cumulative"))
 
 
 def game_log(t: Tables, season: int | None = None) -> DataFrame:
@@ -98,7 +100,7 @@ def game_log(t: Tables, season: int | None = None) -> DataFrame:
     games = one_season(t.contests, season).select("contest_id", "date", "home_team_id", "away_team_id")
     weeks = contest_week_ids(t, season).select("contest_id", "week_number")
     pbp = player_pbp(one_season(t.pbp_events, season), ["contest_id", "player_id"])
-    names = t.dim("teams").select(F.col("id").alias("opponent_id"), F.col("name").alias("opponent"), F.col("short_name").alias("opponent_short"))
+    names = t.teams.select(F.col("id").alias("opponent_id"), F.col("name").alias("opponent"), F.col("short_name").alias("opponent_short"))
     rows = one_season(t.player_game_stats, season).join(games.join(weeks, "contest_id", "left"), "contest_id", "left")
     rows = rows.withColumns({
         "opponent_id": F.when(F.col("team_id") == F.col("away_team_id"), F.col("home_team_id")).otherwise(F.col("away_team_id")),

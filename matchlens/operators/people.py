@@ -167,7 +167,7 @@ def transfers(t: Tables) -> DataFrame:
         "seek": F.when(strict, F.col("_s0")).otherwise(F.col("_s1")),
         "found_team": F.when(strict, F.col("_t0")).otherwise(F.col("_t1")),
     }).filter(F.col("seek").isNotNull())
-    names = t.dim("teams").select(F.col("id").alias("previous_team_id"), F.col("name").alias("previous_team"))
+    names = t.teams.select(F.col("id").alias("previous_team_id"), F.col("name").alias("previous_team"))
     moved = F.col("found_team") != F.col("team_id")
     return out.select(
         "player_id", "season", moved.alias("transferred"),
@@ -190,7 +190,7 @@ def transfer_impact(
         people = people.filter(keep)
     how = "inner" if min_sets else "left"
     rows = moved.select("player_id", "season", "previous_team_id").join(lines, ["player_id", "season"], how).join(people, ["player_id", "season"])
-    names = t.dim("teams").select(F.col("id").alias("previous_team_id"), F.col("name").alias("previous_team"))
+    names = t.teams.select(F.col("id").alias("previous_team_id"), F.col("name").alias("previous_team"))
     digits = {"hit_pct": 3} | {c: 2 for c in ("kills_per_set", "assists_per_set", "aces_per_set", "digs_per_set", "blocks_per_set", "pts_per_set")}
     rows = rows.withColumns({c: round_to(c, d) for c, d in digits.items()})
     return top_per(rows, ["season"], [directed(sort_by), F.col("player_id")], limit).join(names, "previous_team_id", "left").select(

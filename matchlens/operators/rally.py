@@ -194,7 +194,7 @@ def sides(t: Tables, season: int | None = None) -> DataFrame:
 
 def events_with_sides(t: Tables, season: int | None = None) -> DataFrame:
     """Events with their contest's home and away team, partitioned by (contest, set)."""
-    both = t.sized_like("contests", sides(t, season))
+    both = sides(t, season)
     return by_set(one_season(t.pbp_events, season).join(both, "contest_id"))
 
 

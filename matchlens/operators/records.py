@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions.numbers import round_to
 from matchlens.operators.conference import team_seasons, with_conference
+from matchlens.operators.prefix import running_by_chunk
 from matchlens.operators.ranking import check_choice, directed, top_per
 from matchlens.tables import Tables, one_season
 
@@ -41,7 +42,7 @@ def streaks(t: Tables, season: int | None = None) -> DataFrame:
         F.max(F.when(F.col("won") == 0, F.col("at"))).alias("loss_at"),
     ).withColumn("hot", F.col("loss_at").isNull() | (F.coalesce(F.col("win_at") > F.col("loss_at"), F.lit(False))))
     last = last.select("season", "team_id", "hot", F.when(F.col("hot"), F.col("loss_at")).otherwise(F.col("win_at")).alias("turn"))
-    run = games.join(t.sized_like("team_season_ids", last), ["season", "team_id"]).filter(
+    run = games.join(last, ["season", "team_id"]).filter(
         F.col("turn").isNull() | (F.col("at") > F.col("turn"))
     )
     return run.groupBy("season", "team_id").agg(
@@ -98,10 +99,10 @@ def team_records(t: Tables, season: int | None = None) -> DataFrame:
 
 
 def standings(t: Tables, season: int | None = None) -> DataFrame:
-    """Records in order of wins, losses and share of sets, per season."""
-    order = [F.desc("wins"), F.asc("losses"), F.coalesce("set_pct", F.lit(0.0)).desc(), F.col("team_id")]
-    place = F.row_number().over(Window.partitionBy("season").orderBy(*order))
-    return team_records(t, season).withColumn("place", place)
+    """Records in order of wins, losses and share of sets, per season; ordered within equal wins."""
+    order = [F.asc("losses"), F.coalesce("set_pct", F.lit(0.0)).desc(), F.col("team_id")]
+    placed = running_by_chunk(team_records(t, season), ["season"], -F.col("wins"), order, {}, seq="place")
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def ranked_records(
@@ -147,7 +148,7 @@ def records_at(t: Tables, season: int | None = None) -> DataFrame:
     """
     games = with_conference(appearances(t, season).filter(F.col("date").isNotNull()), t).withColumnRenamed("conference_id", "my_conf")
     opp = team_seasons(t).select("season", F.col("team_id").alias("opp_id"), F.col("conference_id").alias("opp_conf"))
-    games = games.join(t.sized_like("team_season_ids", opp), ["season", "opp_id"], "left").withColumn(
+    games = games.join(opp, ["season", "opp_id"], "left").withColumn(
         "same", F.coalesce((F.col("opp_conf") == F.col("my_conf")).cast("int"), F.lit(0))
     )
     days = games.groupBy("season", "team_id", "date").agg(
@@ -171,7 +172,7 @@ def contest_headers(t: Tables, season: int | None = None) -> DataFrame:
         "contest_id", "season", "date", "home_team_id", "away_team_id", "home_sets_won", "away_sets_won"
     )
     at = records_at(t, season)
-    names = t.dim("teams").select("id", "name")
+    names = t.teams.select("id", "name")
     for side in ("home", "away"):
         rec = at.select(
             "season", "date", F.col("team_id").alias(f"{side}_team_id"), F.col("record").alias(f"{side}_record"),

@@ -97,7 +97,7 @@ def scoreboard(t: Tables, season: int | None = None, window: Column | None = Non
     """Played and upcoming matches, optionally within a date window on ``date``."""
     board = played(t, season).unionByName(upcoming(t, season), allowMissingColumns=True)
     board = board if window is None else board.filter(window)
-    names = t.dim("teams")
+    names = t.teams
     for side in ("home", "away"):
         board = board.join(names.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(f"{side}_team")), f"{side}_team_id", "left")
     return board
@@ -132,7 +132,7 @@ def team_schedule(t: Tables, season: int | None = None, upcoming_only: bool = Fa
         days = done.filter(F.col("date").isNotNull()).select("season", "team_id", day_of("date").alias("_day")).distinct()
         listed = listed.withColumn("_day", day_of("date")).join(days, ["season", "team_id", "_day"], "left_anti").drop("_day")
     rows = listed if upcoming_only else done.unionByName(listed, allowMissingColumns=True)
-    names = t.dim("teams").select(F.col("id").alias("opponent_id"), F.col("name").alias("_o"))
+    names = t.teams.select(F.col("id").alias("opponent_id"), F.col("name").alias("_o"))
     rows = rows.join(names, "opponent_id", "left")
     name = F.coalesce("_o", "opponent_name") if "opponent_name" in rows.columns else F.col("_o")
     return rows.withColumn("opponent", name).drop("_o", "opponent_name")
@@ -143,7 +143,7 @@ def games_on(t: Tables, season: int | None = None, window: Column | None = None)
 
     A listing is dropped when its pair played that day. ``window`` limits ``date``.
     """
-    ranks = t.dim("teams").select("id", "name", "avca_rank")
+    ranks = t.teams.select("id", "name", "avca_rank")
     done = one_season(t.contests, season).filter(F.col("date").isNotNull()).select(
         "season", day_of("date").alias("date"), F.lit("final").alias("status"), "home_team_id", "away_team_id",
         F.concat(F.col("away_sets_won").cast("string"), F.lit("-"), F.col("home_sets_won").cast("string")).alias("score"))
@@ -171,15 +171,19 @@ def overlay_live(board: DataFrame, live: DataFrame, t: Tables) -> DataFrame:
     """Put in-progress and just-finished scores onto upcoming rows; played rows are left alone.
 
     Rows match by outside id, else by day and pair of slugs. A feed lists the visitor first; where
-    our home side is its visitor the scores are turned round.
+    our home side is its visitor the scores are turned round. Of several rows of a game the newest (``at``,
+    where the feed tells) counts, and a final one before a live one of the same time.
     """
+    final = F.lower("game_state") == "final"
+    newest = [F.col("at")] if "at" in live.columns else []
+    at = F.struct(*newest, final, F.col("home_sets_won") + F.col("away_sets_won"), "home_sets_won", F.col("seonames")[0], "current_period")
     feed = live.filter(F.lower("game_state").isin("live", "final")).select(
         F.col("ncaa_game_id").alias("_id"), F.col("date").alias("_day"), F.struct(
             F.lower("game_state").alias("state"), F.col("seonames")[0].alias("visitor"), "home_sets_won", "away_sets_won", "current_period").alias("g"),
-        F.concat_ws("|", F.array_sort(F.filter("seonames", lambda s: s != ""))).alias("_slugs"))
-    by_id = feed.filter(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("ncaa_game_id")).agg(F.max("g").alias("_g1"))
-    by_pair = feed.groupBy("_day", "_slugs").agg(F.max("g").alias("_g2"))
-    slugs = t.dim("teams").select(F.col("id"), school_slug(F.coalesce("short_name", "name")).alias("slug"))
+        F.concat_ws("|", F.array_sort(F.filter("seonames", lambda s: s != ""))).alias("_slugs"), at.alias("_at"))
+    by_id = feed.filter(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("ncaa_game_id")).agg(F.max_by("g", "_at").alias("_g1"))
+    by_pair = feed.groupBy("_day", "_slugs").agg(F.max_by("g", "_at").alias("_g2"))
+    slugs = t.teams.select(F.col("id"), school_slug(F.coalesce("short_name", "name")).alias("slug"))
     for side in ("home", "away"):
         board = board.join(slugs.select(F.col("id").alias(f"{side}_team_id"), F.col("slug").alias(f"_{side}_slug")), f"{side}_team_id", "left")
     both = F.when(F.col("_home_slug").isNotNull() & F.col("_away_slug").isNotNull(), F.concat_ws("|", F.array_sort(F.array("_home_slug", "_away_slug"))))

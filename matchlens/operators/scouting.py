@@ -16,7 +16,6 @@ from matchlens.operators.ranking import top_per
 from matchlens.operators.rally import phase_summary, rotation_summary, season_rollup
 from matchlens.operators.records import team_records
 from matchlens.operators.totals import ratio, season_totals
-from matchlens.session import cut
 from matchlens.tables import Tables, one_season
 
 KEYS = [m[0] for m in METRICS]
@@ -110,8 +109,9 @@ def team_metrics(t: Tables, season: int | None = None, records: DataFrame | None
 def league_standing(metrics: DataFrame) -> DataFrame:
     """Long form: value, mid-rank percentile, z-score and rank of every metric in its season.
 
-    Rates are measured against teams with enough matches, but every team is placed. A league has a
-    few hundred teams, so a (season, metric) group is small.
+    Rates are measured against teams with enough matches, but every team is placed. Equal values are
+    counted first; the running count over them goes through chunks of neighbouring values, so no task
+    orders a whole season.
     """
     entries: list[Column] = []
     for i, (key, label, up, rate, cat, kind, auto) in enumerate(METRICS):
@@ -119,15 +119,13 @@ def league_standing(metrics: DataFrame) -> DataFrame:
         entries += [F.lit(key), F.struct(*[F.lit(v).alias(n) for n, v in facts.items()])]
     spec = F.create_map(*entries)
     long = metrics.unpivot(["season", "team_id", "games"], KEYS, "key", "value").filter("value is not null").withColumn("s", spec[F.col("key")])
-    member = (~F.col("s.rate") | (F.col("games") >= MIN_DISTRIBUTION_MATCHES)).cast("int")
-    league = Window.partitionBy("season", "key")
-    upto = league.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    long = long.withColumn("_m", (~F.col("s.rate") | (F.col("games") >= MIN_DISTRIBUTION_MATCHES)).cast("int"))
+    league = ["season", "key"]
     val = F.when(F.col("_m") == 1, F.col("value"))
-    rows = long.withColumn("_m", member).withColumns({
-        "n": F.sum("_m").over(league).cast("int"), "_hi": F.sum("_m").over(upto),
-        "_eq": F.sum("_m").over(Window.partitionBy("season", "key", "value")),
-        "_avg": F.avg(val).over(league), "_std": F.stddev_pop(val).over(league),
-    }).filter("n > 0")
+    counts = long.groupBy(*league, "value").agg(F.sum("_m").alias("_eq"))
+    below = running_by_chunk(counts, league, _thousandths(), ["value"], {"_lo": "_eq"}).select(*league, "value", "_eq", "_lo")
+    totals = long.groupBy(*league).agg(F.sum("_m").cast("int").alias("n"), F.avg(val).alias("_avg"), F.stddev_pop(val).alias("_std"))
+    rows = long.join(below, [*league, "value"]).join(totals, league).filter("n > 0").withColumn("_hi", F.col("_lo") + F.col("_eq"))
     lo = F.col("_hi") - F.col("_eq")
     pct = 100.0 * (lo + F.col("_eq") / 2.0) / F.col("n")
     better = F.when(F.col("s.up"), F.col("n") - F.col("_hi")).otherwise(lo)
@@ -149,8 +147,7 @@ def percentile_among(members: DataFrame, asked: DataFrame, chunk_of: Column) ->
         "season", "value").agg(F.sum("m").alias("eq"))
     total = counts.groupBy("season").agg(F.sum("eq").alias("n"))
     placed = running_by_chunk(counts, ["season"], chunk_of, ["value"], {"lo": "eq"})
-    # One row per season, so the broadcast is bounded by the number of years played.
-    return placed.join(F.broadcast(total), "season").filter("n > 0").select(
+    return placed.join(total, "season").filter("n > 0").select(
         "season", "value", round_to(100.0 * (F.col("lo") + F.col("eq") / 2.0) / F.col("n"), 1).alias("pct"))
 
 
@@ -247,11 +244,10 @@ def scouting_reports(t: Tables, season: int | None = None, prose: bool = True) -
     from matchlens.functions.prose import key_paragraphs, profile_paragraphs
 
     keys = ["season", "team_id"]
-    # What several pieces read is written once: a row per team, or per player-season at most.
-    lines, records = cut(player_lines(t, season)), cut(team_records(t, season))
-    metrics = cut(team_metrics(t, season, records, lines))
-    standing = cut(league_standing(metrics))
-    phase, rollup = cut(phase_summary(t, season)), cut(season_rollup(t, season))
+    lines, records = player_lines(t, season), team_records(t, season)
+    metrics = team_metrics(t, season, records, lines)
+    standing = league_standing(metrics)
+    phase, rollup = phase_summary(t, season), season_rollup(t, season)
     pcts = pct_map(standing)
     lists = insights(standing).groupBy(*keys).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "key", "label", "pct", "value", "kind")))).alias(n)
@@ -264,7 +260,7 @@ def scouting_reports(t: Tables, season: int | None = None, prose: bool = True) -
         F.max("weakest").alias("weakest"), F.max("strongest").alias("strongest"))
     rec = records.select(*keys, F.struct("wins", "losses", "conference", "conf_wins", "conf_losses", "win_streak").alias("record"))
     seen = rollup.groupBy(*keys).agg(F.max("matches_with_pbp").alias("_pbp"))
-    names = t.dim("teams").select(F.col("id").alias("team_id"), F.col("name").alias("team"))
+    names = t.teams.select(F.col("id").alias("team_id"), F.col("name").alias("team"))
     out = metrics.select(*keys, F.col("games").alias("matches"), F.col("n_sets").alias("sets")).filter("matches > 0").join(names, "team_id", "left")
     for piece in (
         rec, pcts, contrast_notes(pcts, phase), lists, lead, seen,

@@ -184,7 +184,7 @@ def scoring_leaders(t: Tables, season: int | None = None, limit: int = 6) -> Dat
 def rally_log(t: Tables, season: int | None = None) -> DataFrame:
     """One line of text per point, with the running score and the assist."""
     p = scored_points(t, season)
-    names = t.dim("teams").select(F.col("id").alias("scoring_team_id"), F.col("name").alias("_team"))
+    names = t.teams.select(F.col("id").alias("scoring_team_id"), F.col("name").alias("_team"))
     kind = F.col("terminal_type")
     verb = F.initcap(F.regexp_replace(F.coalesce(F.nullif(kind, F.lit("")), F.lit("point")), "_", " "))
     who = F.coalesce(F.nullif("player_name", F.lit("")), F.col("_team"), F.lit("?"))

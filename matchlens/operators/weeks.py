@@ -18,7 +18,7 @@ def _numbered(dated: DataFrame) -> DataFrame:
     parsed = dated.withColumn("game_date", text_day("raw_date")).drop("raw_date")
     placed = parsed.withColumn("week_monday", F.date_trunc("week", "game_date").cast("date"))
     # One row per season, so the broadcast is bounded by the number of years played.
-    first = F.broadcast(placed.groupBy("season").agg(F.min("week_monday").alias("_first")))
+    first = placed.groupBy("season").agg(F.min("week_monday").alias("_first"))
     return placed.join(first, "season").select(
         "contest_id", "season", "game_date", "week_monday",
         (F.floor(F.datediff("week_monday", "_first") / 7) + 1).cast("int").alias("week_number"),

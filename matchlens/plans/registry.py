@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlens.constants import API_LIMIT, TOOL_LIMIT
 from matchlens.functions.predicates import in_conference, plays_position, roster_filters, within_days
 from matchlens.operators import asof, leaderboards, lookups, people, records, schedule, scouting, timeline, totals
 from matchlens.operators.entities import find_team
 from matchlens.operators.lineups import match_lineups
+from matchlens.operators.ranking import clamp_limit
 from matchlens.tables import Tables
 
 
@@ -94,8 +96,18 @@ TOOLS: dict[str, Callable[[Tables, dict], DataFrame]] = {
 }
 
 
+# Named queries that page through longer lists than a tool shows.
+PAGED = {"player_leaderboard", "fantasy_leaderboard"}
+
+
 def call(name: str, t: Tables, **arguments) -> DataFrame:
-    """Run a named query; unknown names and arguments raise before any job starts."""
+    """Run a named query; unknown names and arguments raise before any job starts.
+
+    A caller's ``limit`` is held within what the list may show; the operators themselves return as many
+    rows as they are asked for.
+    """
     if name not in TOOLS:
         raise KeyError(f"no query {name!r}; known: {sorted(TOOLS)}")
+    if arguments.get("limit") is not None:
+        arguments["limit"] = clamp_limit(arguments["limit"], API_LIMIT if name in PAGED else TOOL_LIMIT)
     return TOOLS[name](t, arguments)

@@ -125,7 +125,8 @@ def _games(t):
 
 shared(
     o_feed="""select g.*, split_part(seonames, '|', 1) as visitor, split_part(seonames, '|', 2) as host from listed_games g where game_state in ('live', 'final')""",
-    o_feed_pair="""select date, least(visitor, host) as x, greatest(visitor, host) as y, max(struct_pack(state := game_state, visitor := visitor, home_sets_won := home_sets_won, away_sets_won := away_sets_won, p := current_period)) as g from o_feed group by all""",
+    o_feed_pair="""select date, least(visitor, host) as x, greatest(visitor, host) as y, arg_max(struct_pack(state := game_state, visitor := visitor, home_sets_won := home_sets_won, away_sets_won := away_sets_won, p := current_period),
+        struct_pack(f := game_state = 'final', n := home_sets_won + away_sets_won, h := home_sets_won, v := visitor, p := current_period)) as g from o_feed group by all""",
 )
 query("c22_live_overlay", """select season, date, contest_id, home_team_id, away_team_id, unlisted_opponent, case when g is null then status when g.state = 'live' then 'live' else 'final_pending' end as status,
     case when g is null then home_sets_won when g.visitor = hs then g.away_sets_won else g.home_sets_won end as home_sets_won,

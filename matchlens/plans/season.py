@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchlens.constants import FANTASY_WEIGHTS, LEADER_COMPONENTS
 from matchlens.functions import predicates as P
 from matchlens.operators import conference, leaderboards, totals, weeks
+from matchlens.plans import registry
 from matchlens.plans.catalog import query, shared
 from matchlens.tables import COUNTERS
 
@@ -166,7 +167,7 @@ def k1(t):
     join o_roster r on r.player_id = s.player_id and r.season = s.season""", "season", "value asc nulls last, player_id", 100,
     "season, rank, player_id, name as player, team, conference, class_year, position, hometown, high_school, gp as games, sp as sets, retatt as receptions, rerr as reception_errors, 'serr' as stat, value"))
 def k2(t):
-    return leaderboards.leaderboard(t, "serr", order="asc", limit=500)
+    return registry.call("leaderboard", t, stat="serr", order="asc", limit=500)
 
 
 _tool_cols = "season, rank, player_id, name as player, team, conference, class_year, position, hometown, high_school, gp as games, sp as sets, retatt as receptions, rerr as reception_errors, '{stat}' as stat, value"
@@ -329,7 +330,7 @@ def c9(t):
 query("w3_leaderboard_rank", """select season, rank, player_id from (select season, player_id, row_number() over (partition by season order by digs desc nulls last, player_id) as rank from o_season) x where rank <= 50""")(
     lambda t: leaderboards.player_leaderboard(t, "digs").select("season", "rank", "player_id"))
 query("k3_limit_clamp", """select season, rank, player_id from (select season, player_id, row_number() over (partition by season order by kills desc nulls last, player_id) as rank from o_season) x where rank <= 500""")(
-    lambda t: leaderboards.player_leaderboard(t, "kills", limit=10**6).select("season", "rank", "player_id"))
+    lambda t: registry.call("player_leaderboard", t, stat="kills", limit=10**6).select("season", "rank", "player_id"))
 query("f14_every_rankable_stat", " union all ".join(f"select season, '{s}' as stat, player_id from (select season, player_id, row_number() over (partition by season order by {s} desc nulls last, player_id) as rank from o_season_rates) x where rank = 1" for s in ("pts", "retatt", "digs_per_set")))(
     lambda t: leaderboards.leaderboard(t, "pts", limit=1).select("season", "stat", "player_id").unionByName(leaderboards.leaderboard(t, "retatt", limit=1).select("season", "stat", "player_id")).unionByName(
         leaderboards.leaderboard(t, "digs_per_set", limit=1).select("season", "stat", "player_id")))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -31,22 +30,18 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary local one only where none is named, as in tests."""
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process, as in tests, may it be left out; a folder is then
+    made. On a cluster a local folder would give each executor files that the others cannot see.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="matchlens-")
     return _local[app]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a table written once to the shared folder.
-
-    For results that several later steps read: they then read a small file table, which survives the
-    loss of an executor, in place of working the result out again each.
-    """
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

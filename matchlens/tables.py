@@ -12,10 +12,6 @@ COUNTERS = (
     "block_solos", "block_assists", "berr", "pts", "bhe",
 )
 
-# Rows a dimension may have and still be sent to every executor. Larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
 _COUNTER_DDL = ", ".join(f"{c} double" for c in COUNTERS)
 
 SCHEMAS: dict[str, str] = {
@@ -81,18 +77,15 @@ SCHEMAS: dict[str, str] = {
 
 
 class Tables:
-    """Named, lazily built DataFrames.
+    """Named, lazily built DataFrames: ``t.contests`` is the table.
 
-    ``t.contests`` is the table; ``t.dim("teams")`` is the same table with a broadcast hint when a
-    bounded count shows that it has at most :data:`BROADCAST_ROWS` rows, and without one otherwise,
-    so that the join falls back to a shuffle join (which adaptive execution splits when skewed).
+    Joins carry no hints: adaptive execution picks the strategy from the bytes it meets.
     """
 
     def __init__(self, spark: SparkSession, makers: dict[str, Callable[[Tables], DataFrame]]):
         self.spark = spark
         self._makers = makers
         self._made: dict[str, DataFrame] = {}
-        self._small: dict[str, bool] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -106,19 +99,6 @@ class Tables:
             self._made[name] = self._makers[name](self)
         return self._made[name]
 
-    def is_small(self, name: str) -> bool:
-        """Whether the table is within the broadcast bound; counted once, up to the bound."""
-        if name not in self._small:
-            self._small[name] = self[name].limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return self._small[name]
-
-    def dim(self, name: str) -> DataFrame:
-        return self.sized_like(name, self[name])
-
-    def sized_like(self, name: str, df: DataFrame) -> DataFrame:
-        """Hint ``df`` for broadcast when table ``name``, which bounds its row count, is small."""
-        return F.broadcast(df) if self.is_small(name) else df
-
     def replace(self, **tables: DataFrame) -> Tables:
         """A copy with some tables swapped, used by loads and tests."""
         makers = dict(self._makers)
