@@ -31,7 +31,7 @@ from matchlens.llm.common import corpus, fresh_path
 from matchlens.llm.pretokens import piece_memo, vocabulary_path
 
 #: Text bytes a shard should hold.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Keys a segment of the index should hold.
 SEGMENT_KEYS = 100_000
 #: Bits per key still unplaced, on each level.
@@ -67,7 +67,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, shar
         ids_of: list[np.ndarray] = []
         nulls: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             encoded = memo.ids(batch.column(1).to_pylist())
             keys = batch.column(0)
             nulls.append(keys.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
@@ -113,19 +113,27 @@ def _copies(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(at, np.diff(np.r_[at, n]))
 
 
-def entries(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document from the footers: ``doc_id``, ``copy``, ``shard``, ``offset`` (ids before
-    it in its shard) and ``n_tokens`` (end id included)."""
+ENTRY_ROW = "doc_id long, copy long, shard int, offset long, n_tokens long"
+
+
+def list_documents(spark: SparkSession, path: str, listed_path: str) -> DataFrame:
+    """Write and return one row per document, from the footers: ``doc_id``, ``copy``, ``shard``,
+    ``offset`` (ids before it in its shard) and ``n_tokens`` (end id included)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, footer in zip(batch["shard"], batch["footer"]):
                 ids, null, lengths = parse_footer(footer)
                 long = lengths.astype(np.int64)
-                yield pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.astype(np.int64), null.copy()), "copy": _copies(ids, null), "shard": shard, "offset": np.cumsum(long) - long, "n_tokens": long})
+                doc_id = pd.arrays.IntegerArray(ids.astype(np.int64), null.copy())
+                yield pd.DataFrame({"doc_id": doc_id, "copy": _copies(ids, null), "shard": shard, "offset": np.cumsum(long) - long, "n_tokens": long})
+
+    _footers(shard_files(spark, path)).mapInPandas(read, ENTRY_ROW).write.parquet(listed_path)
+    return spark.read.schema(ENTRY_ROW).parquet(listed_path)
+
 
-    found = _footers(shard_files(spark, path)).mapInPandas(read, "doc_id long, copy long, shard int, offset long, n_tokens long")
-    # Copies of a key in several shards: numbers go on. At most one row per key and shard meets here.
+def numbered(found: DataFrame) -> DataFrame:
+    """Copies of a key in several shards: their numbers go on. At most one row per key and shard meets."""
     runs = found.groupBy("doc_id", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     later = runs.withColumn("before", F.sum("n").over(before)).filter("before > 0").select(F.col("doc_id").alias("k"), F.col("shard").alias("s"), "before")
@@ -133,10 +141,9 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("doc_id", (F.col("copy") + F.coalesce("before", F.lit(0))).alias("copy"), "shard", "offset", "n_tokens")
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
+def shard_starts(listed: DataFrame) -> DataFrame:
     """``shard`` and ``shard_start``, the ids in the shards before. One row per file is ordered."""
-    size = F.conv(F.hex(F.substring("content", -TAIL, 8)), 16, 10).cast("long")
-    per_file = shard_files(spark, path).select("shard", ((F.col("length") - TAIL - size) / WIDTH).cast("long").alias("n"))
+    per_file = listed.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return per_file.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
 
@@ -224,11 +231,9 @@ def find_numbers(h1: np.ndarray, h2: np.ndarray, levels: list[bytes], left: byte
     return number
 
 
-def build_index(spark: SparkSession, path: str, index_path: str, segment_keys: int = SEGMENT_KEYS) -> int:
-    """Index every document of the files; returns the number of segments."""
-    keyed = entries(spark, path)
-    sizes = _footers(shard_files(spark, path)).agg(F.sum(F.octet_length("footer"))).first()[0] or 0
-    segments = max(1, -(-(sizes // ENTRY) // segment_keys))
+def build_index(listed: DataFrame, index_path: str, segment_keys: int = SEGMENT_KEYS) -> int:
+    """Index every listed document; returns the number of segments."""
+    segments = max(1, -(-listed.count() // segment_keys))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
@@ -248,7 +253,7 @@ def build_index(spark: SparkSession, path: str, index_path: str, segment_keys: i
             }
         )
 
-    _hashed(keyed, segments).select("segment", "h1", "h2", "shard", "offset", "n_tokens").groupBy("segment").applyInPandas(build, SEGMENT).write.parquet(index_path)
+    _hashed(numbered(listed), segments).select("segment", "h1", "h2", "shard", "offset", "n_tokens").groupBy("segment").applyInPandas(build, SEGMENT).write.parquet(index_path)
     return segments
 
 
@@ -286,8 +291,8 @@ def lookup(spark: SparkSession, index_path: str, segments: int, keys: DataFrame)
 class IdFiles:
     """Written files and their index."""
 
-    def __init__(self, spark: SparkSession, path: str, index_path: str, segments: int):
-        self.spark, self.path, self.index_path, self.segments = spark, path, index_path, segments
+    def __init__(self, path: str, index_path: str, listed: DataFrame, segments: int):
+        self.spark, self.path, self.index_path, self.listed, self.segments = listed.sparkSession, path, index_path, listed, segments
 
     def find(self, keys: DataFrame) -> DataFrame:
         return lookup(self.spark, self.index_path, self.segments, keys)
@@ -295,7 +300,7 @@ class IdFiles:
     def records(self, keys: DataFrame) -> DataFrame:
         """Per distinct key that the index holds: ``start`` (ids of all documents before it),
         ``n_tokens`` and ``ids_crc32``, the last from the payload that the index points to."""
-        found = self.find(keys).join(shard_starts(self.spark, self.path), "shard")
+        found = self.find(keys).join(shard_starts(self.listed), "shard")
         sums = payload_checksums(self.spark, self.path)
         return found.join(sums, ["shard", "offset"]).select(
             *RECORD_KEY, (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
@@ -327,4 +332,5 @@ def write_id_files(docs: DataFrame, path: str | None = None, vocabulary: str | N
     spark = docs.sparkSession
     path = path or fresh_path(spark, "ids")
     write_shards(docs, f"{path}/files", vocabulary, shard_bytes)
-    return IdFiles(spark, f"{path}/files", f"{path}/index", build_index(spark, f"{path}/files", f"{path}/index"))
+    listed = list_documents(spark, f"{path}/files", f"{path}/documents")
+    return IdFiles(f"{path}/files", f"{path}/index", listed, build_index(listed, f"{path}/index"))

@@ -90,7 +90,7 @@ class PieceMemo:
     only: when full it starts again, so its size bounds memory and never the result.
     """
 
-    def __init__(self, path: str, width: int = 2, limit: int = 800_000):
+    def __init__(self, path: str, width: int = 2, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -162,6 +162,6 @@ class PieceMemo:
 
 
 @functools.cache
-def piece_memo(path: str, width: int = 2, limit: int = 800_000) -> PieceMemo:
+def piece_memo(path: str, width: int = 2, limit: int = 500_000) -> PieceMemo:
     """One memo per Python worker; it serves all tasks the worker runs."""
     return PieceMemo(path, width, limit)
