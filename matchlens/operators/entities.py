@@ -10,6 +10,7 @@ from matchlens.functions.text import (
     canonical_name, default_conference_short, initial_and_surname, name_tokens, normalize_player_name, plain_name, school_key,
     school_slug, surname,
 )
+from matchlens.sources.merge import upsert
 from matchlens.tables import Tables
 
 
@@ -201,6 +202,25 @@ def backfill_ids(t: Tables, harvested: DataFrame, min_match: int = 340) -> tuple
     return rows, F.count("outside_id") >= min_match
 
 
+class TooFewMatched(RuntimeError):
+    """A harvest matched fewer teams than a write needs."""
+
+
+def backfill(t: Tables, harvested: DataFrame, season: int, min_match: int = 340) -> tuple[Tables, DataFrame]:
+    """Season ids with the harvested ones, and a report of what did not match on either side.
+
+    Refuses when fewer than ``min_match`` teams matched. Only matched teams change.
+    """
+    rows, enough = backfill_ids(t, harvested, min_match)
+    found, ok = rows.agg(F.count("outside_id"), enough).first()
+    if not ok:
+        raise TooFewMatched(f"only {found} matched (< {min_match}); refusing to write")
+    ids = rows.filter("outside_id is not null").select(F.col("id").alias("team_id"), F.lit(season).alias("season"), F.col("outside_id").alias("ncaa_team_id"))
+    left = rows.filter("outside_id is null").select(F.lit("unmatched").alias("kind"), F.lit(None).cast("string").alias("outside_id"), "name")
+    spare = harvested.join(rows.select("outside_id"), "outside_id", "left_anti").select(F.lit("unmapped").alias("kind"), "outside_id", "name")
+    return t.replace(team_season_ids=upsert(t.team_season_ids, ids, ["team_id", "season"])), left.unionByName(spare)
+
+
 def backfill_short_names(t: Tables, harvested: DataFrame, season: int | None = None) -> DataFrame:
     """Teams whose short name differs from the harvested one, by exact outside id."""
     ids = t.team_season_ids if season is None else t.team_season_ids.filter(F.col("season") == season)

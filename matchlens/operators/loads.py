@@ -14,6 +14,7 @@ from matchlens.operators.entities import (
     assign_starters, match_players_on_team, resolve_by_id_or_name, resolve_conference, team_by_outside_id, team_keys,
 )
 from matchlens.operators.schedule import day_of, pair_key
+from matchlens.sources.files import season_id
 from matchlens.sources.merge import KEEP_NEW, KEEP_OLD, keep_real_time, prune, replace_keys, upsert
 from matchlens.tables import Tables
 
@@ -23,6 +24,9 @@ BOX_COLUMNS = {
     "Block Assists": "block_assists", "BErr": "berr", "PTS": "pts", "BHE": "bhe",
 }
 
+# Columns that a season file has beside those of a box score.
+SEASON_COLUMNS = {"GP": "gp", "GS": "gs", "Hit Pct": "hit_pct", "Trpl Dbl": "trpl_dbl"}
+
 
 def once_per_player(staged: DataFrame) -> DataFrame:
     """A page lists every player twice; one line per (contest, player, name) stays."""
@@ -117,25 +121,41 @@ def load_roster(staged: DataFrame, t: Tables) -> DataFrame:
     new = roster_rows(staged, t).withColumn("_key", key).dropDuplicates(["season", "_key"])
     old = t.players.withColumn("_key", key)
     merged = upsert(old, new, ["season", "_key"])
-    # A new player gets an id from the key, so that a second run gives the same one.
-    return merged.withColumn("id", F.coalesce("id", F.pmod(F.xxhash64("season", "_key"), F.lit(2**52)))).drop("_key")
+    return merged.withColumn("id", F.coalesce("id", key_id(13, "season", "_key"))).drop("_key")
+
+
+def key_id(digits: int, *key: str) -> Column:
+    """An id made from a key, so that a second run gives the same one: so many hex digits of its hash."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, digits), 16, 10).cast("bigint")
 
 
 def season_lines(staged: DataFrame, t: Tables) -> DataFrame:
     """Season lines of the second source, keyed by player."""
-    stats = [num(F.col(f"`{h}`")).alias("sp" if c == "sets" else c) for h, c in BOX_COLUMNS.items() if h in staged.columns]
+    columns = {h: "sp" if c == "sets" else c for h, c in BOX_COLUMNS.items()} | SEASON_COLUMNS
+    stats = [num(F.col(f"`{h}`")).alias(c) for h, c in columns.items() if h in staged.columns]
     return players_by_outside_id(staged, t).filter("player_id is not null").select(
         "player_id", F.col("Season").alias("season"), *stats).dropDuplicates(["player_id", "season"])
 
 
+def load_season_lines(staged: DataFrame, t: Tables) -> DataFrame:
+    """Stored season lines after merging a file; columns that it lacks stay as they are."""
+    return upsert(t.player_season_stats_scraped, season_lines(staged, t), ["player_id", "season"])
+
+
 def coach_rows(staged: DataFrame, t: Tables, season: int) -> DataFrame:
-    """Head coaches of a season; they replace whoever was stored for it."""
+    """Head coaches of a season."""
     rows = team_by_outside_id(staged.withColumns({"season": F.lit(season), "_tid": F.col("TeamID")}), t, "_tid", "team_id")
     return rows.filter(clean_str("CoachName").isNotNull() & F.col("team_id").isNotNull()).select(
         "team_id", "season", clean_str("CoachName").alias("name"), F.lit("Head Coach").alias("title"), F.lit(0).alias("sort_order"),
         clean_str("CoachId").alias("ncaa_coach_id"), clean_str("Seasons").alias("seasons"), clean_str("Record").alias("record"))
 
 
+def load_coaches(staged: DataFrame, t: Tables, season: int) -> DataFrame:
+    """Coaches after a load: those of the season give way to the file's, other seasons stay."""
+    new = coach_rows(staged, t, season).withColumn("id", key_id(7, "season", "team_id", "name").cast("int"))
+    return t.coaches.filter(~F.col("season").eqNullSafe(F.lit(season))).unionByName(new, allowMissingColumns=True)
+
+
 def schedule_rows(staged: DataFrame, t: Tables) -> DataFrame:
     rows = staged.withColumns({"season": F.col("Season"), "_tid": clean_str("TeamNcaaId"), "opponent_name": clean_str("OpponentName"), "date": clean_str("Date")})
     rows = team_by_outside_id(rows, t, "_tid", "team_id").filter("team_id is not null and date is not null and opponent_name is not null")
@@ -170,6 +190,20 @@ def team_rows(entries: DataFrame, t: Tables) -> DataFrame:
         F.col("team_name_aliases").alias("aliases")).dropDuplicates(["name"])
 
 
+def load_teams(entries: DataFrame, t: Tables, season: int) -> Tables:
+    """Teams by name and their outside ids of the season after merging a team file.
+
+    A team keeps its id and what the file does not say; a new one gets an id from its name. A team
+    keeps its conference of the season.
+    """
+    teams = upsert(t.teams, team_rows(entries, t), ["name"], {"conference_id": KEEP_NEW})
+    teams = teams.withColumn("id", F.coalesce("id", key_id(7, "name").cast("int")))
+    named = entries.select(F.coalesce(clean_str("team"), clean_str("short_name")).alias("name"), clean_str(season_id(season)).alias("ncaa_team_id"))
+    ids = named.filter("ncaa_team_id is not null").join(teams.select("name", F.col("id").alias("team_id")), "name").select(
+        "team_id", F.lit(season).alias("season"), "ncaa_team_id").dropDuplicates(["team_id"])
+    return t.replace(teams=teams, team_season_ids=upsert(t.team_season_ids, ids, ["team_id", "season"]))
+
+
 def season_memberships(t: Tables, membership: DataFrame) -> DataFrame:
     """Set each team-season's conference from (``season``, ``ncaa_team_id``, ``label``)."""
     found = resolve_conference(membership.withColumn("label", clean_str("label")).filter("label is not null"), t, "label", "_new")

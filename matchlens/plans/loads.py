@@ -9,6 +9,7 @@ from matchlens.operators import entities, loads
 from matchlens.plans.catalog import query, shared
 from matchlens.sources import files, merge
 from matchlens.sources.staged import CLASSES, HEIGHTS, POSITIONS
+from matchlens.tables import SCHEMAS
 
 _key = lambda e: f"array_to_string(list_filter(string_split(regexp_replace(lower({e}), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '' and w not in ('university', 'college', 'of', 'the')), ' ')"
 
@@ -68,8 +69,8 @@ def _our_membership(t):
     return ids.join(team_seasons(t), ["team_id", "season"]).select("outside_id", "team", "conference")
 
 
-query("j23_backfill_ids", f"""select t.id, t.name, (select max(h.outside_id) from harvest h where h.season = 1998 and {_key('h.name')} in (select {_key('s')} from o_spelling s where s.id = t.id)) as outside_id from teams t""")(
-    lambda t: entities.backfill_ids(t, t.harvest.filter("season = 1998"))[0].select("id", "name", "outside_id"))
+query("j23_backfill_ids", f"""select t.id, t.name, (select max(h.outside_id) from harvest h where {_key('h.name')} in (select {_key('s')} from o_spelling s where s.id = t.id)) as outside_id from teams t""")(
+    lambda t: entities.backfill_ids(t, t.harvest)[0].select("id", "name", "outside_id"))
 query("j23_backfill_short_names", "select s.team_id, s.season, t.short_name as old_short, h.name as new_short from harvest h join team_season_ids s on s.ncaa_team_id = h.outside_id join teams t on t.id = s.team_id where t.short_name <> h.name")(
     lambda t: entities.backfill_short_names(t, t.harvest))
 query("s20_name_gaps", """select season, team_id, name, occurrences, contests, kind from (select g.season, g.team_id, g.name, g.occurrences, g.contests,
@@ -195,9 +196,10 @@ query("c19_roster_rows", f"""select p.season, p.team_id, case when p.id % 19 <>
     join (values {_list('p', POSITIONS)}) s(i, pos) on s.i = p.id % {len(POSITIONS)}""")(
     lambda t: loads.roster_rows(t.staged_roster.withColumnRenamed("HighSchool", "High School"), t))
 query("c19_roster_load", f"""select p.id, p.season, p.team_id, p.name, c.v as class_year from players p join (values {_list('c', _codes)}) c(i, v) on c.i = p.id % {len(CLASSES)} where p.id % 19 <> 0
-    union all select id, season, team_id, name, class_year from players where id % 19 = 0""")(
-    lambda t: loads.load_roster(t.staged_roster.withColumnRenamed("HighSchool", "High School"), t).join(
-        t.players.select("id"), "id", "left_semi").select("id", "season", "team_id", "name", "class_year"))
+    union all select id, season, team_id, name, class_year from players where id % 19 = 0
+    union all select cast(concat('0x', left(md5(concat_ws('|', p.season, concat_ws(':', 'name', p.team_id, p.name))), 13)) as bigint), p.season, p.team_id, p.name, min(c.v)
+    from players p join (values {_list('c', _codes)}) c(i, v) on c.i = p.id % {len(CLASSES)} where p.id % 19 = 0 group by p.season, p.team_id, p.name""")(
+    lambda t: loads.load_roster(t.staged_roster.withColumnRenamed("HighSchool", "High School"), t).select("id", "season", "team_id", "name", "class_year"))
 query("f17_overrides", """select id, case when id % 3 = 0 then 72 else height_inches end as height_inches, case when id % 3 = 1 then 'MB' else position end as position from players""")(
     lambda t: loads.apply_overrides(t.players.select("id", "height_inches", "position", F.when(F.col("id") % 3 == 0, ROSTER_OVERRIDES[0][0]).when(F.col("id") % 3 == 1, ROSTER_OVERRIDES[2][0]).alias("ncaa_player_id"))).drop("ncaa_player_id"))
 shared(
@@ -225,9 +227,70 @@ query("s10_prune_unlisted", """select season, team_id, count(*) as n from (selec
     or not exists (select 1 from o_sched_new n where n.season = m.season and n.team_id = m.team_id)) x group by all""")(lambda t: _sched_run(t).groupBy("season", "team_id").agg(F.count(F.lit(1)).alias("n")))
 query("s11_keep_real_time", """select contest_id, team_id, case when coalesce(game_time, '') in ('', '12:00 AM') and contest_id is not null then '06:00 PM' else game_time end as t from schedule""")(
     lambda t: t.schedule.select("contest_id", "team_id", merge.keep_real_time(F.col("game_time"), F.when(F.col("contest_id").isNotNull(), "06:00 PM"), F.coalesce("game_time", F.lit("")).isin("", "12:00 AM")).alias("t")))
+_season_file = lambda t: merge.latest(t.staged_box.select("PlayerID", "Season", "ContestID", "S", "Kills"), ["PlayerID", "Season"], F.col("ContestID")).withColumns(
+    {"GP": F.lit("7"), "GS": F.when(F.col("PlayerID").cast("bigint") % 2 == 0, "5").otherwise("-"), "Hit Pct": F.lit(".250"), "Trpl Dbl": F.lit("1")})
+# Every third player has an older line; of players without a match in the file it stays.
+_old_lines = lambda t: t.players.filter("id % 3 = 0").select(F.col("id").alias("player_id"), "season", F.lit(1.0).alias("gs"), F.lit(99.0).alias("kills"), F.lit(3.0).alias("digs"))
+
+
+def _whole(t, name, have):
+    """``have`` with all columns of a stored table; those it lacks are NULL."""
+    kinds = t.spark.createDataFrame([], SCHEMAS[name]).dtypes
+    return have.select(*[(F.col(c).cast(k).alias(c) if c in have.columns else F.lit(None).cast(k).alias(c)) for c, k in kinds])
+
+
+def _stored_lines(t):
+    return t.replace(player_season_stats_scraped=_whole(t, "player_season_stats_scraped", _old_lines(t)))
+
+
+query("c19_season_lines_load", """with fresh as (select p.id as player_id, s.season as season, max(s.s::double) as sp, max(s.kills::double) as kills from staged_box s join players p on p.ncaa_player_id = s.playerid and p.season = s.season
+      where s.contestid = (select max(b.contestid) from staged_box b where b.playerid = s.playerid and b.season = s.season) group by all),
+    old as (select id as player_id, season, 1.0::double as gs, 99.0::double as kills, 3.0::double as digs from players where id % 3 = 0)
+    select coalesce(f.player_id, o.player_id) as player_id, coalesce(f.season, o.season) as season, case when f.player_id is not null then 7.0::double end as gp,
+      case when f.player_id is null then o.gs when f.player_id % 2 = 0 then 5.0::double end as gs, f.sp, case when f.player_id is null then o.kills else f.kills end as kills, o.digs,
+      case when f.player_id is not null then 0.25::double end as hit_pct, case when f.player_id is not null then 1.0::double end as trpl_dbl
+    from fresh f full outer join old o on o.player_id = f.player_id and o.season = f.season""")(
+    lambda t: loads.load_season_lines(_season_file(t), _stored_lines(t)).select("player_id", "season", "gp", "gs", "sp", "kills", "digs", "hit_pct", "trpl_dbl"))
 query("c19_season_lines", """select p.id as player_id, s.season as season, max(s.s::double) as sp, max(s.kills::double) as kills from staged_box s join players p on p.ncaa_player_id = s.playerid and p.season = s.season where s.contestid = (
     select max(b.contestid) from staged_box b where b.playerid = s.playerid and b.season = s.season) group by all""")(
     lambda t: loads.season_lines(merge.latest(t.staged_box.select("PlayerID", "Season", "ContestID", "S", "Kills"), ["PlayerID", "Season"], F.col("ContestID")), t))
+def _coach_file(t):
+    return t.nation.select(
+        (F.col("n_nationkey") * 10000 + 1998).cast("string").alias("TeamID"), F.when(F.col("n_nationkey") != 4, F.concat(F.lit("Coach "), "n_name")).otherwise(" ").alias("CoachName"),
+        F.lit("c").alias("CoachId"), F.lit("3").alias("Seasons"), F.lit("1-0").alias("Record"))
+
+
+def _old_coaches(t):
+    """An assistant per team in three seasons, the loaded one among them."""
+    years = F.explode(F.array(F.lit(1997), F.lit(1998), F.lit(None).cast("int"))).alias("season")
+    have = t.nation.select(F.col("n_nationkey").cast("int").alias("team_id"), years, F.concat(F.lit("Old "), "n_name").alias("name"), F.lit("Assistant").alias("title"), F.lit(1).alias("sort_order"))
+    return _whole(t, "coaches", have.withColumn("id", F.col("team_id") + F.coalesce("season", F.lit(0))))
+
+
+query("c19_coaches_load", """select team_id, 1998 as season, name, 'Head Coach' as title, '1-0' as record from (select n_nationkey as team_id, concat('Coach ', n_name) as name from nation where n_nationkey <> 4) x
+    union all select n_nationkey, y, concat('Old ', n_name), 'Assistant', null from nation, (values (1997), (null)) v(y)""")(
+    lambda t: loads.load_coaches(_coach_file(t), t.replace(coaches=_old_coaches(t)), 1998).select("team_id", "season", "name", "title", "record"))
+
+
+def _team_file(t):
+    """Every other team, with a new short name, and one that is not stored."""
+    known = t.nation.filter("n_nationkey % 2 = 0").select("n_name", F.col("n_regionkey").alias("r"), F.col("n_nationkey").cast("string").alias("k"))
+    named = known.select(F.col("n_name").alias("team"), F.concat(F.lit("S"), "k").alias("short_name"), F.create_map(F.lit("1998"), F.concat(F.lit("new"), "k")).alias("ncaa_team_ids"))
+    fresh = t.region.limit(1).select(F.lit("Fresh College").alias("team"), F.lit("Fresh").alias("short_name"), F.create_map(F.lit("1998"), F.lit("f1")).alias("ncaa_team_ids"))
+    return named.unionByName(fresh).withColumns({"conference": F.lit(""), "city": F.lit("Town"), "state": F.lit("TX"), "team_name_aliases": F.array(F.lit("x"))})
+
+
+query("c19_teams_load", """select t.id, t.name, case when t.id % 2 = 0 then concat('S', t.id) else t.short_name end as short_name, case when t.id % 2 = 0 then 'Town' end as city, t.conference_id,
+      case when t.id % 2 = 0 then concat('new', t.id) else i.ncaa_team_id end as outside_id from teams t left join team_season_ids i on i.team_id = t.id and i.season = 1998
+    union all select cast(concat('0x', left(md5('Fresh College'), 7)) as bigint), 'Fresh College', 'Fresh', 'Town', null, 'f1'""")(lambda t: _loaded_teams(t))
+
+
+def _loaded_teams(t):
+    new = loads.load_teams(_team_file(t), t.replace(teams=_whole(t, "teams", t.teams)), 1998)
+    ids = new.team_season_ids.filter("season = 1998").select(F.col("team_id").alias("id"), F.col("ncaa_team_id").alias("outside_id"))
+    return new.teams.join(ids, "id", "left").select("id", "name", "short_name", "city", "conference_id", "outside_id")
+
+
 query("c19_coaches", "select team_id, 1998 as season, name, 'Head Coach' as title from (select n_nationkey as team_id, concat('Coach ', n_name) as name from nation where n_nationkey <> 4) x")(
     lambda t: loads.coach_rows(t.nation.select(
         (F.col("n_nationkey") * 10000 + 1998).cast("string").alias("TeamID"), F.when(F.col("n_nationkey") != 4, F.concat(F.lit("Coach "), "n_name")).otherwise(" ").alias("CoachName"), F.lit("c").alias("CoachId"), F.lit("3").alias("Seasons"), F.lit("1-0").alias("Record")),

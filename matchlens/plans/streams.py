@@ -113,10 +113,9 @@ def st8(t):
     return checks.missing_pbp(t).filter(jobs.within("date", 30, "2001-07-30") & (F.col("date") != "TBD-not-a-date"))
 
 
-@query("st9_refresh_forward", """select season, contest_id, 'old' as source from contests where substr(date, 1, 10) < '1998-07-01' union all
-    select season, contest_id, 'new' from contests where substr(date, 1, 10) >= '1998-07-01' and date <> 'TBD-not-a-date'""")
+@query("st9_refresh_forward", """select season, contest_id, case when substr(date, 1, 10) >= '1998-07-01' and date <> 'TBD-not-a-date' then 'new' else 'old' end as source from contests""")
 def st9(t):
-    rows = t.contests.filter("date is not null and date <> 'TBD-not-a-date'").select("contest_id", F.substring("date", 1, 10).alias("day"), "season")
+    rows = t.contests.select("contest_id", F.substring("date", 1, 10).alias("day"), "season")
     path = jobs.fresh_dir(t.spark, "table")
     for source in ("old", "new"):
         sink = jobs.refresh_sink(path, ["contest_id"], "day", "1998-07-01", "2099-12-31", ["season"])

@@ -113,8 +113,8 @@ query("n21_value_texts", """select s_suppkey as k, concat(case when v < 0 then '
 query("n22_conference_short", "select o_orderkey as k, regexp_replace(concat(o_orderpriority, case when o_orderkey % 2 = 0 then ' Conference' else ' League' end), '\\s+Conference$', '') as short from orders")(
     lambda t: t.orders.select(F.col("o_orderkey").alias("k"), text.default_conference_short(F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, " Conference").otherwise(" League"))).alias("short")))
 query("n23_slate_day", """select contest_id, case when date like '% 01:00' then cast(cast(cast(substr(date, 1, 10) as date) - interval 1 day as date) as varchar) else substr(date, 1, 10) end as slate,
-    case when date like '% 01:00' then 1500 when date like '% 18:00' then 1080 end as minutes from contests where date <> 'TBD-not-a-date'""")(
-    lambda t: t.contests.filter("date <> 'TBD-not-a-date'").select("contest_id", "date", clock_minutes("date").alias("m")).select(
+    case when date like '% 01:00' then 1500 when date like '% 18:00' then 1080 end as minutes from contests""")(
+    lambda t: t.contests.select("contest_id", "date", clock_minutes("date").alias("m")).select(
         "contest_id", slate_day("date", F.col("m")).alias("slate"), sort_minutes(F.col("m")).alias("minutes")))
 query("p14_play_texts", _answers(PLAYS, (
     ("serve", None, "Ann Lee", "Bea Roe"), ("serve", None, "Ann Lee", None), ("reception", None, "Bea Roe", None), ("set", None, "Cat Poe", None), ("attack", None, "Dee Moe", None), ("dig", None, "Eve Noe", None),

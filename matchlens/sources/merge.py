@@ -66,8 +66,9 @@ def keep_real_time(new: Column, old: Column, unset: Column) -> Column:
 
 
 def refresh_forward(old: DataFrame, new: DataFrame, keys: list[str], day: str, today: str, last: str) -> DataFrame:
-    """Rows from ``today`` to ``last`` are replaced; older ones are frozen and win over new ones."""
-    frozen = old.filter(~F.col(day).between(today, last))
+    """Rows from ``today`` to ``last`` are replaced; older ones, and those without a day, are frozen and
+    win over new ones."""
+    frozen = old.filter(~F.coalesce(F.col(day).between(today, last), F.lit(False)))
     return frozen.unionByName(new.join(frozen.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 

@@ -142,3 +142,13 @@ def test_a_late_batch_sent_twice_is_stored_once(spark, tmp_path):
     sink(rows(21), 2)
     ids = lambda p: sorted(r.id for r in spark.read.parquet(p).collect())
     assert ids(kept) == [19, 20, 21, 25] and ids(late) == [2, 21]
+
+
+def test_backfill_refuses_a_poor_harvest(spark):
+    t = tables(spark, teams=TEAMS, team_season_ids=IDS)
+    harvest = spark.createDataFrame([("901", "Univ. of Iowa"), ("902", "Ohio"), ("903", "Utah")], "outside_id string, name string")
+    with pytest.raises(entities.TooFewMatched):
+        entities.backfill(t, harvest, 2104, min_match=3)
+    new, report = entities.backfill(t, harvest.replace("Univ. of Iowa", "Hawks"), 2104, min_match=2)
+    assert rows(new.team_season_ids, "team_id", "season", "ncaa_team_id") == [(1, 2103, "101"), (1, 2104, "902"), (2, 2103, "102"), (2, 2104, "901")]
+    assert rows(report, "kind", "outside_id", "name") == [("unmapped", "903", "Utah"), ("unmatched", None, "San José State")]
