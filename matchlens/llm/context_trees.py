@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import LOWER, corpus, stored
-from matchlens.llm.postings import SlotSums, postings
+from matchlens.llm.postings import PARTIAL, SlotSums, documents_of, postings, totals
 
 #: Bytes of context.
 DEPTH = 4
@@ -313,7 +313,7 @@ def score(docs: DataFrame) -> DataFrame:
     found = stored(postings(rows, splitter, learning), "words")
     terms = found.filter("term is not null").select("term", "block", "places", "times", "n_flagged")
     known = stored(terms.groupBy("term").agg(F.sum("n_flagged").alias("c")), "counts")
-    documents = found.filter("slot is not null")
+    documents = documents_of(found)
     ends, train_words = documents.filter("flag").agg(F.count("*"), F.sum("n_terms")).first()
     n = ends + (train_words or 0)
     distinct = known.filter("c > 0").count() + (ends > 0)
@@ -321,35 +321,25 @@ def score(docs: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = SlotSums(2)
 
-        def partial() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in sums.take()], names=["slot", "logs", "n_known"])
-
         for b in batches:
             c = b.column(3).to_numpy().astype(np.float64)
             sums.add(b.column(0).to_numpy(), b.column(1), b.column(2), np.log10(c + SMOOTHING), (c > 0).astype(np.float64))
             if sums.full():
-                yield partial()
-        yield partial()
+                yield sums.take()
+        yield sums.take()
 
     joined = terms.select("term", "block", "places", "times").join(known, "term").select("block", "places", "times", "c")
-    parts = joined.mapInArrow(add, "slot long, logs double, n_known double")
-    own = documents.select("slot", F.lit(0.0).alias("logs"), F.lit(0.0).alias("n_known"), "doc_id", "n_bytes", "n_terms", "value", "flag")
-    nulls = [F.lit(None).cast(t).alias(c) for c, t in own.dtypes[3:]]
-    summed = (
-        parts.select("slot", "logs", "n_known", *nulls)
-        .unionByName(own)
-        .groupBy("slot")
-        .agg(F.sum("logs").alias("logs"), F.sum("n_known").alias("n_known"), *[F.max(c).alias(c) for c in own.columns[3:]])
-    )
+    parts = joined.mapInArrow(add, PARTIAL)
+    summed = totals(parts.unionByName(documents, allowMissingColumns=True), 2)
     tokens = F.col("n_terms") + 1
     whole = float(np.log10(n + SMOOTHING * (distinct + 1)))
     return summed.select(
         "doc_id",
         (~F.col("flag")).alias("held_out"),
         tokens.alias("n_tokens"),
-        (F.round("n_known").cast("long") + F.lit(int(ends > 0))).alias("n_known"),
+        (F.round("sum1").cast("long") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.lit(float(np.log10(ends + SMOOTHING))) - tokens * F.lit(whole)).alias("base_score"),
+        (F.col("sum0") + F.lit(float(np.log10(ends + SMOOTHING))) - tokens * F.lit(whole)).alias("base_score"),
         F.col("value").alias("score"),
         (-F.col("value") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

@@ -161,9 +161,53 @@ class SlotSums:
     def full(self) -> bool:
         return self.pending > PENDING // 2
 
-    def take(self) -> tuple[np.ndarray, ...]:
+    def take(self) -> pa.RecordBatch:
+        """One row per block: its places, and their sums one array after the other."""
         if not self.parts:
-            return (np.zeros(0, np.int64), *[np.zeros(0) for _ in range(self.columns)])
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 2], names=["block", "places", "sums"])
         self._merge()
-        out, self.parts, self.pending = self.parts[0], [], 0
-        return out
+        slots, *sums = self.parts[0]
+        self.parts, self.pending = [], 0
+        blocks, first = np.unique(slots >> PLACE_BITS, return_index=True)
+        ends = [*first[1:].tolist(), len(slots)]
+        places = (slots & (1 << PLACE_BITS) - 1).astype("<u2")
+        each = list(zip(first.tolist(), ends))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(blocks),
+                pa.array([places[a:b].tobytes() for a, b in each], pa.binary()),
+                pa.array([b"".join(s[a:b].astype("<f8").tobytes() for s in sums) for a, b in each], pa.binary()),
+            ],
+            names=["block", "places", "sums"],
+        )
+
+
+DOCUMENT = "doc_id long, slot long, n_bytes long, n_terms long, value double, flag boolean"
+PARTIAL = "block long, places binary, sums binary"
+
+
+def documents_of(rows: DataFrame) -> DataFrame:
+    """The rows of :func:`postings` that stand for documents, with their ``block``."""
+    names = [c.split()[0] for c in DOCUMENT.split(", ")]
+    return rows.filter("slot is not null").select(F.shiftright("slot", PLACE_BITS).alias("block"), *names)
+
+
+def totals(rows: DataFrame, columns: int) -> DataFrame:
+    """Documents with ``sum0``, ``sum1``, ...: from rows that are documents (``slot`` set) or partial sums
+    (``places`` set), all of a block meeting in one task."""
+    names = [c.split()[0] for c in DOCUMENT.split(", ")]
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros((columns, 1 << PLACE_BITS))
+        partial = group.filter(group["places"].is_valid())
+        for places, sums in zip(partial["places"].to_pylist(), partial["sums"].to_pylist()):
+            at = np.frombuffer(places, "<u2")
+            total[:, at] += np.frombuffer(sums, "<f8").reshape(columns, -1)
+        docs = group.filter(group["slot"].is_valid()).select(names)
+        at = docs["slot"].to_numpy() & (1 << PLACE_BITS) - 1
+        for k in range(columns):
+            docs = docs.append_column(f"sum{k}", pa.array(total[k, at]))
+        return docs
+
+    schema = DOCUMENT + "".join(f", sum{k} double" for k in range(columns))
+    return rows.groupBy("block").applyInArrow(add, schema)

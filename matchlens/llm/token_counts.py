@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import corpus
-from matchlens.llm.postings import BLOCK_BITS, SlotSums, postings
+from matchlens.llm.postings import BLOCK_BITS, DOCUMENT, PARTIAL, PLACE_BITS, SlotSums, postings, totals
 from matchlens.llm.pretokens import piece_memo, split, vocabulary_path
 
 #: Bits of a block's number that deal its postings beside the pre-token: those of one pre-token go to
 #: a partition of its own for every 4096 input tasks, not all to one.
 GROUP_BITS = BLOCK_BITS + 12
-SUMS = "slot long, n long, doc_id long, n_bytes long"
+SUMS = f"{PARTIAL}, {DOCUMENT}"
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
@@ -47,12 +48,11 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = piece_memo(vocabulary)
         sums = SlotSums(1)
-        names = ["slot", "n", "doc_id", "n_bytes"]
+        kinds = pa.schema([(c, _ARROW[k]) for c, k in (x.split() for x in SUMS.split(", "))])
 
-        def partial() -> pa.RecordBatch:
-            slots, n = sums.take()
-            none = pa.nulls(len(slots), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n.astype(np.int64)), none, none], names=names)
+        def row(given: pa.RecordBatch) -> pa.RecordBatch:
+            n = given.num_rows
+            return pa.RecordBatch.from_arrays([given.column(f.name) if f.name in given.schema.names else pa.nulls(n, f.type) for f in kinds], schema=kinds)
 
         last, pieces_of_last = None, 0
         for b in batches:
@@ -60,8 +60,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
             known = c["slot"].is_valid()
             if known.true_count:
                 own = b.filter(known)
-                whole = own.column("value").cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([own.column("slot"), whole, own.column("doc_id"), own.column("n_bytes")], names=names)
+                block = pa.array(own.column("slot").to_numpy() >> PLACE_BITS)
+                yield row(own.set_column(own.schema.get_field_index("block"), "block", block))
                 b = b.filter(c["slot"].is_null())
                 c = dict(zip(b.schema.names, b.columns))
             terms = c["term"].to_pylist()
@@ -77,11 +77,12 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 10
             n = np.repeat(np.asarray(found, np.int64), np.diff([*at, len(terms)]))
             sums.add(c["block"].to_numpy(), c["places"], c["times"], n)
             if sums.full():
-                yield partial()
-        yield partial()
+                yield row(sums.take())
+        yield row(sums.take())
 
     by_term = F.xxhash64("term", F.shiftright("block", GROUP_BITS))
     key = F.when(F.col("term").isNull(), F.xxhash64("slot")).otherwise(by_term)
     dealt = postings(corpus(docs), splitter).repartition(key).sortWithinPartitions("term")
-    counted = dealt.mapInArrow(count, SUMS).groupBy("slot").agg(F.sum("n").alias("n_tokens"), F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = totals(dealt.mapInArrow(count, SUMS), 1)
+    n_tokens = (F.col("sum0") + F.col("value")).cast("long")
+    return counted.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
