@@ -82,3 +82,44 @@ def op10_perfect_hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = id_files.write_id_files(docs)
     keys = docs.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     return files.records(keys).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+# Plain SQL of the queries that have one, over whole tables.
+CHECKS["op5_hyperplane_links"] = """with recursive v as (
+  select row_number() over () as rid, vec_id, label, cast(embedding as double[]) as e from embeddings
+), s as (
+  select rid, vec_id, label, e,
+    vec_id is not null and label is not null and coalesce(len(e), 0) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0 as able
+  from v
+), l as (
+  select a.rid as a, b.rid as b from s a join s b on a.label = b.label and a.rid <> b.rid and len(a.e) = len(b.e)
+  where a.able and b.able and list_cosine_similarity(a.e, b.e) >= 0.98
+), r as (
+  select rid, rid as other from s
+  union
+  select r.rid, l.b from r join l on l.a = r.other
+), n as (select a as rid, count(*) as n_links from l group by a),
+c as (select r.rid, min(s.vec_id) as component_id from r join s on s.rid = r.other group by r.rid)
+select s.vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, coalesce(s.vec_id = c.component_id, true) as kept
+from s join c on c.rid = s.rid left join n on n.rid = s.rid
+"""
+
+CHECKS["op6_run_length_index"] = """with d as (
+  select row_number() over () as rid, coalesce(doc_id, 9223372036854775807) as o, doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), w as (
+  select rid, o, i, substr(h, 2 * i + 1, 100) as s from (select rid, o, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) as i from d) x
+), f as (select s, min(o) as o from w group by s having min(o) < max(o)),
+m as (
+  select w.rid, w.i, w.i - lag(w.i) over (partition by w.rid order by w.i) as step from w join f on f.s = w.s where w.o > f.o
+), g as (select rid, i, sum(case when step <= 50 then 0 else 1 end) over (partition by rid order by i) as span from m),
+p as (select rid, span, min(i) as a, max(i) + 50 as b from g group by rid, span),
+k as (
+  select rid, a, coalesce(lag(b) over (partition by rid order by a), 0) as since, b from p
+  union all select d.rid, len(d.h) // 2, coalesce(max(p.b), 0), null from d left join p on p.rid = d.rid group by d.rid, d.h
+), t as (
+  select d.rid, sum(k.b - k.a) as n_removed, count(k.b) as n_spans,
+    sha256(unhex(string_agg(substr(d.h, 2 * k.since + 1, 2 * (k.a - k.since)), '' order by k.a, k.since))) as kept
+  from k join d on d.rid = k.rid group by d.rid
+)
+select d.doc_id, len(d.h) // 2 as n_bytes, cast(coalesce(t.n_removed, 0) as bigint) as n_removed, t.n_spans, t.kept as kept_sha256 from d join t on t.rid = d.rid
+"""
