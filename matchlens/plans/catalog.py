@@ -51,7 +51,7 @@ def load_all() -> None:
         importlib.import_module(f"matchlens.plans.{module}")
 
 
-MODULES = ["season", "standings", "people", "rally", "text", "schedule", "scouting", "loads", "streams"]
+MODULES = ["season", "standings", "people", "rally", "text", "cells", "schedule", "scouting", "loads", "streams"]
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
