@@ -36,9 +36,11 @@ EDGE = 0
 FOLDS = 10
 SMOOTHING = 0.1
 #: Bytes whose contexts are counted or looked up at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 2 << 20
 #: Entries of a worker's cache of scores.
-CACHE_BITS = 21
+CACHE_BITS = 20
+#: Text bytes of a block of word postings; the worker that makes them also holds the trees.
+WORD_BLOCK_BYTES = 8 << 20
 #: Nodes whose estimates travel in one row.
 RANGE_BITS = 16
 
@@ -100,13 +102,13 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Every byte of every text and the end after it, each behind the ``DEPTH`` bytes before it, as one
     number; and where each text begins."""
     before, end = bytes([EDGE]) * DEPTH, bytes([EDGE])
-    line = np.frombuffer(b"".join(before + t + end for t in texts), np.uint8).astype(np.uint64)
+    line = np.frombuffer(b"".join(before + t + end for t in texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum())) + np.repeat(DEPTH * np.arange(len(texts)), lengths)
     grams = np.zeros(len(at), np.uint64)
     for k in range(DEPTH + 1):
-        grams = grams << np.uint64(8) | line[at + k]
+        grams = grams << np.uint64(8) | line[at + k].astype(np.uint64)
     return grams, starts
 
 
@@ -140,7 +142,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
                 keys.append(found)
                 counts.append(n)
                 held += len(found)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     found, n = _summed(keys, counts)
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"])
                     keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
@@ -207,11 +209,11 @@ def weights(pairs: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """The learned nodes, sparse on the way to the workers and dense in them."""
+    """The learned nodes; workers find them through one table of places per depth."""
 
     def __init__(self, parts: list[tuple[int, bytes, bytes, bytes]]):
         self.parts = parts
-        self.dense: list[tuple[np.ndarray, np.ndarray]] | None = None
+        self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def __getstate__(self):
         return self.parts
@@ -220,33 +222,37 @@ class Trees:
         self.__init__(parts)
 
     def open(self) -> None:
-        """An unseen node has no evidence: its estimate and everything below it say one half."""
-        self.dense = [(np.full(size(d), 0.5, np.float32), np.full(size(d), 0.5)) for d in range(DEPTH + 1)]
-        for depth, slot, share, one in self.parts:
-            at = np.frombuffer(slot, "<u4")
-            self.dense[depth][0][at] = np.frombuffer(share, "<f4")
-            self.dense[depth][1][at] = np.frombuffer(one, "<f8")
+        """An unseen node is at place 0: its estimate and everything below it say one half."""
+        self.nodes = []
+        for d in range(DEPTH + 1):
+            own = [p for p in self.parts if p[0] == d]
+            slot, share, one = (np.concatenate([np.array([fill], kind), *[np.frombuffer(p[k], kind) for p in own]]) for k, kind, fill in ((1, "<u4", 0), (2, "<f4", 0.5), (3, "<f8", 0.5)))
+            place = np.zeros(size(d), np.int32)
+            place[slot[1:]] = np.arange(1, len(slot))
+            self.nodes.append((place, share, one))
+        self.parts = []
         self.known = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max)
         self.scores = np.zeros(1 << CACHE_BITS)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """Log10 probability of each gram's last byte after the bytes before it."""
-        if self.dense is None:
+        if self.nodes is None:
             self.open()
         total = np.zeros(len(grams))
         for k in range(8):
             p = np.full(len(grams), 0.5)
             for depth in range(DEPTH, -1, -1):
-                slot = slots(grams, depth, k)
-                share = self.dense[depth][0][slot].astype(np.float64)
-                p = share * self.dense[depth][1][slot] + (1 - share) * p
+                place, shares, ones = self.nodes[depth]
+                at = place[slots(grams, depth, k)]
+                share = shares[at].astype(np.float64)
+                p = share * ones[at] + (1 - share) * p
             one = (grams >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
             total += np.log10(np.where(one, p, 1 - p))
         return total
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Log10 probability of each text and its end. Grams met before come from a cache."""
-        if self.dense is None:
+        if self.nodes is None:
             self.open()
         out = []
         for chunk in chunks(texts):
@@ -310,7 +316,7 @@ def score(docs: DataFrame) -> DataFrame:
 
         return words
 
-    found = stored(postings(rows, splitter, learning), "words")
+    found = stored(postings(rows, splitter, learning, WORD_BLOCK_BYTES), "words")
     terms = found.filter("term is not null").select("term", "block", "places", "times", "n_flagged")
     known = stored(terms.groupBy("term").agg(F.sum("n_flagged").alias("c")), "counts")
     documents = documents_of(found)

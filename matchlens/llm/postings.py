@@ -24,7 +24,7 @@ BLOCK_BITS = 20
 #: Rows per Arrow batch sent on.
 ROWS = 50_000
 #: Entries a task sums up before it sends partial sums on.
-PENDING = 4_000_000
+PENDING = 1_000_000
 
 POSTINGS = (
     "term binary, block long, places binary, times binary, n_flagged long,"
@@ -100,25 +100,27 @@ class _Block:
             yield batch(len(columns[0]), {c: pa.array(v, k) for c, k, v in zip(names[5:], kinds[5:], columns)})
 
 
-def postings(docs: DataFrame, splitter: Callable[[], Splitter], flag=None) -> DataFrame:
+def postings(docs: DataFrame, splitter: Callable[[], Splitter], flag=None, block_bytes: int | None = None) -> DataFrame:
     """Rows of two kinds: postings (``term`` set) and documents (``slot`` set).
 
     ``docs`` has ``doc_id`` and ``text``. ``splitter`` makes the function that splits a text, in the
-    worker. ``flag`` is a boolean column of the documents to carry along. Tasks take their documents
-    in order of id and text, so a task that is run again names them alike.
+    worker. Blocks close at ``block_bytes``, by default ``BLOCK_BYTES``. ``flag`` is a boolean column of
+    the documents to carry along. Tasks take their documents in order of id and text, so a task that is
+    run again names them alike.
     """
     flag = F.lit(False) if flag is None else flag
+    most = block_bytes or BLOCK_BYTES
     ordered = docs.select("doc_id", "text", flag.alias("flag")).sortWithinPartitions("doc_id", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter()
         first = TaskContext.get().partitionId() << BLOCK_BITS
         block = _Block(first)
-        for b in batches:
+        for b in (b.slice(i, 1_000) for b in batches for i in range(0, b.num_rows, 1_000)):
             texts = b.column(1).to_pylist()
             for doc_id, text, flagged, found in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), split(texts)):
                 block.add(doc_id, len(text.encode()), *found, flagged)
-                if block.size >= BLOCK_BYTES or len(block.docs) == 1 << PLACE_BITS:
+                if block.size >= most or len(block.docs) == 1 << PLACE_BITS:
                     yield from block.rows()
                     block = _Block(block.number + 1)
         yield from block.rows()
