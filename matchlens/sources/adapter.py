@@ -43,7 +43,7 @@ PORTABLE: dict[str, str] = {
     "ranking_weeks": """
         select '01' as m union all select '05' union all select '09'""",
     "player_game_stats": """
-        select k.contest_id, cast(l_partkey * 100 + (k.season - 1995) as bigint) as player_id,
+        select cast(k.order_no as string) as contest_id, cast(l_partkey * 100 + (k.season - 1995) as bigint) as player_id,
           case when min(l_linenumber) % 2 = 1 then k.home_team_id else k.away_team_id end as team_id,
           k.season,
           cast(3 + l_partkey % 3 as double) as sets,
@@ -61,8 +61,11 @@ PORTABLE: dict[str, str] = {
           case when min(case l_linestatus when 'F' then 0 else 1 end) = 1 then cast(1 as double) end as berr,
           cast(sum(cast(l_quantity as int)) + count(*) as double) as pts,
           cast(max(l_linenumber) % 2 as double) as bhe
-        from {lineitem} join {contests} k on k.contest_id = cast(l_orderkey as string)
-        group by k.contest_id, l_partkey, k.season, k.home_team_id, k.away_team_id""",
+        from {lineitem} join (
+          select o_orderkey as order_no, cast(year(o_orderdate) as int) as season, cast(c_nationkey as int) as home_team_id,
+            cast((c_nationkey + 1 + o_orderkey % 24) % 25 as int) as away_team_id
+          from {orders} join {customer} on c_custkey = o_custkey) k on k.order_no = l_orderkey
+        group by k.order_no, l_partkey, k.season, k.home_team_id, k.away_team_id""",
     "schedule": """
         select season, team_id, opponent_team_id, opponent_name, date,
           case when ok % 4 = 0 then '12:00 AM' when ok % 4 = 1 then '07:30 PM' when ok % 4 = 2 then '05:00 PM' end as game_time,
