@@ -8,6 +8,7 @@ a pair at the threshold is missed with probability ``MISS`` at most.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -34,10 +35,15 @@ def shape(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tup
     return planes, math.ceil(math.log(miss) / math.log1p(-together))
 
 
+@functools.cache
+def hyperplanes(width: int, planes: int, tables: int) -> np.ndarray:
+    """Normals, one per column; those of the first tables do not depend on how many follow."""
+    return np.random.default_rng([SEED, width]).standard_normal((planes * tables, width)).T
+
+
 def hash_codes(unit: np.ndarray, planes: int, tables: int) -> np.ndarray:
     """One code per vector (row) and table (column); the same hyperplanes for vectors of one width."""
-    width = unit.shape[1]
-    normals = np.random.default_rng([SEED, width]).standard_normal((width, planes * tables))
+    normals = hyperplanes(unit.shape[1], planes, tables)
     sides = (unit @ normals >= 0).reshape(len(unit), tables, planes)
     return sides.astype(np.int64) @ (1 << np.arange(planes, dtype=np.int64))
 
@@ -79,7 +85,6 @@ def _compare(threshold: float, planes: int, tables: int):
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         unit = unit_rows(rows["embedding"])
         table = int(rows["table"].iloc[0])
-        code = hash_codes(unit, planes, table) if table else np.zeros((len(rows), 0), np.int64)
         at_left, at_right = np.flatnonzero(rows["at_left"]), np.flatnonzero(rows["at_right"])
         same = rows["i"].iloc[0] == rows["j"].iloc[0]
         a_all, b_all = [], []
@@ -92,14 +97,17 @@ def _compare(threshold: float, planes: int, tables: int):
             a_all.append(a)
             b_all.append(b)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
+        linked = np.unique(np.concatenate([a, b]))
         # A pair counts in the first table it shares; its link is the same in every one.
         first = np.ones(len(a), bool)
-        for k in range(table):
-            first &= code[a, k] != code[b, k]
+        if table and len(linked):
+            code = np.zeros((len(rows), table), np.int64)
+            code[linked] = hash_codes(unit[linked], planes, tables)[:, :table]
+            for k in range(table):
+                first &= code[a, k] != code[b, k]
         copies, names = rows["copies"].to_numpy(), rows["class"].to_numpy()
         n = np.bincount(a[first], copies[b[first]], len(rows)) + np.bincount(b[first], copies[a[first]], len(rows))
         root = local_roots(len(rows), a, b)
-        linked = np.unique(np.concatenate([a, b]))
         return pd.DataFrame({"class": names[linked], "n": n[linked].astype(np.int64), "root": names[root[linked]]})
 
     return compare
