@@ -8,11 +8,11 @@ corpus is taken apart so that every two equal strings of that length meet in one
 2. Anchors. Of the 16-byte grams in a string the one with the least hash is its anchor; equal strings
    have equal anchors. Each block tells which anchors it has, six bytes each, and learns which of them
    stand elsewhere too. Only those go on.
-3. Passages. An occurrence of a shared anchor is sent with all strings that hold it: 34 bytes on either
-   side. Equal passages of a block are sent once, with the smallest document; passages meet by anchor.
-   An anchor that too many passages share is taken string by string instead, and those meet by their
-   own hash.
-4. Index. The distinct passages that meet are repetitive. Their Burrows-Wheeler transform is kept as
+3. Passages. An occurrence of a shared anchor is sent with the strings whose anchor it is, at most 34
+   bytes on either side. Equal passages of a block are sent once, with the smallest document; passages
+   meet by anchor. An anchor that too many passages share is taken string by string instead; those meet
+   by their own hash, and as wholes.
+4. Index. The distinct passages of an anchor are repetitive. Their Burrows-Wheeler transform is kept as
    runs, with the suffix position sampled at every run's end, and the intervals of rows that start with
    the same ``LENGTH`` bytes with the smallest document in each. Every passage is streamed through the
    runs from its end, one LF step per byte; the row it reaches says how long a match starts there and
@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +46,12 @@ STRINGS = REACH + 1
 #: Never a byte of UTF-8: parts documents, and fills passages beyond a document's ends.
 NONE = 0xFF
 #: Text bytes after which a block is closed.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes looked at together when anchors are chosen.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Anchors, and bytes of passages, that should meet in one task.
 ANCHORS_TOGETHER = 1_000_000
-PASSAGES_TOGETHER = 4 << 20
+PASSAGES_TOGETHER = 1 << 20
 #: Occurrences of one anchor beyond which its strings go their own ways.
 HOT = 30_000
 #: Stands for a null id, and for no document.
@@ -58,7 +59,7 @@ LAST = np.iinfo(np.int64).max
 
 ANCHOR_ROWS = "bucket long, block long, anchors binary, times binary"
 CODE_ROWS = "bucket long, block long, codes binary, shared long"
-PASSAGE_ROWS = "kind int, bucket long, block long, passages binary, firsts binary, rows binary, at binary, record binary, string binary"
+PASSAGE_ROWS = "kind int, bucket long, block long, passages binary, firsts binary, n long, places binary"
 MASK_ROWS = "block long, bucket long, masks binary"
 
 
@@ -90,9 +91,10 @@ def _extreme(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - span)], x[width - span :]) if span < width else x
 
 
-def anchors_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all strings in ``data``; ``NONE`` bytes part documents."""
-    at, hashes = [], []
+def anchors_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of all strings in ``data``, and the first and last string
+    whose anchor each is, counted from ``REACH`` bytes before it. ``NONE`` bytes part documents."""
+    found = []
     for begin in range(0, len(data), SLICE):
         end = min(begin + SLICE, len(data))
         low, high = max(0, begin - REACH), min(len(data), end + LENGTH)
@@ -109,20 +111,20 @@ def anchors_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         greatest = _extreme(np.r_[edge, least, edge], STRINGS, np.maximum)
         chosen = np.flatnonzero((greatest == gram) & (gram > 0))
         chosen = chosen[(chosen >= begin - low) & (chosen < end - low)]
-        at.append(chosen + low)
-        hashes.append(gram[chosen])
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return (np.concatenate(at), np.concatenate(hashes)) if at else none
+        own = np.r_[edge, least, edge][chosen[:, None] + np.arange(STRINGS)] == gram[chosen][:, None]
+        first, last = own.argmax(axis=1), REACH - own[:, ::-1].argmax(axis=1)
+        found.append((chosen + low, gram[chosen], first.astype(np.uint8), last.astype(np.uint8)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def passages_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The frame of ``FRAME`` bytes about each anchor; ``NONE`` beyond its document."""
+def passages_at(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The frame of ``FRAME`` bytes about each anchor, ``NONE`` outside strings ``first`` to ``last``."""
     pad = np.full(FRAME, NONE, np.uint8)
-    frame = np.r_[pad, data, pad][(at + FRAME - REACH)[:, None] + np.arange(FRAME)]
-    outside = frame == NONE
-    outside[:, :REACH] = np.logical_or.accumulate(outside[:, REACH - 1 :: -1], axis=1)[:, ::-1]
-    outside[:, REACH + GRAM :] = np.logical_or.accumulate(outside[:, REACH + GRAM :], axis=1)
-    frame[outside] = NONE
+    place = np.arange(FRAME)
+    frame = np.r_[pad, data, pad][(at + FRAME - REACH)[:, None] + place]
+    frame[(place < first[:, None]) | (place >= last[:, None].astype(np.int64) + LENGTH)] = NONE
     return frame
 
 
@@ -231,7 +233,13 @@ def stream(index: RunIndex, count: int, lengths: np.ndarray) -> Iterator[tuple[i
             yield step, walking, index.least[np.searchsorted(index.classes, row, "right") - 1]
 
 
-def match_masks(frames: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def string_starts(frames: np.ndarray) -> np.ndarray:
+    """Which of its ``STRINGS`` strings each frame has whole."""
+    inside = np.cumsum(np.c_[np.zeros(len(frames), np.int16), frames != NONE], axis=1, dtype=np.int16)
+    return inside[:, LENGTH:] - inside[:, :-LENGTH] == LENGTH
+
+
+def match_masks(frames: np.ndarray, documents: np.ndarray) -> np.ndarray:
     """For distinct frames with their smallest documents: per frame, the smallest document that has each
     of its ``STRINGS`` strings, ``LAST`` where the frame has no whole string; sorted as given."""
     inside = frames != NONE
@@ -249,7 +257,7 @@ def match_masks(frames: np.ndarray, documents: np.ndarray) -> tuple[np.ndarray,
     least = np.full((count, STRINGS), LAST)
     for step, walking, smallest in stream(index, count, lengths):
         least[walking, first[walking] + lengths[walking] - step] = smallest
-    return least, lengths
+    return least
 
 
 # ---------------------------------------------------------------- blocks
@@ -315,6 +323,15 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other, compressed before they are stored and shuffled."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal numbers in a sorted array."""
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
@@ -365,23 +382,23 @@ def passage_rows(blocks: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
         if rows.empty or codes.empty:
             return pd.DataFrame({c: [] for c in columns})
         block = Block(rows)
-        at, hashes = anchors_in(block.data)
+        at, hashes, begin, end = anchors_in(block.data)
         distinct, which = np.unique(hashes, return_inverse=True)
         code = np.concatenate([np.frombuffer(c, np.uint8) for c in codes.sort_values("bucket")["codes"]])[which]
         warm, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
-        frames, places = passages_at(block.data, at[warm]), at[warm]
-        bucket, string = _bucket(hashes[warm], bits), np.full(len(warm), NONE, np.uint8)
-        if len(hot):
-            about = passages_at(block.data, at[hot])
-            inside = np.cumsum(np.c_[np.zeros(len(hot), np.int64), about != NONE], axis=1)
-            for k in range(STRINGS):
-                whole = np.flatnonzero(inside[:, k + LENGTH] - inside[:, k] == LENGTH)
-                one = np.full((len(whole), FRAME), NONE, np.uint8)
-                one[:, k : k + LENGTH] = about[whole, k : k + LENGTH]
-                frames, places = np.concatenate([frames, one]), np.r_[places, at[hot[whole]]]
-                bucket, string = np.r_[bucket, _bucket(_frame_hash(one), bits)], np.r_[string, np.full(len(whole), k, np.uint8)]
-        if not len(frames):
+        taken, strings = [warm], [np.stack([begin[warm], end[warm]], 1)]
+        for k in range(STRINGS):
+            whole = hot[(begin[hot] <= k) & (k <= end[hot])]
+            taken.append(whole)
+            strings.append(np.full((len(whole), 2), k, np.uint8))
+        taken, strings = np.concatenate(taken), np.concatenate(strings)
+        if not len(taken):
             return pd.DataFrame({c: [] for c in columns})
+        places = at[taken]
+        frames = passages_at(block.data, places, strings[:, 0], strings[:, 1])
+        bucket = _bucket(hashes[taken], bits)
+        # Strings on their own have buckets below zero, by their hash.
+        bucket[len(warm) :] = -1 - _bucket(_frame_hash(frames[len(warm) :]), bits)
         owner = block.owner(places)
         # Distinct (bucket, passage); documents are in order, so the first to have it is the smallest.
         records, first, which = np.unique(_as_records(frames), return_index=True, return_inverse=True)
@@ -393,11 +410,12 @@ def passage_rows(blocks: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
         place[by_bucket] = np.arange(len(records))
         sent, documents = frames[first[by_bucket]], block.order[smallest[by_bucket]]
         number = int(rows["block"].iloc[0])
-        out = [(0, k, number, sent[s].tobytes(), documents[s].astype("<i8").tobytes(), None, None, None, None) for k, s in _cuts(home[by_bucket])]
+        out = [(0, k, number, squeezed(sent[s]), squeezed(documents[s].astype("<i8")), s.stop - s.start, None) for k, s in _cuts(home[by_bucket])]
         record = place[which]
         # A later document with a passage that the block met before has all its strings from there.
         later = block.order[owner] > documents[record]
-        out.append((1, -1, number, None, None, (owner.astype("<u4") << 1 | later).tobytes(), (places - block.starts[owner]).astype("<i8").tobytes(), record.astype("<u4").tobytes(), string.tobytes()))
+        state = (owner.astype("<u4") << 1 | later, (places - block.starts[owner]).astype("<u4"), record.astype("<u4"), strings)
+        out.append((1, -1, number, None, None, len(places), squeezed(*state)))
         return pd.DataFrame(out, columns=columns)
 
     return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(collect, PASSAGE_ROWS)
@@ -407,36 +425,42 @@ def mask_rows(passages: DataFrame) -> DataFrame:
     """Per passage a block sent, in order, which of its strings a smaller document has."""
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
-        frames = np.frombuffer(b"".join(rows["passages"]), np.uint8).reshape(-1, FRAME)
-        documents = np.frombuffer(b"".join(rows["firsts"]), "<i8")
+        frames = np.frombuffer(b"".join(map(unsqueezed, rows["passages"])), np.uint8).reshape(-1, FRAME)
+        documents = np.frombuffer(b"".join(map(unsqueezed, rows["firsts"])), "<i8")
         _, first, which = np.unique(_as_records(frames), return_index=True, return_inverse=True)
         smallest = np.full(len(first), LAST)
         np.minimum.at(smallest, which, documents)
-        least, _ = match_masks(frames[first], smallest)
+        distinct = frames[first]
+        # A passage that is its anchor's only one, or a string on its own, meets none but its equals.
+        least = np.where(string_starts(distinct), smallest[:, None], LAST)
+        if rows["bucket"].iloc[0] >= 0:
+            _, anchor, times = np.unique(np.ascontiguousarray(distinct[:, REACH : REACH + GRAM]).view(f"V{GRAM}").ravel(), return_inverse=True, return_counts=True)
+            several = np.flatnonzero(times[anchor] > 1)
+            if len(several):
+                least[several] = match_masks(distinct[several], smallest[several])
         masks = np.zeros(len(frames), np.uint64)
         for k in range(STRINGS):
             masks |= (least[which, k] < documents).astype(np.uint64) << np.uint64(k)
-        sizes = [len(f) // 8 for f in rows["firsts"]]
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "masks": [m.astype("<u8").tobytes() for m in np.split(masks, np.cumsum(sizes)[:-1])]})
+        parts = np.split(masks, np.cumsum(rows["n"].to_numpy())[:-1])
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "masks": [squeezed(m.astype("<u8")) for m in parts]})
 
-    return passages.filter("kind = 0").select("bucket", "block", "passages", "firsts").groupBy("bucket").applyInPandas(index, MASK_ROWS)
+    return passages.filter("kind = 0").select("bucket", "block", "passages", "firsts", "n").groupBy("bucket").applyInPandas(index, MASK_ROWS)
 
 
 def _covered(block: Block, marks: pd.DataFrame) -> np.ndarray:
     """Which bytes of the block's array go."""
     begins = np.zeros(len(block.data) + 1, bool)
-    state = marks[marks["rows"].notna()]
+    state = marks[marks["places"].notna()]
     if len(state):
-        s = state.iloc[0]
-        row, at = np.frombuffer(s["rows"], "<u4"), np.frombuffer(s["at"], "<i8")
-        record, string = np.frombuffer(s["record"], "<u4"), np.frombuffer(s["string"], np.uint8)
-        masks = np.concatenate([np.frombuffer(m, "<u8") for m in marks[marks["masks"].notna()].sort_values("bucket")["masks"]])[record]
+        n, raw = int(state["n"].iloc[0]), unsqueezed(state["places"].iloc[0])
+        row, at, record = (np.frombuffer(raw, "<u4", n, 4 * n * k).astype(np.int64) for k in range(3))
+        strings = np.frombuffer(raw, np.uint8, 2 * n, 12 * n).reshape(-1, 2)
+        masks = np.concatenate([np.frombuffer(unsqueezed(m), "<u8") for m in marks[marks["masks"].notna()].sort_values("bucket")["masks"]])[record]
         owner, later = row >> 1, (row & 1).astype(bool)
         for k in range(STRINGS):
-            from_ = at - REACH + k
-            whole = (from_ >= 0) & (from_ + LENGTH <= block.lengths[owner]) & ((string == NONE) | (string == k))
-            go = whole & (later | (masks >> np.uint64(k) & np.uint64(1)).astype(bool))
-            begins[block.starts[owner[go]] + from_[go]] = True
+            own = (strings[:, 0] <= k) & (k <= strings[:, 1])
+            go = own & (later | (masks >> np.uint64(k) & np.uint64(1)).astype(bool))
+            begins[block.starts[owner[go]] + at[go] - REACH + k] = True
     upto = np.cumsum(begins)
     return upto[:-1] - np.r_[np.zeros(min(LENGTH, len(block.data)), upto.dtype), upto[: max(0, len(block.data) - LENGTH)]] > 0
 
@@ -482,7 +506,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     shared = codes.agg(F.sum("shared")).first()[0] or 0
     passages = stored(passage_rows(blocks, codes.select("block", "bucket", "codes"), _bits(shared * FRAME / PASSAGES_TOGETHER)), "passages")
     masks = mask_rows(passages)
-    marks = passages.filter("kind = 1").select("block", "bucket", "rows", "at", "record", "string").unionByName(masks, allowMissingColumns=True)
+    marks = passages.filter("kind = 1").select("block", "bucket", "n", "places").unionByName(masks, allowMissingColumns=True)
     return cut_rows(blocks, marks, with_text)
 
 

@@ -90,7 +90,7 @@ def test_index_streams_the_text():
     index = repeats.build_index(data, ends[number], number, np.arange(count) + 5)
     assert index.sample.tolist() == order[np.r_[index.begin[1:], len(order)] - 1].tolist()
     assert len(index.begin) < len(order) / 2
-    least, _ = repeats.match_masks(frames, np.arange(count) + 5)
+    least = repeats.match_masks(frames, np.arange(count) + 5)
     strings = [bytes(f[f != 255]) for f in frames]
     for i, s in enumerate(strings):
         for k in range(len(s) - 49):
