@@ -10,39 +10,44 @@ decisions:
 After learning, a node's share of that sum is the weight of its estimate against the deeper ones, so
 the probability of a decision mixes the estimates of all depths.
 
-Counting, weighting and scoring are Spark jobs over all texts. The learned nodes go to the workers, so
-their number is bounded: contexts of two bytes and more share ``1 << SLOT_BITS`` nodes per depth by
-hash. Contexts that share a node share its counts; nothing is left out. A node is 16 bytes.
+Every node is a node of its own, named by its context and place, so each has one parent. Documents are
+stored in blocks; a block tells which grams (a byte behind ``DEPTH`` bytes of context) it has, and gets
+the score of each back. In between, the grams with the same two bytes before the last one meet, and with
+them all nodes of two and more context bytes; there are at most 2**24 of them whatever the corpus. The
+upper nodes are a table of at most 257 * 255 rows. Nothing is collected or broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import LOWER, corpus, stored
-from matchlens.llm.postings import PARTIAL, SlotSums, documents_of, postings, totals
+from matchlens.llm.common import LOWER, corpus, fresh_path, stored
+from matchlens.llm.postings import BLOCK_BYTES, PARTIAL, PLACE_BITS, POSTINGS, SlotSums, block_rows, documents_of, totals
 
 #: Bytes of context.
 DEPTH = 4
-SLOT_BITS = 22
 #: What stands before a text and after it.
 EDGE = 0
 FOLDS = 10
 SMOOTHING = 0.1
 #: Bytes whose contexts are counted or looked up at once.
 AT_ONCE = 2 << 20
-#: Entries of a worker's cache of scores.
-CACHE_BITS = 20
-#: Text bytes of a block of word postings; the worker that makes them also holds the trees.
-WORD_BLOCK_BYTES = 8 << 20
-#: Nodes whose estimates travel in one row.
-RANGE_BITS = 16
+#: Grams of one group whose nodes are looked at together; those of three equal context bytes stay together.
+GRAMS_AT_ONCE = 200_000
+#: Bits of the hash by which a block finds most of its grams.
+FIND_BITS = 21
+
+GRAM_ROWS = "gram long, block long, n long"
+UPPER_ROWS = "byte long, place long, zeros double, ones double, children double"
+SCORE_ROWS = "gram long, score double"
 
 
 # ---------------------------------------------------------------- estimates
@@ -77,18 +82,10 @@ def places(grams: np.ndarray, k: int) -> np.ndarray:
     return (grams & np.uint64(255) | np.uint64(256)) >> np.uint64(8 - k)
 
 
-def slots(grams: np.ndarray, depth: int, k: int) -> np.ndarray:
-    """Node of each gram's decision ``k`` at a depth; a gram is ``DEPTH`` context bytes and the byte."""
-    context = grams >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)
-    node = context << np.uint64(8) | places(grams, k)
-    if depth >= 2:
-        node = _mixed(node + np.uint64(depth << 48)) >> np.uint64(64 - SLOT_BITS)
-    return node.astype(np.int64)
-
-
-def size(depth: int) -> int:
-    """Nodes there are at a depth."""
-    return 1 << (8 * (depth + 1) if depth < 2 else SLOT_BITS)
+def nodes_at(grams: np.ndarray, depth: int) -> np.ndarray:
+    """Node of each gram's eight decisions at a depth, one row per decision."""
+    context = (grams >> np.uint64(8) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)
+    return np.stack([context | places(grams, k) for k in range(8)])
 
 
 # ---------------------------------------------------------------- counting
@@ -112,7 +109,7 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams, starts
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """The texts in order, some megabytes at a time."""
     held, total = [], 0
     for t in texts:
@@ -130,159 +127,209 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(which, np.concatenate(counts), len(found)).astype(np.int64)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """``gram`` and ``n`` over all of ``text``."""
+def store_blocks(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``flag`` with their ``block``, bucketed by it."""
+    spark = docs.sparkSession
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        held = 0
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, held = TaskContext.get().partitionId() << 20, 0, 0
         for b in batches:
-            for chunk in chunks([lowered_bytes(t) for t in b.column(0).to_pylist()]):
+            blocks = []
+            for n in pc.binary_length(b.column(1)).to_pylist():
+                blocks.append(block)
+                size, held = size + n, held + 1
+                if size >= BLOCK_BYTES or held == 1 << PLACE_BITS:
+                    block, size, held = block + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *b.columns], names=["block", "doc_id", "text", "flag"])
+
+    rows = docs.select("doc_id", "text", "flag").mapInArrow(number, "block long, doc_id long, text string, flag boolean")
+    path = fresh_path(spark, "texts")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
+
+
+def gram_rows(blocks: DataFrame) -> DataFrame:
+    """Per block its distinct grams, and how often its flagged texts have each."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for learning in (True, False):
+            texts = rows.filter(rows["flag"] if learning else pc.invert(rows["flag"]))["text"]
+            for chunk in chunks(lowered_bytes(t.as_py()) for t in texts):
                 found, n = np.unique(grams_of(chunk)[0], return_counts=True)
                 keys.append(found)
-                counts.append(n)
-                held += len(found)
-                if held > 1_000_000:
-                    found, n = _summed(keys, counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"])
-                    keys, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+                counts.append(n * learning)
+                if sum(map(len, keys)) > 2_000_000:
+                    keys, counts = [[x] for x in _summed(keys, counts)]
         found, n = _summed(keys, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["gram", "n"])
-
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        block = np.full(len(found), rows["block"][0].as_py())
+        return pa.table([pa.array(found.view(np.int64)), pa.array(block), pa.array(n)], names=["gram", "block", "n"])
 
-
-def node_counts(grams: DataFrame) -> DataFrame:
-    """Per node: ``depth``, ``slot``, ``zeros``, ``ones``; and per pair of a node and one above it:
-    ``above`` with counts of zero."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["depth", "slot", "above", "zeros", "ones"]
-        for b in batches:
-            grams, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.float64)
-            for depth in range(DEPTH + 1):
-                slot = np.concatenate([slots(grams, depth, k) for k in range(8)])
-                above = np.concatenate([slots(grams, depth - 1, k) for k in range(8)]) if depth else np.zeros(len(slot), np.int64)
-                bit = np.concatenate([grams >> np.uint64(7 - k) & np.uint64(1) for k in range(8)]).astype(np.float64)
-                pairs, which = np.unique(slot << 32 | above, return_inverse=True)
-                times = np.tile(n, 8)
-                zeros, ones = (np.bincount(which, times * x, len(pairs)) for x in (1 - bit, bit))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pairs), depth)), pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(zeros), pa.array(ones)], names=names
-                )
-
-    rows = grams.select("gram", "n").mapInArrow(count, "depth long, slot long, above long, zeros double, ones double")
-    return rows.groupBy("depth", "slot", "above").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    return blocks.groupBy("block").applyInArrow(count, GRAM_ROWS)
 
 
 # ---------------------------------------------------------------- weights
 
 
-def weights(pairs: DataFrame) -> DataFrame:
-    """``depth``, ``slot``, ``share`` (weight of the node's own estimate) and ``one`` (that estimate).
-
-    From the deepest nodes up, one join per depth. ``pairs`` as of :func:`node_counts`, stored.
-    """
+def _mixture(kt: np.ndarray, children: np.ndarray) -> np.ndarray:
+    return np.logaddexp(kt, children) - np.log(2)
+
+
+class _Lower:
+    """The nodes of three and four context bytes below one node of two, slice by slice."""
+
+    def __init__(self, grams: np.ndarray, times: np.ndarray):
+        order = np.lexsort([grams, grams >> np.uint64(8) & np.uint64(0xFFFFFF)])
+        self.grams, self.times = grams[order], times[order].astype(np.float64)
+        three = self.grams >> np.uint64(8) & np.uint64(0xFFFFFF)
+        firsts = np.flatnonzero(np.r_[True, three[1:] != three[:-1]])
+        self.cuts = [0]
+        for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(grams)]):
+            if b - self.cuts[-1] > GRAMS_AT_ONCE and a > self.cuts[-1]:
+                self.cuts.append(a)
+        self.cuts.append(len(grams))
+
+    def slices(self) -> Iterator[tuple]:
+        """Slice of the grams; per depth from four up its distinct nodes, their zeros, ones, weighted value
+        and share, and the node of each decision."""
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            grams, times = self.grams[a:b], np.tile(self.times[a:b], 8)
+            bit = np.concatenate([grams >> np.uint64(7 - k) & np.uint64(1) for k in range(8)]).astype(np.float64)
+            out, children = [], None
+            for depth in (4, 3):
+                nodes, which = np.unique(nodes_at(grams, depth).ravel(), return_inverse=True)
+                zeros, ones = (np.bincount(which, times * x, len(nodes)) for x in (1 - bit, bit))
+                weighted = kt = log_kt(zeros, ones)
+                share = np.ones(len(nodes))
+                if children is not None:
+                    above, below = children
+                    weighted = _mixture(kt, np.bincount(np.searchsorted(nodes, above), below, len(nodes)))
+                    share = np.exp(kt - np.log(2) - weighted)
+                # The node above: the same place, the farthest context byte left out.
+                up = nodes >> np.uint64(8) & np.uint64((1 << 8 * (depth - 1)) - 1)
+                children = up << np.uint64(8) | nodes & np.uint64(255), weighted
+                out.append((nodes, zeros, ones, weighted, share, which.reshape(8, -1)))
+            yield slice(a, b), out
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Zeros, ones, weighted value and share of the node of two context bytes, by place."""
+        zeros, ones, children = np.zeros(256), np.zeros(256), np.zeros(256)
+        for _, (_, (nodes, z, o, weighted, _, _)) in self.slices():
+            place = (nodes & np.uint64(255)).astype(np.int64)
+            np.add.at(zeros, place, z)
+            np.add.at(ones, place, o)
+            np.add.at(children, place, weighted)
+        kt = log_kt(zeros, ones)
+        weighted = _mixture(kt, children)
+        return zeros, ones, weighted, np.exp(kt - np.log(2) - weighted)
+
+
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def upper_rows(grams: DataFrame) -> DataFrame:
+    """Per two context bytes and place: counts and weighted value, for the node of the last ``byte``."""
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        zeros, ones, weighted, _ = _Lower(rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()).top()
+        at = np.flatnonzero(zeros + ones > 0)
+        byte = np.full(len(at), rows["gram"][0].as_py() >> 8 & 255)
+        return pa.table([byte, at, zeros[at], ones[at], weighted[at]], names=["byte", "place", "zeros", "ones", "children"])
+
+    return grams.groupBy(F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("two")).applyInArrow(weigh, UPPER_ROWS)
+
+
+def upper_mixtures(rows: DataFrame) -> DataFrame:
+    """``byte`` and ``mixture``: for each of its places ``a`` and ``b``, so that what the root and the byte's
+    node make of an estimate x from below is a + b * x."""
 
     @F.pandas_udf("double")
     def own(zeros: pd.Series, ones: pd.Series) -> pd.Series:
         return pd.Series(log_kt(zeros.to_numpy(), ones.to_numpy()))
 
     half = F.log(F.lit(2.0))
-    out, below = None, None
-    for depth in range(DEPTH, -1, -1):
-        at = pairs.filter(F.col("depth") == depth)
-        nodes = at.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-        nodes = nodes.withColumn("kt", own("zeros", "ones"))
-        if below is None:
-            nodes = nodes.withColumn("weighted", F.col("kt")).withColumn("share", F.lit(1.0))
-        else:
-            nodes = nodes.join(below, "slot")
-            larger, smaller = F.greatest("kt", "children"), F.least("kt", "children")
-            nodes = nodes.withColumn("weighted", larger + F.log1p(F.exp(smaller - larger)) - half)
-            nodes = nodes.withColumn("share", F.exp(F.col("kt") - half - F.col("weighted")))
-        nodes = stored(nodes.select("slot", "weighted", "share", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("one")), "nodes")
-        below = at.select("slot", "above").join(nodes.select("slot", "weighted"), "slot").groupBy(F.col("above").alias("slot")).agg(F.sum("weighted").alias("children"))
-        kept = nodes.select(F.lit(depth).cast("long").alias("depth"), "slot", "share", "one")
-        out = kept if out is None else out.unionByName(kept)
-    return out
-
-
-class Trees:
-    """The learned nodes; workers find them through one table of places per depth."""
-
-    def __init__(self, parts: list[tuple[int, bytes, bytes, bytes]]):
-        self.parts = parts
-        self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
-
-    def __getstate__(self):
-        return self.parts
-
-    def __setstate__(self, parts):
-        self.__init__(parts)
-
-    def open(self) -> None:
-        """An unseen node is at place 0: its estimate and everything below it say one half."""
-        self.nodes = []
-        for d in range(DEPTH + 1):
-            own = [p for p in self.parts if p[0] == d]
-            slot, share, one = (np.concatenate([np.array([fill], kind), *[np.frombuffer(p[k], kind) for p in own]]) for k, kind, fill in ((1, "<u4", 0), (2, "<f4", 0.5), (3, "<f8", 0.5)))
-            place = np.zeros(size(d), np.int32)
-            place[slot[1:]] = np.arange(1, len(slot))
-            self.nodes.append((place, share, one))
-        self.parts = []
-        self.known = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max)
-        self.scores = np.zeros(1 << CACHE_BITS)
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """Log10 probability of each gram's last byte after the bytes before it."""
-        if self.nodes is None:
-            self.open()
-        total = np.zeros(len(grams))
-        for k in range(8):
-            p = np.full(len(grams), 0.5)
-            for depth in range(DEPTH, -1, -1):
-                place, shares, ones = self.nodes[depth]
-                at = place[slots(grams, depth, k)]
-                share = shares[at].astype(np.float64)
-                p = share * ones[at] + (1 - share) * p
-            one = (grams >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(one, p, 1 - p))
-        return total
+
+    def level(below: DataFrame, *key: str) -> DataFrame:
+        nodes = below.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).withColumn("kt", own("zeros", "ones"))
+        larger, smaller = F.greatest("kt", "children"), F.least("kt", "children")
+        nodes = nodes.withColumn("weighted", larger + F.log1p(F.exp(smaller - larger)) - half)
+        one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+        return nodes.withColumn("share", F.exp(F.col("kt") - half - F.col("weighted"))).withColumn("one", one)
+
+    of_byte = stored(level(rows, "byte", "place"), "nodes")
+    root = level(of_byte.drop("children").withColumnRenamed("weighted", "children"), "place").select("place", F.col("share").alias("s"), F.col("one").alias("o"))
+    a = F.col("s") * F.col("o") + (1 - F.col("s")) * F.col("share") * F.col("one")
+    b = (1 - F.col("s")) * (1 - F.col("share"))
+    # Places that the byte's node does not have: the root alone, and one half from below.
+    ids = rows.sparkSession.range(1 << 16)
+    every = ids.select(F.shiftright("id", 8).alias("byte"), F.col("id").bitwiseAND(255).alias("place")).join(root, "place")
+    every = every.join(of_byte.select("byte", "place", "share", "one"), ["byte", "place"], "left")
+    every = every.withColumn("share", F.coalesce("share", F.lit(0.0))).withColumn("one", F.coalesce("one", F.lit(0.5)))
+    return every.groupBy("byte").agg(F.collect_list(F.struct("place", a.alias("a"), b.alias("b"))).alias("mixture"))
+
+
+def gram_scores(grams: DataFrame, upper: DataFrame) -> DataFrame:
+    """``gram`` and ``score``, the log10 probability of its last byte after those before it."""
+    two = F.shiftright("gram", 8).bitwiseAND(0xFFFF).alias("two")
+    # The mixture of its last byte for each pair of context bytes, of which there are at most 65 536.
+    pairs = grams.select(two).distinct().withColumn("byte", F.col("two").bitwiseAND(255)).join(upper, "byte").select("two", "mixture")
+
+    def mix(rows: pa.Table, above: pa.Table) -> pa.Table:
+        a, b = np.zeros(256), np.ones(256)
+        if above.num_rows:
+            found = above["mixture"].combine_chunks().values
+            place = found.field("place").to_numpy()
+            a[place], b[place] = found.field("a").to_numpy(), found.field("b").to_numpy()
+        lower = _Lower(rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
+        zeros, ones, _, share = lower.top()
+        seen = zeros + ones > 0
+        own = np.where(seen, share, 0.0)
+        a, b = a + b * own * _estimate(zeros, ones), b * (1 - own)
+        scores = np.zeros(len(lower.grams))
+        for part, levels in lower.slices():
+            grams = lower.grams[part]
+            for k in range(8):
+                p = np.full(len(grams), 0.5)
+                for _, z, o, _, share, which in levels:
+                    at = which[k]
+                    weight = np.where(z + o > 0, share, 0.0)[at]
+                    p = weight * _estimate(z, o)[at] + (1 - weight) * np.where((z + o > 0)[at], p, 0.5)
+                place = places(grams, k).astype(np.int64)
+                p = a[place] + b[place] * np.where(seen[place], p, 0.5)
+                one = (grams >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
+                scores[part] += np.log10(np.where(one, p, 1 - p))
+        return pa.table([lower.grams.view(np.int64), scores], names=["gram", "score"])
+
+    grouped = grams.withColumn("two", two).groupBy("two")
+    return grouped.cogroup(pairs.groupBy("two")).applyInArrow(mix, SCORE_ROWS)
+
+
+class Found:
+    """The scores of a block's grams."""
+
+    def __init__(self, grams: np.ndarray, scores: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.scores = grams[order], scores[order]
+        self.place = np.zeros(1 << FIND_BITS, np.int32)
+        self.place[self._hash(self.grams)] = np.arange(len(grams))
+
+    @staticmethod
+    def _hash(grams: np.ndarray) -> np.ndarray:
+        return (_mixed(grams) >> np.uint64(64 - FIND_BITS)).astype(np.int64)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text and its end. Grams met before come from a cache."""
-        if self.nodes is None:
-            self.open()
-        out = []
+        """Log10 probability of each text and its end."""
+        out = [np.zeros(0)]
         for chunk in chunks(texts):
             grams, starts = grams_of(chunk)
-            place = (_mixed(grams) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            found = self.known[place] == grams
-            values = self.scores[place]
-            missed, which = np.unique(grams[~found], return_inverse=True)
-            if len(missed):
-                fresh = self.log10(missed)
-                values[~found] = fresh[which]
-                at = (_mixed(missed) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-                # Of grams that share a place the last one stays; both arrays are written alike.
-                last = np.unique(at[::-1], return_index=True)[1]
-                last = len(at) - 1 - last
-                self.known[at[last]], self.scores[at[last]] = missed[last], fresh[last]
-            out.append(np.add.reduceat(values, starts))
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def learn(texts: DataFrame) -> Trees:
-    """Trees from all of ``text``."""
-    pairs = stored(node_counts(gram_counts(texts)), "pairs")
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"slot": "<u4", "share": "<f4", "one": "<f8"}
-        return pd.DataFrame({"depth": rows["depth"].iloc[:1], **{c: [rows[c].to_numpy().astype(k).tobytes()] for c, k in kinds.items()}})
-
-    packed = weights(pairs).groupBy("depth", F.shiftright("slot", RANGE_BITS)).applyInPandas(pack, "depth long, slot binary, share binary, one binary")
-    return Trees([(r["depth"], bytes(r["slot"]), bytes(r["share"]), bytes(r["one"])) for r in packed.collect()])
+            at = self.place[self._hash(grams)]
+            missed = np.flatnonzero(self.grams[at] != grams)
+            at[missed] = np.searchsorted(self.grams, grams[missed])
+            out.append(np.add.reduceat(self.scores[at], starts))
+        return np.concatenate(out)
 
 
 # ---------------------------------------------------------------- scores
@@ -302,21 +349,20 @@ def score(docs: DataFrame) -> DataFrame:
     held out. Repeated rows count and are scored each. Without texts to learn from every decision has
     probability one half, and every token the probability of an unseen one.
     """
-    spark = docs.sparkSession
-    rows = corpus(docs)
-    learning = fold() != 0
-    # At most 3 * 2**SLOT_BITS nodes of 16 bytes and some thousand more, whatever the corpus.
-    trees = spark.sparkContext.broadcast(learn(rows.filter(learning)))
-
-    def splitter():
-        def words(texts: list[str]):
-            data = [lowered_bytes(t) for t in texts]
-            for text, found in zip(data, trees.value.score(data)):
-                yield text.split(), float(found)
-
-        return words
-
-    found = stored(postings(rows, splitter, learning, WORD_BLOCK_BYTES), "words")
+    blocks = store_blocks(corpus(docs).withColumn("flag", fold() != 0))
+    in_blocks = stored(gram_rows(blocks), "block-grams")
+    grams = stored(in_blocks.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    scores = gram_scores(grams, upper_mixtures(upper_rows(grams)))
+
+    def words(texts: pa.Table, known: pa.Table) -> pa.Table:
+        data = [lowered_bytes(t) for t in texts["text"].to_pylist()]
+        values = Found(known["gram"].to_numpy().view(np.uint64), known["score"].to_numpy()).score(data)
+        ids, flags = texts["doc_id"].to_pylist(), texts["flag"].to_pylist()
+        split = ((i, len(t), t.split(), v, f) for i, t, v, f in zip(ids, data, values.tolist(), flags))
+        return pa.Table.from_batches(block_rows(texts["block"][0].as_py(), split))
+
+    sent = in_blocks.select("gram", "block").join(stored(scores, "scores"), "gram").groupBy("block")
+    found = stored(blocks.groupBy("block").cogroup(sent).applyInArrow(words, POSTINGS), "words")
     terms = found.filter("term is not null").select("term", "block", "places", "times", "n_flagged")
     known = stored(terms.groupBy("term").agg(F.sum("n_flagged").alias("c")), "counts")
     documents = documents_of(found)

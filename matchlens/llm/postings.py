@@ -7,7 +7,7 @@ block, not per document. A document is named by its slot: the block's number and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +128,14 @@ def postings(docs: DataFrame, splitter: Callable[[], Splitter], flag=None, block
     return ordered.mapInArrow(build, POSTINGS)
 
 
+def block_rows(number: int, docs: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of one block of at most ``1 << PLACE_BITS`` documents: id, bytes, terms, value and flag."""
+    block = _Block(number)
+    for doc in docs:
+        block.add(*doc)
+    return block.rows()
+
+
 def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """A binary column's bytes as one array, and the entries in each row."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
