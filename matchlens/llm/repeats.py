@@ -6,8 +6,8 @@ corpus is taken apart so that every two equal strings of that length meet in one
 1. Blocks. The documents are stored once, some megabytes to a block, bucketed by block, so that the
    later steps move only small tables to them.
 2. Anchors. Of the 16-byte grams in a string the one with the least hash is its anchor; equal strings
-   have equal anchors. Each block tells which anchors it has, six bytes each, and learns which of them
-   stand elsewhere too. Only those go on.
+   have equal anchors. Each block tells which anchors it has, six bytes each, and how many passages it
+   would send for each, and learns which of them stand elsewhere too. Only those go on.
 3. Passages. An occurrence of a shared anchor is sent with the strings whose anchor it is, at most 34
    bytes on either side. Equal passages of a block are sent once, with the smallest document; passages
    meet by anchor. An anchor that too many passages share is taken string by string instead; those meet
@@ -49,10 +49,12 @@ NONE = 0xFF
 BLOCK_BYTES = 4 << 20
 #: Bytes looked at together when anchors are chosen.
 SLICE = 1 << 20
+#: Passages that are cut out and hashed together.
+FRAMES_AT_ONCE = 100_000
 #: Anchors, and bytes of passages, that should meet in one task.
 ANCHORS_TOGETHER = 1_000_000
 PASSAGES_TOGETHER = 1 << 20
-#: Occurrences of one anchor beyond which its strings go their own ways.
+#: Passages of one anchor, distinct in their blocks, beyond which its strings go their own ways.
 HOT = 30_000
 #: Stands for a null id, and for no document.
 LAST = np.iinfo(np.int64).max
@@ -343,13 +345,31 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
+def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors of a block, and of each its distinct passages times two, plus one where a
+    passage occurs again."""
+    at, hashes, first, last = anchors_in(data)
+    frames = [np.zeros(0, np.uint64)]
+    for i in range(0, len(at), FRAMES_AT_ONCE):
+        part = slice(i, i + FRAMES_AT_ONCE)
+        low, high = max(0, int(at[i]) - FRAME), int(at[part][-1]) + FRAME
+        frames.append(_frame_hash(passages_at(data[low:high], at[part] - low, first[part], last[part])))
+    frames = np.concatenate(frames)
+    order = np.lexsort([frames, hashes])
+    hashes, frames = hashes[order], frames[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (frames[1:] != frames[:-1])
+    anchors, begin, times = np.unique(hashes, return_index=True, return_counts=True)
+    distinct = np.add.reduceat(new.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    return anchors, 2 * distinct + (times > distinct)
+
+
 def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        anchors, times = np.unique(anchors_in(Block(rows).data)[1], return_counts=True)
-        times = np.minimum(times, 255).astype(np.uint8)
+        anchors, times = passages_of(Block(rows).data)
         number = int(rows["block"].iloc[0])
         rest = (anchors << np.uint64(bits)) >> np.uint64(16)
-        out = [(k, number, _planes(rest[s]), times[s].tobytes()) for k, s in _cuts(_bucket(anchors, bits))]
+        out = [(k, number, _planes(rest[s]), _planes(times[s])) for k, s in _cuts(_bucket(anchors, bits))]
         return pd.DataFrame(out, columns=["bucket", "block", "anchors", "times"])
 
     return blocks.groupBy("block").applyInPandas(find, ANCHOR_ROWS)
@@ -360,12 +380,12 @@ def code_rows(anchors: DataFrame) -> DataFrame:
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         found = [_from_planes(a) for a in rows["anchors"]]
-        times = [np.frombuffer(t, np.uint8) for t in rows["times"]]
-        all_times = np.concatenate(times).astype(np.int64)
+        told = np.concatenate([_from_planes(t) for t in rows["times"]]).astype(np.int64)
+        passages, again = told >> 1, told & 1
         _, which = np.unique(np.concatenate(found), return_inverse=True)
-        total = np.bincount(which, all_times)
-        code = ((total >= 2).astype(np.uint8) + (total > HOT).astype(np.uint8))[which]
-        weight = np.where(code == 2, STRINGS, 1) * (code > 0) * all_times
+        total, repeated = np.bincount(which, passages), np.bincount(which, again)
+        code = ((total + repeated >= 2).astype(np.uint8) + (total > HOT).astype(np.uint8))[which]
+        weight = np.where(code == 2, STRINGS, 1) * (code > 0) * passages
         ends = np.cumsum([len(f) for f in found])
         parts, weights = np.split(code, ends[:-1]), np.split(weight, ends[:-1])
         return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "codes": [p.tobytes() for p in parts], "shared": [int(w.sum()) for w in weights]})
