@@ -3,7 +3,10 @@
 Repetitive text shrinks too far and noise (keys, base64, dumps) hardly at all. Both are seen in the
 ratio of compressed to plain bytes, of the whole text and of its fixed chunks. The whole-text limits
 depend on the length, since a short text gives the compressor little to refer back to; chunks are
-all of one size and share one band.
+all of one size and share one band. The longer a text, the more it can refer back to, so the lowest ratio
+of a text over ``piece_bytes`` is asked of its pieces of that size together. The limits are for scripts
+of about one byte a letter: a text mostly in another alphabet is judged with one byte for each of its
+letters (:func:`one_byte_letters`).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ class Bands(NamedTuple):
     ``whole``: (text bytes below which the row holds, lowest ratio, highest ratio), ascending.
     ``chunk``: lowest and highest ratio of a chunk of ``chunk_bytes``; a text fails when over
     ``chunk_share`` of its chunks lie outside. A last chunk shorter than half is not judged.
+    ``piece_bytes``: size of the pieces in which a longer text must reach its lowest ratio.
     """
 
     level: int = 3
@@ -42,11 +46,14 @@ class Bands(NamedTuple):
     chunk_bytes: int = 2_048
     chunk: tuple[float, float] = (0.46, 0.75)
     chunk_share: float = 0.5
+    piece_bytes: int = 128 << 10
 
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+# Fixed value: from the East Asian radicals on, scripts whose signs stand for more than a letter.
+NO_ALPHABET = re.compile("[\u2E80-\U0010FFFF]")
 BETWEEN_WORDS = re.compile(r"[\x20\x09-\x0D]+")
 
 STATS = StructType(
@@ -86,6 +93,22 @@ def _compressor(level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
 
 
+def one_byte_letters(text: str) -> bytes:
+    """The UTF-8 bytes; but where most characters besides blanks are not ASCII, and those and the ASCII ones
+    come to 256 kinds at most, a byte for each kind. Texts in syllables or ideographs stay as they are."""
+    data = text.encode()
+    ascii_ = len(text.encode("ascii", "ignore"))
+    if 2 * (len(text) - ascii_) <= len(BETWEEN_WORDS.sub("", text)):
+        return data
+    if 2 * len(NO_ALPHABET.findall(text)) > len(text) - ascii_:
+        return data
+    others = [c for c in dict.fromkeys(text) if ord(c) > 127]
+    free = [b for b in range(256) if b > 127 or chr(b) not in text]
+    if len(others) > len(free):
+        return data
+    return text.translate({ord(c): chr(b) for c, b in zip(others, reversed(free))}).encode("latin-1")
+
+
 def compression(data: bytes, bands: Bands) -> tuple[float | None, float | None, bool]:
     """Ratio of the whole text, share of chunks outside their band, and whether both pass."""
     if not data:
@@ -93,12 +116,18 @@ def compression(data: bytes, bands: Bands) -> tuple[float | None, float | None,
     press = _compressor(bands.level).compress
     whole = len(press(data)) / len(data)
     low, high = next((a, b) for below, a, b in bands.whole if len(data) < below)
+    in_pieces = whole
+    if len(data) > bands.piece_bytes:
+        # Pieces of equal size, none much shorter than the others.
+        n = -(-len(data) // bands.piece_bytes)
+        cuts = [len(data) * i // n for i in range(n + 1)]
+        in_pieces = sum(len(press(data[a:b])) for a, b in zip(cuts, cuts[1:])) / len(data)
     size = bands.chunk_bytes
     chunks = [data[i : i + size] for i in range(0, len(data), size)]
     chunks = [c for c in chunks if 2 * len(c) >= size]
     outside = sum(not bands.chunk[0] <= len(press(c)) / len(c) <= bands.chunk[1] for c in chunks)
     share = outside / len(chunks) if chunks else 0.0
-    return whole, share, low <= whole <= high and share <= bands.chunk_share
+    return whole, share, low <= in_pieces and whole <= high and share <= bands.chunk_share
 
 
 def document_stats(text: str, bands: Bands) -> tuple:
@@ -106,7 +135,7 @@ def document_stats(text: str, bands: Bands) -> tuple:
     words = data.split()
     n_words, repeats = len(words), repeat_words(words)
     failed = n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words
-    whole, outside, fits = compression(data, bands)
+    whole, outside, fits = compression(one_byte_letters(text), bands)
     return (
         n_words,
         len(BETWEEN_WORDS.sub("", text)),
