@@ -346,8 +346,7 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a block, and of each its distinct passages times two, plus one where a
-    passage occurs again."""
+    """The distinct anchors of a block; then of each its distinct passages, and of each its occurrences."""
     at, hashes, first, last = anchors_in(data)
     frames = [np.zeros(0, np.uint64)]
     for i in range(0, len(at), FRAMES_AT_ONCE):
@@ -361,7 +360,7 @@ def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (hashes[1:] != hashes[:-1]) | (frames[1:] != frames[:-1])
     anchors, begin, times = np.unique(hashes, return_index=True, return_counts=True)
     distinct = np.add.reduceat(new.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    return anchors, 2 * distinct + (times > distinct)
+    return anchors, np.stack([distinct, times])
 
 
 def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
@@ -369,7 +368,7 @@ def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
         anchors, times = passages_of(Block(rows).data)
         number = int(rows["block"].iloc[0])
         rest = (anchors << np.uint64(bits)) >> np.uint64(16)
-        out = [(k, number, _planes(rest[s]), _planes(times[s])) for k, s in _cuts(_bucket(anchors, bits))]
+        out = [(k, number, _planes(rest[s]), _planes(times[:, s].ravel())) for k, s in _cuts(_bucket(anchors, bits))]
         return pd.DataFrame(out, columns=["bucket", "block", "anchors", "times"])
 
     return blocks.groupBy("block").applyInPandas(find, ANCHOR_ROWS)
@@ -380,12 +379,11 @@ def code_rows(anchors: DataFrame) -> DataFrame:
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         found = [_from_planes(a) for a in rows["anchors"]]
-        told = np.concatenate([_from_planes(t) for t in rows["times"]]).astype(np.int64)
-        passages, again = told >> 1, told & 1
+        passages, occurrences = np.concatenate([_from_planes(t).reshape(2, -1) for t in rows["times"]], axis=1).astype(np.int64)
         _, which = np.unique(np.concatenate(found), return_inverse=True)
-        total, repeated = np.bincount(which, passages), np.bincount(which, again)
-        code = ((total + repeated >= 2).astype(np.uint8) + (total > HOT).astype(np.uint8))[which]
-        weight = np.where(code == 2, STRINGS, 1) * (code > 0) * passages
+        total, passages = np.bincount(which, occurrences), np.bincount(which, passages)
+        code = ((total >= 2).astype(np.uint8) + (passages > HOT).astype(np.uint8))[which]
+        weight = np.where(code == 2, STRINGS, 1) * (code > 0) * occurrences
         ends = np.cumsum([len(f) for f in found])
         parts, weights = np.split(code, ends[:-1]), np.split(weight, ends[:-1])
         return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "codes": [p.tobytes() for p in parts], "shared": [int(w.sum()) for w in weights]})
