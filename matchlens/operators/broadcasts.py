@@ -12,7 +12,8 @@ from matchlens.functions.networks import with_network
 from matchlens.functions.text import strip_rank_prefix
 from matchlens.operators.entities import resolve_team
 from matchlens.operators.schedule import day_of
-from matchlens.sources.merge import refresh_forward
+from matchlens.sources.merge import refresh_days, refresh_forward
+from matchlens.sources.versioned import Manifest, VersionedTable
 from matchlens.tables import Tables
 
 GAME = ["season", "game_date", "team_a_id", "team_b_id"]
@@ -93,3 +94,9 @@ def refresh_broadcasts(old: DataFrame, feeds: DataFrame, t: Tables, today: str,
     """Stored broadcasts after an ingest: today and later anew, the past frozen."""
     last = (date.fromisoformat(today) + timedelta(days=days_ahead)).isoformat()
     return refresh_forward(old, listed_broadcasts(feeds, t, today, days_back, days_ahead), KEY, "game_date", today, last)
+
+
+def refresh_stored_broadcasts(table: VersionedTable, feeds: DataFrame, t: Tables, today: str, days_back: int = 3, days_ahead: int = 10) -> Manifest:
+    """The same on a table bucketed by ``game_date``: only buckets of days to come, or of the feeds' days, change."""
+    last = (date.fromisoformat(today) + timedelta(days=days_ahead)).isoformat()
+    return refresh_days(table, listed_broadcasts(feeds, t, today, days_back, days_ahead), KEY, "game_date", today, last)

@@ -15,6 +15,7 @@ from matchlens.operators.entities import (
 )
 from matchlens.operators.schedule import day_of, pair_key
 from matchlens.sources.files import season_id
+from matchlens.sources.versioned import Manifest, VersionedTable
 from matchlens.sources.merge import KEEP_NEW, KEEP_OLD, keep_real_time, prune, replace_keys, upsert
 from matchlens.tables import Tables
 
@@ -166,19 +167,26 @@ def schedule_rows(staged: DataFrame, t: Tables) -> DataFrame:
     ).dropDuplicates(["season", "team_id", "date", "opponent_name"])
 
 
-def load_schedule(staged: DataFrame, t: Tables) -> DataFrame:
-    """The schedule after merging a scrape.
+SCHEDULE_KEYS = ["season", "team_id", "date", "opponent_name"]
 
-    Contest ids survive a blank cell and start times survive "not set". Rows a scraped team no
-    longer lists go; teams the scrape lacks keep theirs.
-    """
-    keys = ["season", "team_id", "date", "opponent_name"]
-    new = schedule_rows(staged, t)
-    times = t.schedule.select(*keys, F.col("game_time").alias("_old_time"))
-    new = new.join(times, keys, "left").withColumn(
+
+def merged_schedule(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored rows after a scrape. Contest ids survive a blank cell and start times survive "not set". Rows a
+    scraped team no longer lists go; teams the scrape lacks keep theirs."""
+    times = old.select(*SCHEDULE_KEYS, F.col("game_time").alias("_old_time"))
+    new = new.join(times, SCHEDULE_KEYS, "left").withColumn(
         "game_time", keep_real_time(F.col("game_time"), F.col("_old_time"), time_unset("game_time"))).drop("_old_time")
-    merged = upsert(t.schedule, new, keys, {"contest_id": KEEP_NEW})
-    return prune(merged, new, ["season", "team_id"], keys)
+    return prune(upsert(old, new, SCHEDULE_KEYS, {"contest_id": KEEP_NEW}), new, ["season", "team_id"], SCHEDULE_KEYS)
+
+
+def load_schedule(staged: DataFrame, t: Tables) -> DataFrame:
+    """The schedule after merging a scrape."""
+    return merged_schedule(t.schedule, schedule_rows(staged, t))
+
+
+def load_schedule_into(table: VersionedTable, staged: DataFrame, t: Tables) -> Manifest:
+    """The same on a table bucketed by season and team: buckets without a scraped team are left alone."""
+    return table.merge(schedule_rows(staged, t), merged_schedule)
 
 
 def team_rows(entries: DataFrame, t: Tables) -> DataFrame:

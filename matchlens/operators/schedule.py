@@ -167,19 +167,21 @@ def games_on(t: Tables, season: int | None = None, window: Column | None = None)
     return rows.select("season", "date", "status", "time", label("home").alias("home"), label("away").alias("away"), "home_rank", "away_rank", "score")
 
 
-def overlay_live(board: DataFrame, live: DataFrame, t: Tables) -> DataFrame:
+def overlay_live(board: DataFrame, live: DataFrame, t: Tables, points: DataFrame | None = None) -> DataFrame:
     """Put in-progress and just-finished scores onto upcoming rows; played rows are left alone.
 
     Rows match by outside id, else by day and pair of slugs. A feed lists the visitor first; where
     our home side is its visitor the scores are turned round. Of several rows of a game the newest (``at``,
-    where the feed tells) counts, and a final one before a live one of the same time.
+    where the feed tells) counts, and a final one before a live one of the same time. ``points`` has the
+    points per set of a game (``ncaa_game_id``, ``home_points``, ``visit_points``, maybe ``at``); with it the rows get
+    ``set_scores``, turned round with the rest. A game without them keeps what the row had.
     """
     final = F.lower("game_state") == "final"
     newest = [F.col("at")] if "at" in live.columns else []
-    at = F.struct(*newest, final, F.col("home_sets_won") + F.col("away_sets_won"), "home_sets_won", F.col("seonames")[0], "current_period")
+    at = F.struct(*newest, final, F.col("home_sets_won") + F.col("away_sets_won"), "home_sets_won", F.col("seonames")[0], "current_period", "ncaa_game_id")
     feed = live.filter(F.lower("game_state").isin("live", "final")).select(
         F.col("ncaa_game_id").alias("_id"), F.col("date").alias("_day"), F.struct(
-            F.lower("game_state").alias("state"), F.col("seonames")[0].alias("visitor"), "home_sets_won", "away_sets_won", "current_period").alias("g"),
+            F.lower("game_state").alias("state"), F.col("seonames")[0].alias("visitor"), "home_sets_won", "away_sets_won", "current_period", "ncaa_game_id").alias("g"),
         F.concat_ws("|", F.array_sort(F.filter("seonames", lambda s: s != ""))).alias("_slugs"), at.alias("_at"))
     by_id = feed.filter(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("ncaa_game_id")).agg(F.max_by("g", "_at").alias("_g1"))
     by_pair = feed.groupBy("_day", "_slugs").agg(F.max_by("g", "_at").alias("_g2"))
@@ -192,9 +194,18 @@ def overlay_live(board: DataFrame, live: DataFrame, t: Tables) -> DataFrame:
     board = board.withColumn("_g", g).drop("_g1", "_g2")
     turned = F.coalesce(F.col("_home_slug") == F.col("_g.visitor"), F.lit(False))
     live_now = F.col("_g.state") == "live"
+    scores = {}
+    if points is not None:
+        last = F.max_by(F.struct("home_points", "visit_points"), F.col("at") if "at" in points.columns else F.lit(1))
+        lines = points.filter("ncaa_game_id is not null").groupBy(F.col("ncaa_game_id").alias("_gid")).agg(last.alias("_p"))
+        board = board.withColumn("_gid", F.col("_g.ncaa_game_id")).join(lines, "_gid", "left")
+        home, visit = F.col("_p.home_points"), F.col("_p.visit_points")
+        told = F.struct(F.when(turned, home).otherwise(visit).alias("away"), F.when(turned, visit).otherwise(home).alias("home"))
+        before = F.col("set_scores") if "set_scores" in board.columns else F.lit(None)
+        scores["set_scores"] = F.when(F.col("_p").isNotNull(), told).otherwise(before)
     put = lambda a, b, old: F.when(F.col("_g").isNull(), F.col(old)).when(turned, F.col(f"_g.{a}")).otherwise(F.col(f"_g.{b}"))
-    return board.withColumns({
+    return board.withColumns(scores | {
         "home_sets_won": put("away_sets_won", "home_sets_won", "home_sets_won"), "away_sets_won": put("home_sets_won", "away_sets_won", "away_sets_won"),
         "status": F.when(F.col("_g").isNull(), F.col("status")).when(live_now, "live").otherwise("final_pending"),
         "live_period": F.when(F.coalesce(live_now, F.lit(False)), F.col("_g.current_period")),
-    }).drop("_day", "_slugs", "_home_slug", "_away_slug", "_g")
+    }).drop("_day", "_slugs", "_home_slug", "_away_slug", "_g", "_gid", "_p")

@@ -25,7 +25,7 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(num, den)
 
 
-def _with_rates(df: DataFrame) -> DataFrame:
+def with_rates(df: DataFrame) -> DataFrame:
     df = df.withColumn("total_blocks", F.col("block_solos") + F.col("block_assists"))
     hit = F.when(F.col("total_attacks") > 0, (F.col("kills") - F.col("errors")) / F.col("total_attacks"))
     return df.withColumns({"hit_pct": hit} | {r: ratio(base, "sp") for r, base in RATES.items()})
@@ -34,16 +34,15 @@ def _with_rates(df: DataFrame) -> DataFrame:
 def season_totals(box: DataFrame, season: int | None = None) -> DataFrame:
     """One line per (player, season). A counter never recorded stays NULL.
 
-    Box-score rows are unique per (contest, player) — the loads keep them so — hence the number of
-    matches is a plain count, and the whole aggregate is combined before its single shuffle.
+    Matches are counted once each, also where a box line was given twice.
     """
     sums = one_season(box, season).groupBy("player_id", "season").agg(
         F.max("team_id").alias("team_id"),
-        F.count("contest_id").alias("gp"),
+        F.count_distinct("contest_id").alias("gp"),
         F.sum("sets").alias("sp"),
         *[F.sum(c).alias(c) for c in COUNTERS],
     )
-    return _with_rates(sums)
+    return with_rates(sums)
 
 
 def week_totals(t: Tables, season: int | None = None, week: int | None = None) -> DataFrame:
@@ -56,7 +55,7 @@ def week_totals(t: Tables, season: int | None = None, week: int | None = None) -
         one_season(t.player_game_stats, season)
         .join(weeks, "contest_id")
         .groupBy("player_id", "season", "week_number")
-        .agg(F.count("contest_id").alias("gp"), zero("sets").alias("sp"), *[zero(c) for c in COUNTERS])
+        .agg(F.count_distinct("contest_id").alias("gp"), zero("sets").alias("sp"), *[zero(c) for c in COUNTERS])
     )
     sums = sums.withColumn("total_blocks", F.col("block_solos") + F.col("block_assists"))
     return sums.withColumns(

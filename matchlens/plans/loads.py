@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from matchlens.constants import ROSTER_OVERRIDES
 from matchlens.operators import entities, loads
+from matchlens.operators.cumulative import SeasonView
 from matchlens.plans.catalog import query, shared
 from matchlens.sources import files, merge
 from matchlens.sources.staged import CLASSES, HEIGHTS, POSITIONS
+from matchlens.sources.versioned import VersionedTable
 from matchlens.tables import SCHEMAS
 
 _key = lambda e: f"array_to_string(list_filter(string_split(regexp_replace(lower({e}), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '' and w not in ('university', 'college', 'of', 'the')), ' ')"
@@ -178,8 +180,19 @@ _pbp_cols = ["contest_id", "season", "set_number", "rally_number", "seq", "touch
 query("c18_pbp_load", f"select {', '.join(_pbp_cols)} from o_loaded_pbp")(lambda t: loads.pbp_rows(_pbp_file(t), t).select(*_pbp_cols))
 query("s9_replace_contest_events", """select contest_id, seq, touch_type from o_loaded_pbp union all select contest_id, seq, 'stale' from pbp_events e where cast(contest_id as bigint) % 2 = 0 and not exists (select 1 from staged_pbp s where s.contestid = e.contest_id)
     union all select concat('x', contest_id), seq, 'stale' from pbp_events""")(
-    lambda t: merge.replace_keys(t.pbp_events.withColumn("touch_type", F.lit("stale")).unionByName(t.pbp_events.withColumns({"touch_type": F.lit("stale"), "contest_id": F.concat(F.lit("x"), "contest_id")})),
-                                 loads.pbp_rows(_pbp_file(t), t), ["contest_id"]).select("contest_id", "seq", "touch_type"))
+    lambda t: _replaced_events(t))
+
+
+def _replaced_events(t):
+    """Events per contest in a versioned table; a load replaces the contests it has."""
+    cols = ["contest_id", "seq", "touch_type"]
+    stale = t.pbp_events.withColumn("touch_type", F.lit("stale"))
+    other = stale.withColumn("contest_id", F.concat(F.lit("x"), "contest_id"))
+    table = stored(t, stale.unionByName(other).select(*cols), ["contest_id"])
+    merge.replace_stored(table, loads.pbp_rows(_pbp_file(t), t).select(*cols), ["contest_id"])
+    return table.read()
+
+
 query("s13_fill_only_if_missing", """select coalesce(o.contest_id, n.contest_id) as contest_id, coalesce(o.home_team_id, n.home_team_id) as home_team_id, coalesce(o.away_team_id, n.away_team_id) as away_team_id, n.loc as location, n.att as attendance
     from stale_contests o full outer join (select s.contestid as contest_id, max(h.team_id) as home_team_id, max(a.team_id) as away_team_id, max(s.location) as loc, max(s.attendance) as att from staged_pbp s left join team_season_ids h on h.season = s.season and h.ncaa_team_id = s.homencaaid
       left join team_season_ids a on a.season = s.season and a.ncaa_team_id = s.awayncaaid group by s.contestid) n on n.contest_id = o.contest_id""")(
@@ -224,7 +237,17 @@ query("c19_schedule_load", """select m.* from o_sched_merged m where exists (sel
     or not exists (select 1 from o_sched_new n where n.season = m.season and n.team_id = m.team_id)""")(
     lambda t: _sched_run(t).select(*_sched_keys, "opponent_team_id", "game_time", "contest_id"))
 query("s10_prune_unlisted", """select season, team_id, count(*) as n from (select m.* from o_sched_merged m where exists (select 1 from o_sched_new n where n.season = m.season and n.team_id = m.team_id and n.date = m.date and n.opponent_name = m.opponent_name)
-    or not exists (select 1 from o_sched_new n where n.season = m.season and n.team_id = m.team_id)) x group by all""")(lambda t: _sched_run(t).groupBy("season", "team_id").agg(F.count(F.lit(1)).alias("n")))
+    or not exists (select 1 from o_sched_new n where n.season = m.season and n.team_id = m.team_id)) x group by all""")(lambda t: _pruned_schedule(t).groupBy("season", "team_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _pruned_schedule(t):
+    """A scrape merged into the stored schedule, a versioned table."""
+    one = _one_schedule(t)
+    table = stored(t, one.schedule, ["season", "team_id"])
+    loads.load_schedule_into(table, one.staged_schedule, one)
+    return table.read()
+
+
 query("s11_keep_real_time", """select contest_id, team_id, case when coalesce(game_time, '') in ('', '12:00 AM') and contest_id is not null then '06:00 PM' else game_time end as t from schedule""")(
     lambda t: t.schedule.select("contest_id", "team_id", merge.keep_real_time(F.col("game_time"), F.when(F.col("contest_id").isNotNull(), "06:00 PM"), F.coalesce("game_time", F.lit("")).isin("", "12:00 AM")).alias("t")))
 _season_file = lambda t: merge.latest(t.staged_box.select("PlayerID", "Season", "ContestID", "S", "Kills"), ["PlayerID", "Season"], F.col("ContestID")).withColumns(
@@ -329,21 +352,40 @@ query("s14_snapshot_ranks", """select season, as_of, team_id, rpi_rank, avca_ran
     lambda t: merge.snapshot_ranks(t.ranking_snapshots, t.teams, 1998, "1998-05-01").select("season", "as_of", "team_id", "rpi_rank", "avca_rank"))
 query("s15_poll_archive", """select s.season, s.as_of, s.team_id, s.rpi_rank, coalesce(p.avca_rank, s.avca_rank) as avca_rank from ranking_snapshots s left join polls p on p.season = s.season and p.as_of = s.as_of and p.team_id = s.team_id and p.slug_no = 1""")(
     lambda t: merge.archive_polls(t.ranking_snapshots, t.polls).select("season", "as_of", "team_id", "rpi_rank", "avca_rank"))
-query("s16_refresh_season_totals", "select player_id, season, gp, kills from o_season")(lambda t: _refreshed(t))
+query("s16_refresh_season_totals", "select player_id, season, team_id, gp, kills, hit_pct from o_season_rates")(lambda t: _refreshed(t))
 
 
 def _refreshed(t):
-    """Write the season lines by season, then read them back: a second write replaces only its partitions."""
+    """A season view through insertions, changes and deletions of matches, reading only what changed."""
+    box = t.player_game_stats
+    digit = F.pmod(F.xxhash64("contest_id"), F.lit(10))
+    # At first a tenth of the matches is missing, a tenth has other figures, and some are there that go later.
+    wrong = box.filter(digit == 1).withColumns({"kills": F.col("kills") + 3, "errors": F.lit(None).cast("double")})
+    bogus = box.filter(digit == 2).withColumn("contest_id", F.concat(F.lit("gone "), "contest_id"))
+    table = stored(t, box.filter("1 = 0"), ["contest_id"])
+    view = SeasonView(t.spark, _fresh(t, "season"), table, buckets=16)
+    table.replace_all(box.filter(digit > 1).unionByName(wrong).unionByName(bogus))
+    view.refresh()
+    merge.replace_stored(table, box.filter(digit < 2), ["contest_id"])
+    view.refresh()
+    table.merge(bogus, lambda old, new: old.join(new.select("contest_id").distinct(), "contest_id", "left_anti").select(*old.columns))
+    view.refresh()
+    return view.read().select("player_id", "season", "team_id", "gp", "kills", "hit_pct")
+
+
+def _fresh(t, name):
     import uuid
 
-    from matchlens.operators.totals import season_totals
     from matchlens.session import shared_dir
 
-    path = f"{shared_dir(t.spark)}/season-{uuid.uuid4().hex}"
-    lines = season_totals(t.player_game_stats).select("player_id", "gp", "kills", "season")
-    merge.store(lines, path, ["season"])
-    merge.store(lines.filter("season = 1998"), path, ["season"])
-    return t.spark.read.parquet(path)
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(t, df, by, buckets=16):
+    """A versioned table that holds these rows."""
+    table = VersionedTable(t.spark, _fresh(t, "table"), df.schema, by, buckets)
+    table.replace_all(df)
+    return table
 
 
 query("s6_checked_append", "select contest_id, season, seq from pbp_events")(lambda t: _appended(t))

@@ -103,7 +103,17 @@ query("c14_broadcast_ingest", f"select {', '.join(_bc_cols)} from o_refined")(la
 _old = "select season, game_date, team_a_id, team_b_id, network, logo_key, 'old' as source, is_live, raw_channel, channel_no from o_refined where network <> 'ESPN2'"
 query("s12_refresh_forward", f"""select * from ({_old}) o where game_date < '{TODAY}' or game_date > strftime(date '{TODAY}' + interval {AHEAD} day, '%Y-%m-%d')
     union all select {', '.join(_bc_cols)} from o_refined where game_date between '{TODAY}' and strftime(date '{TODAY}' + interval {AHEAD} day, '%Y-%m-%d') or network = 'ESPN2'""")(
-    lambda t: broadcasts.refresh_broadcasts(_listed(t).filter("network <> 'ESPN2'").withColumn("source", F.lit("old")), t.feeds, t, TODAY, BACK, AHEAD).select(*_bc_cols))
+    lambda t: _refreshed(t).select(*_bc_cols))
+
+
+def _refreshed(t):
+    """Old broadcasts in a versioned table by day, after an ingest."""
+    from matchlens.plans.loads import stored
+
+    table = stored(t, _listed(t).filter("network <> 'ESPN2'").withColumn("source", F.lit("old")), ["game_date"])
+    broadcasts.refresh_stored_broadcasts(table, t.feeds, t, TODAY, BACK, AHEAD)
+    return table.read()
+
 
 
 @query("u2_board_with_networks", f"""select b.season, b.date, b.contest_id, b.status, b.home_team_id, b.away_team_id, n.networks from o_board b left join (
@@ -123,16 +133,24 @@ def _games(t):
     return t.listed_games.withColumns({"seonames": F.split("seonames", r"\|"), "name_shorts": F.split("name_shorts", r"\|")})
 
 
+def _points(t):
+    listed = lambda c: F.split(c, r"\|").cast("array<int>").alias(c)
+    return t.game_points.select("ncaa_game_id", F.col("at_epoch").alias("at"), listed("home_points"), listed("visit_points"))
+
+
 shared(
     o_feed="""select g.*, split_part(seonames, '|', 1) as visitor, split_part(seonames, '|', 2) as host from listed_games g where game_state in ('live', 'final')""",
-    o_feed_pair="""select date, least(visitor, host) as x, greatest(visitor, host) as y, arg_max(struct_pack(state := game_state, visitor := visitor, home_sets_won := home_sets_won, away_sets_won := away_sets_won, p := current_period),
-        struct_pack(f := game_state = 'final', n := home_sets_won + away_sets_won, h := home_sets_won, v := visitor, p := current_period)) as g from o_feed group by all""",
+    o_feed_pair="""select date, least(visitor, host) as x, greatest(visitor, host) as y, arg_max(struct_pack(state := game_state, visitor := visitor, home_sets_won := home_sets_won, away_sets_won := away_sets_won, p := current_period, id := ncaa_game_id),
+        struct_pack(f := game_state = 'final', n := home_sets_won + away_sets_won, h := home_sets_won, v := visitor, p := current_period, id := ncaa_game_id)) as g from o_feed group by all""",
 )
 query("c22_live_overlay", """select season, date, contest_id, home_team_id, away_team_id, unlisted_opponent, case when g is null then status when g.state = 'live' then 'live' else 'final_pending' end as status,
     case when g is null then home_sets_won when g.visitor = hs then g.away_sets_won else g.home_sets_won end as home_sets_won,
-    case when g is null then away_sets_won when g.visitor = hs then g.home_sets_won else g.away_sets_won end as away_sets_won, case when g.state = 'live' then g.p end as live_period
+    case when g is null then away_sets_won when g.visitor = hs then g.home_sets_won else g.away_sets_won end as away_sets_won, case when g.state = 'live' then g.p end as live_period,
+    replace(case when g.visitor = hs then p.visit_points else p.home_points end, '|', ',') as home_points, replace(case when g.visitor = hs then p.home_points else p.visit_points end, '|', ',') as away_points
     from (select b.*, replace(lower(h.name), '_', '-') as hs, case when b.status = 'upcoming' then f.g end as g from o_board b left join teams h on h.id = b.home_team_id left join teams a on a.id = b.away_team_id
-      left join o_feed_pair f on f.date = substr(b.date, 1, 10) and f.x = least(replace(lower(h.name), '_', '-'), replace(lower(a.name), '_', '-')) and f.y = greatest(replace(lower(h.name), '_', '-'), replace(lower(a.name), '_', '-'))) z""")(
-    lambda t: schedule.overlay_live(schedule.scoreboard(t), _games(t).withColumn("ncaa_game_id", F.lit(None).cast("string")), t.replace(
-        teams=t.teams.withColumn("short_name", F.col("name")))).select(
-        "season", "date", "contest_id", "home_team_id", "away_team_id", "unlisted_opponent", "status", "home_sets_won", "away_sets_won", "live_period"))
+      left join o_feed_pair f on f.date = substr(b.date, 1, 10) and f.x = least(replace(lower(h.name), '_', '-'), replace(lower(a.name), '_', '-')) and f.y = greatest(replace(lower(h.name), '_', '-'), replace(lower(a.name), '_', '-'))) z
+    left join game_points p on p.ncaa_game_id = z.g.id and p.at_epoch = 946684800 + cast(replace(z.g.id, 'n', '') as bigint) * 1800 - 60""")(
+    lambda t: schedule.overlay_live(schedule.scoreboard(t).withColumn("ncaa_game_id", F.lit(None).cast("string")), _games(t), t.replace(teams=t.teams.withColumn("short_name", F.col("name"))), _points(t)).select(
+        "season", "date", "contest_id", "home_team_id", "away_team_id", "unlisted_opponent", "status", "home_sets_won", "away_sets_won", "live_period",
+        F.array_join("set_scores.home", ",").alias("home_points"), F.array_join("set_scores.away", ",").alias("away_points")))
+

@@ -1,17 +1,18 @@
 """Loads as merges: the stored rows and the new ones give the rows to store.
 
-Each function returns the merged DataFrame; :func:`store` writes it.
+Functions on frames return the merged rows; those on a :class:`~matchlens.sources.versioned.VersionedTable` give
+the merge the buckets that it touches, and commit.
 """
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import quote
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.session import shared_dir
+from matchlens.sources.versioned import Manifest, VersionedTable
 
 KEEP_NEW, KEEP_OLD, TAKE_NEW = "new or old", "old or new", "new"
 
@@ -69,7 +70,9 @@ def refresh_forward(old: DataFrame, new: DataFrame, keys: list[str], day: str, t
     """Rows from ``today`` to ``last`` are replaced; older ones, and those without a day, are frozen and
     win over new ones."""
     frozen = old.filter(~F.coalesce(F.col(day).between(today, last), F.lit(False)))
-    return frozen.unionByName(new.join(frozen.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    there = frozen.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return frozen.unionByName(new.join(there, same, "left_anti"), allowMissingColumns=True)
 
 
 def snapshot_ranks(old: DataFrame, teams: DataFrame, season: int, as_of: str) -> DataFrame:
@@ -97,33 +100,29 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.when(F.col("_n").isNull(), 1)).alias("untouched"))
 
 
-def store(df: DataFrame, path: str, partition_by: list[str], covered: DataFrame | None = None) -> None:
-    """Replace the partitions present in ``df``; others stay, so a run repeated or restarted leaves the
-    same table.
+def replace_stored(table: VersionedTable, new: DataFrame, keys: list[str]) -> Manifest:
+    """:func:`replace_keys` on a table bucketed by some of the keys."""
+    return _bucketed(table, keys).merge(new, lambda old, rows: replace_keys(old, rows, keys))
 
-    ``covered`` holds the old rows that went into the merge, or their keys: a partition that it has and
-    ``df`` does not was emptied, and goes.
 
-    ``df`` may read the table it is written to, so it is first written to the shared folder: the
-    swap then depends on files, not on recomputing a source that is being replaced.
-    """
-    spark = df.sparkSession
-    staged = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(staged)
-    ready = spark.read.schema(df.schema).parquet(staged).select(*df.columns)
-    emptied = [] if covered is None else covered.select(*partition_by).distinct().join(ready.select(*partition_by).distinct(), partition_by, "left_anti").collect()
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-    for row in emptied:
-        remove(spark, "/".join([path, *[f"{c}={partition_name(row[c])}" for c in partition_by]]))
-    remove(spark, staged)
-
-
-def partition_name(value) -> str:
-    """A partition value as it stands in a folder's name."""
-    return "__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" -_.,()~!@&;$+")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder wherever it is stored."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def upsert_and_prune(table: VersionedTable, feed: DataFrame, scope: list[str], keys: list[str], rules: dict[str, str] | None = None) -> Manifest:
+    """:func:`upsert`, then :func:`prune`, on a table bucketed by the feed's scope: scopes that the feed
+    does not cover are neither read nor written, but for those that share a bucket."""
+    return _bucketed(table, scope).merge(feed, lambda old, rows: prune(upsert(old, rows, keys, rules), rows, scope, keys))
+
+
+def refresh_days(table: VersionedTable, new: DataFrame, keys: list[str], day: str, today: str, last: str, batch: tuple[str, int] | None = None) -> Manifest:
+    """:func:`refresh_forward` on a table bucketed by ``day``, which is one of the keys: buckets of the days from
+    ``today`` to ``last`` and of the feed's days."""
+    if day not in keys:
+        raise ValueError(f"{day} has to be one of the keys {keys}")
+    listed = F.transform(F.sequence(F.lit(today).cast("date"), F.lit(last).cast("date")), lambda d: d.cast("string"))
+    days = table.spark.range(1).select(F.explode(listed).alias(day))
+    how = lambda old, rows: refresh_forward(old, rows, keys, day, today, last).select(*old.columns)
+    return _bucketed(table, [day]).merge(new, how, touch=days, batch=batch)
+
+
+def _bucketed(table: VersionedTable, keys: list[str]) -> VersionedTable:
+    if not set(table.by) <= set(keys):
+        raise ValueError(f"{table.path} is bucketed by {table.by}, not by some of {keys}")
+    return table

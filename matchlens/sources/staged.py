@@ -77,6 +77,11 @@ STAGED: dict[str, str] = {
           cast(cast(k.contest_id as bigint) % 4 as int) as home_sets_won, cast(cast(k.contest_id as bigint) % 3 as int) as away_sets_won, 'SET 2' as current_period
         from {contests} k join {teams} h on h.id = k.home_team_id join {teams} a on a.id = k.away_team_id
         where k.date is not null and k.date <> 'TBD-not-a-date'""",
+    "game_points": """
+        select ncaa_game_id, start_epoch - 60 as at_epoch,
+          concat('25|', cast(18 + home_sets_won as string), '|', cast(start_epoch / 1800 % 15 as int)) as home_points, concat('20|25|', cast(away_sets_won as string)) as visit_points
+        from {listed_games} where home_sets_won <> 3
+        union all select ncaa_game_id, start_epoch - 120, '25', '20' from {listed_games} where home_sets_won <> 3""",
     "staged_box": """
         select cast(p.team_id as string) as TeamID, p.season as Season, p.contest_id as ContestID,
           case when p.player_id % 37 = 0 then '999999999' else cast(p.player_id as string) end as PlayerID, concat('P', cast(p.player_id as string)) as Name,

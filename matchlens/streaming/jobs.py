@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.operators.rally import SET, by_set
+from matchlens.operators.rally import SET
 from matchlens.session import shared_dir
-from matchlens.sources.merge import refresh_forward, replace_keys, store
+from matchlens.sources.merge import latest, refresh_days, replace_keys
+from matchlens.sources.versioned import VersionedTable
 
 LATE = "3 days"
-BATCH = "batch_id"
 # The epoch fell on a Thursday; four days on is the first Monday.
 MONDAY = "4 days"
 
@@ -54,21 +54,23 @@ def weekly(stream: DataFrame, time: str, keys: list[str], late: str = LATE) -> D
     return stream.withWatermark(time, late).groupBy(week, *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def latest_score(updates: DataFrame) -> DataFrame:
-    """Newest score per game (``ncaa_game_id``, ``at``, …), for an update-mode overlay."""
-    last = F.max_by(F.struct("game_state", "home_sets_won", "away_sets_won", "current_period"), "at")
-    return updates.groupBy("ncaa_game_id", "date").agg(last.alias("g"), F.max("at").alias("at")).select("ncaa_game_id", "date", "g.*", "at")
+def latest_score(updates: DataFrame, points: DataFrame, late: str = "15 minutes", apart: str = "10 minutes") -> DataFrame:
+    """Board updates with the points per set that the game's own feed gave last before them.
 
-
-def overlay(latest: DataFrame, board: DataFrame) -> DataFrame:
-    """Stream–static join: newest scores onto the upcoming rows of a board."""
-    open_ = board.filter("status = 'upcoming' and ncaa_game_id is not null").select("season", "contest_id", "ncaa_game_id")
-    return latest.filter(F.lower("game_state").isin("live", "final")).join(open_, "ncaa_game_id")
+    ``updates`` has ``ncaa_game_id``, ``at`` and the board's columns, ``points`` ``ncaa_game_id``, ``at``, ``home_points`` and
+    ``visit_points``. Both are streams: an outer join in append mode, held for as long as a line of points may be
+    ``apart`` from its update. An update without points comes out when the watermark has passed it.
+    """
+    board = updates.withWatermark("at", late).alias("u")
+    lines = points.withWatermark("at", late).alias("p")
+    near = F.expr(f"u.ncaa_game_id = p.ncaa_game_id and p.at <= u.at and p.at >= u.at - interval {apart}")
+    return board.join(lines, near, "left_outer").select("u.*", "p.home_points", "p.visit_points", F.col("p.at").alias("points_at"))
 
 
-def running_score(events: DataFrame) -> DataFrame:
-    """Points per (contest, set, side) so far."""
-    return events.filter("is_terminal and scoring_team_id is not null").groupBy("season", *SET, "scoring_team_id").agg(F.count(F.lit(1)).alias("points"))
+def overlay(newest: DataFrame, board: DataFrame) -> DataFrame:
+    """Newest scores onto the upcoming rows of a board."""
+    open_ = board.filter("status = 'upcoming' and ncaa_game_id is not null").select("season", "contest_id", "ncaa_game_id")
+    return newest.filter(F.lower("game_state").isin("live", "final")).join(open_, "ncaa_game_id")
 
 
 def bursts(stream: DataFrame, time: str, key: str, gap: str, late: str = LATE) -> DataFrame:
@@ -76,91 +78,63 @@ def bursts(stream: DataFrame, time: str, key: str, gap: str, late: str = LATE) -
     return stream.withWatermark(time, late).groupBy(key, F.session_window(time, gap)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def number_rallies(events: DataFrame) -> DataFrame:
-    """Rally = running count of serves within a set, by ``seq``."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*SET).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return by_set(events).withColumn("rally_number", F.sum(F.when(F.col("touch_type") == "serve", 1).otherwise(0)).over(order).cast("int"))
-
-
 # --- sinks -----------------------------------------------------------------------------------------
+#
+# Sinks write tables of whole versions. A batch is committed together with its number, so one that is sent
+# again after a failure changes nothing; it reads and writes the buckets it touches.
+
 
+def event_sink(table: VersionedTable, job: str = "events") -> Callable[[DataFrame, int], None]:
+    """Merge a batch of events by (contest, set, seq). The table is bucketed by contest."""
+    keys = [*SET, "seq"]
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception as err:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        return like.limit(0)
+    def write(batch: DataFrame, number: int) -> None:
+        table.merge(batch.dropDuplicates(keys), lambda old, new: replace_keys(old, new, keys), batch=(job, number))
 
+    return write
 
-def event_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Merge a batch of events by (contest, set, seq): a repeated batch changes nothing.
 
-    Only the seasons in the batch are read and rewritten.
-    """
+def newest_sink(table: VersionedTable, keys: list[str], order: Column, job: str = "newest") -> Callable[[DataFrame, int], None]:
+    """Keep the last row per key by ``order``; an older one never replaces a newer."""
 
-    def write(batch: DataFrame, _id: int) -> None:
-        keys = [*SET, "seq"]
-        new = batch.dropDuplicates(keys)
-        old = _stored(batch.sparkSession, path, batch)
-        touched = old.join(new.select("season").distinct(), "season", "left_semi").select(*batch.columns)
-        store(replace_keys(touched, new, keys), path, ["season"], covered=touched)
+    def write(batch: DataFrame, number: int) -> None:
+        table.merge(batch, lambda old, new: latest(old.unionByName(new), keys, order).select(*old.columns), batch=(job, number))
 
     return write
 
 
-def recompute_sink(source: str, path: str, rebuild: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Rebuild order-dependent results of the contests a batch touches, from all their events.
-
-    Events of a set may arrive in any order, so state is not carried along; the stored events of the
-    touched contests are read again and the results replaced.
-    """
+def replace_sink(table: VersionedTable, keys: list[str], job: str = "replace") -> Callable[[DataFrame, int], None]:
+    """Rows of a batch replace those of their key. For aggregates in update mode."""
 
-    def write(batch: DataFrame, _id: int) -> None:
-        spark = batch.sparkSession
-        event_sink(source)(batch, _id)
-        touched = batch.select("season", "contest_id").distinct()
-        events = _stored(spark, source, batch).join(touched, ["season", "contest_id"], "left_semi")
-        made = rebuild(events)
-        old = _stored(spark, path, made)
-        kept = old.join(touched.select("season").distinct(), "season", "left_semi").select(*made.columns)
-        kept = kept.join(touched, ["season", "contest_id"], "left_anti").select(*made.columns)
-        store(kept.unionByName(made), path, ["season"], covered=touched)
+    def write(batch: DataFrame, number: int) -> None:
+        table.merge(batch, lambda old, new: replace_keys(old, new, keys), batch=(job, number))
 
     return write
 
 
-def split_late_sink(path: str, late_path: str, time: str, days: int = 3) -> Callable[[DataFrame, int], None]:
-    """Rows older than the newest stored one by more than ``days`` go to a gap table for a batch job.
+def late_sink(kept: VersionedTable, gaps: VersionedTable, job: str = "late") -> Callable[[DataFrame, int], None]:
+    """Rows of :func:`matchlens.streaming.late.marked`: those in time are added to one table, late ones to the gap
+    table, which a batch job takes up. The gap table is committed last, and each table knows the batch."""
 
-    Both tables are partitioned by the number of the micro-batch, of one checkpoint, so that a batch
-    that is sent again after a failure replaces what it stored before.
-    """
-
-    def write(batch: DataFrame, _id: int) -> None:
-        stored = _stored(batch.sparkSession, path, batch.withColumn(BATCH, F.lit(_id).cast("long")))
-        # Rows of this batch stored by an earlier try do not count as newer ones.
-        before = stored.filter(F.col(BATCH) != _id) if BATCH in stored.columns else stored
-        newest = before.agg(F.max(time)).first()[0]
-        late = F.coalesce(F.col(time) < F.lit(newest) - F.make_dt_interval(F.lit(days)), F.lit(False)) if newest else F.lit(False)
-        marked = batch.withColumns({"_late": late, BATCH: F.lit(_id).cast("long")})
-        # A batch sent again replaces its own partition, so it is stored once.
-        for rows, to in ((marked.filter("not _late"), path), (marked.filter("_late"), late_path)):
-            rows.drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(to)
+    def write(batch: DataFrame, number: int) -> None:
+        for table, rows in ((kept, batch.filter("not late")), (gaps, batch.filter("late"))):
+            table.merge(rows.drop("late"), lambda old, new: old.unionByName(new), batch=(job, number))
 
     return write
 
 
-def refresh_sink(path: str, keys: list[str], day: str, today: str, last: str, partition_by: list[str]) -> Callable[[DataFrame, int], None]:
-    """Replace today and later, keep the past."""
+def fill_gaps(kept: VersionedTable, gaps: VersionedTable, keys: list[str]) -> None:
+    """The batch job: rows of the gap table that are not stored yet go to the table."""
+    waiting = gaps.read().dropDuplicates(keys)
+    kept.merge(waiting, lambda old, new: old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns)))
+
+
+def refresh_sink(table: VersionedTable, keys: list[str], day: str, today: str, last: str, job: str = "refresh") -> Callable[[DataFrame, int], None]:
+    """Replace today and later, keep the past. The table is bucketed by ``day``: buckets without a day from today on,
+    or of the feed, are left alone."""
 
-    def write(batch: DataFrame, _id: int) -> None:
-        new = batch.dropDuplicates(keys)
-        old = _stored(batch.sparkSession, path, batch)
-        store(refresh_forward(old, new, keys, day, today, last).select(*batch.columns), path, partition_by, covered=old)
+    def write(batch: DataFrame, number: int) -> None:
+        refresh_days(table, batch.dropDuplicates(keys), keys, day, today, last, batch=(job, number))
 
     return write
 

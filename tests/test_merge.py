@@ -4,7 +4,6 @@ from helpers import rows, tables
 from matchlens.operators import broadcasts, entities, loads, schedule
 from matchlens.operators.prefix import running_by_chunk
 from matchlens.sources import files, merge
-from matchlens.streaming import jobs
 
 TEAMS = (["id", "name", "short_name", "aliases"], [(1, "University of Ohio", "Ohio", None), (2, "Iowa", "Iowa", ["Hawks"]), (3, "San José State", "SJSU", None)])
 IDS = (["team_id", "season", "ncaa_team_id"], [(1, 2103, "101"), (2, 2103, "102")])
@@ -80,15 +79,6 @@ def test_append_refuses_other_columns(spark, tmp_path):
         files.append_checked(spark.range(3).withColumnRenamed("id", "other"), path)
 
 
-def test_store_replaces_only_its_partitions_and_may_read_its_target(spark, tmp_path):
-    path = str(tmp_path / "t")
-    merge.store(spark.createDataFrame([(1, 2025), (2, 2026)], "v int, season int"), path, ["season"])
-    for _ in range(2):
-        read = spark.read.schema("v int, season int").parquet(path)
-        merge.store(read.filter("season = 2026").withColumn("v", read.v + 0).unionByName(spark.createDataFrame([(9, 2026)], "v int, season int")).distinct(), path, ["season"])
-    assert rows(spark.read.parquet(path)) == [(1, 2025), (2, 2026), (9, 2026)]
-
-
 def test_unreadable_csv_lines_are_kept_aside(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ContestID,Seq\n00123,1\n77,x\n')
     got = rows(files.read_csv(spark, str(tmp_path / "a.csv"), "ContestID string, Seq int", "bad"), "ContestID", "Seq", "bad")
@@ -119,31 +109,6 @@ def test_running_counts_over_one_hot_key(spark):
     assert {(r.k, r.o): (r.seq, r.before) for r in got.collect()} == want
 
 
-def test_store_drops_emptied_partitions(spark, tmp_path):
-    path, ddl = str(tmp_path / "games"), "game string, season int"
-    merge.store(spark.createDataFrame([("A future", 2026), ("B", 2025), ("C", None)], ddl), path, ["season"])
-    read = lambda: sorted((r.game, r.season) for r in spark.read.schema(ddl).parquet(path).collect())
-    old = spark.read.schema(ddl).parquet(path)
-    # A refresh whose feed lists nothing any more: 2026 and the unknown season are emptied.
-    covered = old.filter("season = 2026 or season is null")
-    merge.store(covered.filter("game = 'X'"), path, ["season"], covered=covered)
-    assert read() == [("B", 2025)]
-
-
-def test_a_late_batch_sent_twice_is_stored_once(spark, tmp_path):
-    import datetime as dt
-
-    kept, late = str(tmp_path / "kept"), str(tmp_path / "late")
-    sink = jobs.split_late_sink(kept, late, "ts")
-    rows = lambda *days: spark.createDataFrame([(d, dt.datetime(2024, 1, d)) for d in days], "id int, ts timestamp")
-    sink(rows(20, 21), 0)
-    for _ in range(2):
-        sink(rows(2, 19, 25), 1)
-    sink(rows(21), 2)
-    ids = lambda p: sorted(r.id for r in spark.read.parquet(p).collect())
-    assert ids(kept) == [19, 20, 21, 25] and ids(late) == [2, 21]
-
-
 def test_backfill_refuses_a_poor_harvest(spark):
     t = tables(spark, teams=TEAMS, team_season_ids=IDS)
     harvest = spark.createDataFrame([("901", "Univ. of Iowa"), ("902", "Ohio"), ("903", "Utah")], "outside_id string, name string")
