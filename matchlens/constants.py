@@ -52,6 +52,7 @@ QUALIFIERS = {
 }
 TOOL_LIMIT = 100
 API_LIMIT = 500
+CONTEST_LIMIT = 5000
 
 # --- geography -----------------------------------------------------------------------------------
 # US states with postal codes, territory codes, and country spellings.
@@ -259,6 +260,7 @@ METRICS = (
     ("quality_wins", "quality wins", True, False, "resume", "int", True),
     ("sos", "strength of schedule", True, False, "resume", "pct3", True),
 )
+# Samples, percentiles and shares from which a report speaks of something.
 MIN_DISTRIBUTION_MATCHES = 2
 LOW_SAMPLE_MATCHES = 4
 STRONG_PCT, WEAK_PCT, LIST_CAP = 85.0, 15.0, 6

@@ -8,47 +8,53 @@ from pyspark.sql import functions as F
 from matchlens.constants import (
     AFFILIATED_NETWORKS, DROPPED_CHANNELS, NETWORK_HINTS, NETWORK_RULES, TITLE_PREFIXES, TITLE_SEPARATORS,
 )
+from matchlens.functions.text import bound
 
 CALL_SIGN = r"\b[KW][A-Z]{2,3}(?:-[A-Z0-9]+)?\b"
 STATE_THEN_CITY = r"^[A-Z]{2}\s*\|"
 HOST_ONLY = r"^[a-z0-9][a-z0-9.-]*\.[a-z]{2,}$"
 
 
-def _rules(rules: list[dict]) -> Column:
-    """One row per rule, in order."""
-    return F.explode(F.array(*[
-        F.struct(F.lit(i).alias("no"), *[F.lit(v).cast("string").alias(k) for k, v in r.items()]) for i, r in enumerate(rules)
-    ]))
+def _first(rules: list[tuple[Column, int]]) -> Column:
+    """The number of the first rule that fits."""
+    out = F.when(*[rules[0][0], F.lit(rules[0][1])])
+    for fits, no in rules[1:]:
+        out = out.when(fits, F.lit(no))
+    return out
 
 
-def _labels(channels: DataFrame, label: str, logo: str) -> DataFrame:
-    """Label and logo per distinct channel text: the first rule that fits, by two small aggregates."""
-    nets = [{"word": rf"\b{w}\d*\b", "numbered": rf"\b{w}\s?\d{{1,2}}\b", "net": n} for w, n in AFFILIATED_NETWORKS]
-    upper = F.upper("_raw")
-    # A station is local when it has a call sign, a place or a channel number beside its network.
-    station = F.col("_raw").rlike(CALL_SIGN) | F.col("_raw").rlike(STATE_THEN_CITY)
-    local = F.regexp_like(upper, F.col("n.word")) & (station | F.regexp_like(upper, F.col("n.numbered")))
-    parents = channels.withColumn("n", _rules(nets)).groupBy("_raw").agg(F.min(F.when(local, F.struct("n.no", "n.net"))).alias("p"))
-    rules = [{"pattern": f"(?i){p}", "label": name, "logo": key} for p, name, key in NETWORK_RULES]
-    source = F.coalesce("p.net", "_raw")
-    found = parents.withColumn("r", _rules(rules)).groupBy("_raw", "p").agg(
-        F.min(F.when(F.regexp_like(source, F.col("r.pattern")), F.struct("r.no", "r.label", "r.logo"))).alias("r"))
-    low = F.lower("_raw")
-    dropped = F.exists(F.array(*[F.lit(x) for x in DROPPED_CHANNELS]), lambda x: F.contains(low, x))
-    host = low.rlike(HOST_ONLY) & ~F.contains(low, F.lit("urldefense."))
-    return found.select(
-        "_raw", F.when(~dropped, F.coalesce("r.label", "p.net", F.when(host, "Web stream"))).alias(label), F.when(~dropped, F.col("r.logo")).alias(logo))
+def _at(values: list[str | None], no: Column) -> Column:
+    return F.try_element_at(F.array(*[F.lit(v).cast("string") for v in values]), no)
 
 
 def with_network(df: DataFrame, channel: str, label: str = "network", logo: str = "logo_key") -> DataFrame:
     """Add the label and logo of a channel text; both NULL when it is not to be listed.
 
     Order matters: dropped texts, then local stations as their parent, then the rules, then a bare
-    host name as a web stream. Channel texts repeat, so each distinct one is worked out once.
+    host name as a web stream. Rules are asked in order up to the first that fits, row by row.
     """
-    keyed = df.withColumn("_raw", F.nullif(F.trim(F.col(channel)), F.lit("")))
-    known = _labels(keyed.select("_raw").filter("_raw is not null").distinct(), label, logo)
-    return keyed.join(known, "_raw", "left").drop("_raw")
+    found = df.withColumn("_found", bound(F.nullif(F.trim(F.col(channel)), F.lit("")), _network))
+    return found.withColumns({label: F.col("_found.label"), logo: F.col("_found.logo")}).drop("_found")
+
+
+def _network(raw: Column) -> Column:
+    """Label and logo of one text. Each step is bound, so that no later one repeats it."""
+    upper, low = F.upper(raw), F.lower(raw)
+    # A station is local when it has a call sign, a place or a channel number beside its network.
+    station = raw.rlike(CALL_SIGN) | raw.rlike(STATE_THEN_CITY)
+    local = [(upper.rlike(rf"\b{w}\d*\b") & (station | upper.rlike(rf"\b{w}\s?\d{{1,2}}\b")), i) for i, (w, _) in enumerate(AFFILIATED_NETWORKS, 1)]
+    dropped = F.exists(F.array(*[F.lit(x) for x in DROPPED_CHANNELS]), lambda x: F.contains(low, x))
+    host = low.rlike(HOST_ONLY) & ~F.contains(low, F.lit("urldefense."))
+
+    def ruled(source: Column) -> Column:
+        return _first([(source.rlike(f"(?i){p}"), i) for i, (p, _, _) in enumerate(NETWORK_RULES, 1)])
+
+    def told(net: Column) -> Column:
+        return bound(ruled(F.coalesce(net, raw)), lambda no: F.struct(
+            F.coalesce(_at([n for _, n, _ in NETWORK_RULES], no), net, F.when(host, "Web stream")).alias("label"),
+            _at([k for _, _, k in NETWORK_RULES], no).alias("logo")))
+
+    return F.when(raw.isNotNull() & ~dropped, bound(_at([n for _, n in AFFILIATED_NETWORKS], _first(local)), told))
 
 
 def clean_title(col: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,26 +65,42 @@ def num_int(col: Column | str) -> Column:
     return num(col).cast("bigint")
 
 
+# Only texts with something beyond ASCII are looked at any closer.
+BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
+def bound(col: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(col)`` with ``col`` worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(col), f)[0]
+
+
 def fix_mojibake(col: Column | str) -> Column:
     """Undo UTF-8 that was read as Latin-1 or code page 1252; other text stays as it is.
 
     The characters, taken as bytes of either code page, must form valid UTF-8. Real accented text
     does not, and plain ASCII comes out unchanged.
     """
-    col = _c(col)
-    fits = col.rlike(rf"^(?:[\x00-\xFF]*|[\x00-\x7F\xA0-\xFF{CP1252_CHARS}]*)$")
-    raw = F.encode(F.when(fits, F.translate(col, CP1252_CHARS, CP1252_BYTES)), "ISO-8859-1")
-    return F.coalesce(F.try_validate_utf8(raw.cast("string")), col)
+
+    def undone(c: Column) -> Column:
+        fits = c.rlike(rf"^(?:[\x00-\xFF]*|[\x00-\x7F\xA0-\xFF{CP1252_CHARS}]*)$")
+        raw = F.encode(F.when(fits, F.translate(c, CP1252_CHARS, CP1252_BYTES)), "ISO-8859-1")
+        return F.when(c.rlike(BEYOND_ASCII), F.coalesce(F.try_validate_utf8(raw.cast("string")), c)).otherwise(c)
+
+    return bound(_c(col), undone)
 
 
 def strip_accents(col: Column | str) -> Column:
     """Accented and compatibility letters of any script as plain ones, inside the JVM."""
     single, plain, several = folding()
-    col = F.translate(_c(col), single, plain)
     # Ligatures, fractions and the like are rare: only texts that hold one are taken apart.
     table = F.str_to_map(F.lit("\uf8ff".join(f"{c}\uf8fe{p}" for c, p in several.items())), F.lit("\uf8ff"), F.lit("\uf8fe"))
-    spelled = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(col.rlike(_any_of(several)), spelled).otherwise(col)
+
+    def spelled(c: Column) -> Column:
+        letters = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+        # The long class is asked of what is left beyond ASCII, not of the whole text.
+        return F.when(F.regexp_replace(c, r"[\x00-\x7F]+", "").rlike(_any_of(several)), letters).otherwise(c)
+
+    return bound(_c(col), lambda c: F.when(c.rlike(BEYOND_ASCII), bound(F.translate(c, single, plain), spelled)).otherwise(c))
 
 
 def _any_of(chars) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.constants import GENERIC_NETWORK, SPECIFIC_NETWORKS
@@ -47,16 +47,32 @@ def attach_dated(listings: DataFrame, days: DataFrame) -> DataFrame:
     return near.join(days, GAME, "left_semi")
 
 
+def _days_of_pair(days: DataFrame, today: str) -> DataFrame:
+    """Per pair its only day, its only day around today, and all its days: no more than the window has."""
+    near = F.abs(F.datediff(F.try_to_date("game_date", "yyyy-MM-dd"), F.lit(today).cast("date"))) <= 1
+    return days.groupBy("season", "team_a_id", "team_b_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("game_date").alias("_only"),
+        F.count(F.when(near, 1)).alias("_near"), F.min(F.when(near, F.col("game_date"))).alias("_today"), F.collect_set("game_date").alias("_days"))
+
+
+def _undated_day() -> Column:
+    return F.when(F.col("_n") == 1, F.col("_only")).when(F.col("is_live") & (F.col("_near") == 1), F.col("_today"))
+
+
 def attach_undated(listings: DataFrame, days: DataFrame, today: str) -> DataFrame:
     """An undated listing belongs to its pair's only match in the window, or — when on air now — to
     the only one within a day of today."""
-    near = F.abs(F.datediff(F.try_to_date("game_date", "yyyy-MM-dd"), F.lit(today).cast("date"))) <= 1
-    one = days.groupBy("season", "team_a_id", "team_b_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("game_date").alias("_only"),
-        F.count(F.when(near, 1)).alias("_near"), F.min(F.when(near, F.col("game_date"))).alias("_today"))
-    rows = listings.join(one, ["season", "team_a_id", "team_b_id"])
-    day = F.when(F.col("_n") == 1, F.col("_only")).when(F.col("is_live") & (F.col("_near") == 1), F.col("_today"))
-    return rows.withColumn("game_date", day).filter("game_date is not null").drop("_n", "_only", "_near", "_today")
+    rows = listings.join(_days_of_pair(days, today), ["season", "team_a_id", "team_b_id"])
+    return rows.withColumn("game_date", _undated_day()).filter("game_date is not null").drop("_n", "_only", "_near", "_today", "_days")
+
+
+def attach(listings: DataFrame, days: DataFrame, today: str) -> DataFrame:
+    """Dated and undated listings with their matches, by one join on the pair."""
+    day = F.try_to_date("date", "yyyy-MM-dd")
+    around = F.transform(F.array(F.lit(0), F.lit(-1), F.lit(1)), lambda o: F.date_format(F.date_add(day, o), "yyyy-MM-dd"))
+    theirs = F.when(F.col("date").isNull(), F.array(_undated_day())).otherwise(F.array_intersect(around, "_days"))
+    rows = listings.join(_days_of_pair(days, today), ["season", "team_a_id", "team_b_id"])
+    return rows.withColumn("game_date", F.explode(theirs)).filter("game_date is not null").drop("_n", "_only", "_near", "_today", "_days")
 
 
 def one_per_network(attached: DataFrame) -> DataFrame:
@@ -84,10 +100,7 @@ def listed_broadcasts(feeds: DataFrame, t: Tables, today: str, days_back: int =
     ref = date.fromisoformat(today)
     first, last = (ref - timedelta(days=days_back)).isoformat(), (ref + timedelta(days=days_ahead)).isoformat()
     days = match_days(t, first, last)
-    listings = resolve_listings(feeds, t)
-    attached = attach_dated(listings.filter("date is not null"), days).unionByName(
-        attach_undated(listings.filter("date is null"), days, today), allowMissingColumns=True)
-    return drop_generic(one_per_network(attached))
+    return drop_generic(one_per_network(attach(resolve_listings(feeds, t), days, today)))
 
 
 def refresh_broadcasts(old: DataFrame, feeds: DataFrame, t: Tables, today: str, days_back: int = 3, days_ahead: int = 10) -> DataFrame:

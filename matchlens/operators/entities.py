@@ -120,11 +120,14 @@ def match_names(asked: DataFrame, roster: DataFrame, group: list[str]) -> DataFr
     for tier in NAME_TIERS:
         known = people.filter(F.coalesce(tier, F.lit("")) != "").groupBy(*group, tier).agg(*ends).filter("_a = _b")
         names = names.join(known.select(*group, tier, F.col("_a").alias(f"_{tier}")), [*group, tier], "left")
-    names = names.withColumn("player_id", F.coalesce(*[F.col(f"_{x}") for x in NAME_TIERS])).drop(*[f"_{x}" for x in NAME_TIERS])
-    left = names.filter(F.col("player_id").isNull()).select(*group, "name", F.explode(_word_pairs("full")).alias("pair"))
+    names = names.withColumn("player_id", F.coalesce(*[F.col(f"_{x}") for x in NAME_TIERS]))
+    # Names that are matched go along without a pair, so that the tiers are joined once.
+    left = names.select(*group, "name", "player_id", F.explode_outer(F.when(F.col("player_id").isNull(), _word_pairs("full"))).alias("pair"))
     pairs = people.select(*group, "player_id", F.explode(_word_pairs("full")).alias("pair")).groupBy(*group, "pair").agg(*ends)
-    only = left.join(pairs, [*group, "pair"]).groupBy(*group, "name").agg(F.min("_a").alias("_overlap"), F.max("_b").alias("_last")).filter("_overlap = _last")
-    return names.join(only.drop("_last"), [*group, "name"], "left").select(*group, "name", F.coalesce("player_id", "_overlap").alias("player_id"))
+    found = left.join(pairs, [*group, "pair"], "left").groupBy(*group, "name").agg(
+        F.max("player_id").alias("player_id"), F.min("_a").alias("_overlap"), F.max("_b").alias("_last"))
+    only = F.when(F.col("_overlap") == F.col("_last"), F.col("_overlap"))
+    return found.select(*group, "name", F.coalesce("player_id", only).alias("player_id"))
 
 
 def assign_starters(lines: DataFrame, t: Tables) -> DataFrame:

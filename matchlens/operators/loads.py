@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlens.constants import ROSTER_OVERRIDES
@@ -153,7 +153,7 @@ def coach_rows(staged: DataFrame, t: Tables, season: int) -> DataFrame:
 
 def load_coaches(staged: DataFrame, t: Tables, season: int) -> DataFrame:
     """Coaches after a load: those of the season give way to the file's, other seasons stay."""
-    new = coach_rows(staged, t, season).withColumn("id", key_id(7, "season", "team_id", "name").cast("int"))
+    new = coach_rows(staged, t, season).withColumn("id", key_id(13, "season", "team_id", "name"))
     return t.coaches.filter(~F.col("season").eqNullSafe(F.lit(season))).unionByName(new, allowMissingColumns=True)
 
 
@@ -201,11 +201,13 @@ def team_rows(entries: DataFrame, t: Tables) -> DataFrame:
 def load_teams(entries: DataFrame, t: Tables, season: int) -> Tables:
     """Teams by name and their outside ids of the season after merging a team file.
 
-    A team keeps its id and what the file does not say; a new one gets an id from its name. A team
-    keeps its conference of the season.
+    A team keeps its id and what the file does not say. New ones are numbered on from the largest id, in order of
+    name; they are no more than a team file lists. A team keeps its conference of the season.
     """
     teams = upsert(t.teams, team_rows(entries, t), ["name"], {"conference_id": KEEP_NEW})
-    teams = teams.withColumn("id", F.coalesce("id", key_id(7, "name").cast("int")))
+    every = Window.partitionBy(F.lit(0))
+    teams = teams.withColumns({"_largest": F.coalesce(F.max("id").over(every), F.lit(0)), "_no": F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("name"))})
+    teams = teams.withColumn("id", F.coalesce("id", (F.col("_largest") + F.col("_no")).cast("int"))).drop("_largest", "_no")
     named = entries.select(F.coalesce(clean_str("team"), clean_str("short_name")).alias("name"), clean_str(season_id(season)).alias("ncaa_team_id"))
     ids = named.filter("ncaa_team_id is not null").join(teams.select("name", F.col("id").alias("team_id")), "name").select(
         "team_id", F.lit(season).alias("season"), "ncaa_team_id").dropDuplicates(["team_id"])

@@ -41,6 +41,16 @@ def list_teams(t: Tables, query: str | None = None, conference: Column | None =
     return rows.select("id", F.col("name").alias("team"), "short_name", "conference", "aliases")
 
 
+def list_contests(t: Tables, season: int | None = None, limit: int = 200, offset: int = 0) -> DataFrame:
+    """A page of each season's contests, by contest id."""
+    rows = one_season(t.contests, season).select("season", "contest_id", "date", "home_team_id", "away_team_id", "home_sets_won", "away_sets_won")
+    names = t.teams.select("id", "name")
+    page = top_per(rows, ["season"], [F.col("contest_id")], limit, offset, rank="place")
+    for side in ("home", "away"):
+        page = page.join(names.select(F.col("id").alias(f"{side}_team_id"), F.col("name").alias(side)), f"{side}_team_id", "left")
+    return page
+
+
 def search(t: Tables, q: str, season: int | None = None, limit: int = 20) -> DataFrame:
     """Players and teams whose name contains ``q``, per season and kind."""
     who = one_season(t.players, season).filter(contains("name", q)).select(

@@ -34,10 +34,10 @@ _position = """case position when 'S' then 'Setter' when 'OH' then 'Outside Hitt
 query("n11_positions_of_players", """select id as player_id, case position when 'S' then 'S' when 'OH' then 'OH' when 'MB' then 'MB' when 'OH/RS' then 'OH,RS' else 'DS' end as codes from players""")(
     lambda t: _cells(t.players, _position, "id").select(F.col("id").alias("player_id"), F.array_join(text.position_codes("cell"), ",").alias("codes")))
 
-_amount = """case o_orderkey % 6 when 0 then concat(' ', n div 1000, ',', lpad(cast(n % 1000 as string), 3, '0')) when 1 then concat(n, '.0') when 2 then '-' when 3 then 'nan' when 4 then '' else cast(n as string) end"""
+_amount = """case o_orderkey % 6 when 0 then concat(' ', case when n >= 1000 then concat(n div 1000, ',', lpad(cast(n % 1000 as string), 3, '0')) else cast(n as string) end) when 1 then concat(n, '.0') when 2 then '-' when 3 then 'nan' when 4 then '' else cast(n as string) end"""
 query("n12_amounts_of_orders", """select o_orderkey, case when o_orderkey % 6 in (0, 1, 5) then cast(floor(o_totalprice) as double) end as num, case when o_orderkey % 6 in (0, 1, 5) then cast(floor(o_totalprice) as bigint) end as whole
-    from orders where o_totalprice >= 1000""")(
-    lambda t: _cells(t.orders.filter("o_totalprice >= 1000").withColumn("n", F.floor("o_totalprice").cast("bigint")), _amount, "o_orderkey").select(
+    from orders""")(
+    lambda t: _cells(t.orders.withColumn("n", F.floor("o_totalprice").cast("bigint")), _amount, "o_orderkey").select(
         "o_orderkey", text.num("cell").alias("num"), text.num_int("cell").alias("whole")))
 
 _title = """concat(case fno % 5 when 0 then 'ESPN+ 45: ' when 1 then "Women's College Volleyball: " when 2 then 'College Volleyball: ' else '' end, a,

@@ -305,7 +305,7 @@ def _team_file(t):
 
 query("c19_teams_load", """select t.id, t.name, case when t.id % 2 = 0 then concat('S', t.id) else t.short_name end as short_name, case when t.id % 2 = 0 then 'Town' end as city, t.conference_id,
       case when t.id % 2 = 0 then concat('new', t.id) else i.ncaa_team_id end as outside_id from teams t left join team_season_ids i on i.team_id = t.id and i.season = 1998
-    union all select cast(concat('0x', left(md5('Fresh College'), 7)) as bigint), 'Fresh College', 'Fresh', 'Town', null, 'f1'""")(lambda t: _loaded_teams(t))
+    union all select (select max(n_nationkey) + 1 from nation), 'Fresh College', 'Fresh', 'Town', null, 'f1'""")(lambda t: _loaded_teams(t))
 
 
 def _loaded_teams(t):

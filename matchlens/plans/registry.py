@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.constants import API_LIMIT, TOOL_LIMIT
+from matchlens.constants import API_LIMIT, CONTEST_LIMIT, TOOL_LIMIT
 from matchlens.functions.predicates import in_conference, plays_position, roster_filters, within_days
 from matchlens.operators import asof, leaderboards, lookups, people, records, schedule, scouting, timeline, totals
 from matchlens.operators.entities import find_team
@@ -93,11 +93,12 @@ TOOLS: dict[str, Callable[[Tables, dict], DataFrame]] = {
     "standings": lambda t, a: records.standings(t, a.get("season")),
     "scoreboard": lambda t, a: schedule.scoreboard(t, a.get("season"), within_days("date", a["start"], a["end"])),
     "search": lambda t, a: lookups.search(t, **a),
+    "contests": lambda t, a: lookups.list_contests(t, **_rest(a, "season", "limit", "offset")),
 }
 
 
 # Named queries that page through longer lists than a tool shows.
-PAGED = {"player_leaderboard", "fantasy_leaderboard"}
+PAGED = {"player_leaderboard": API_LIMIT, "fantasy_leaderboard": API_LIMIT, "contests": CONTEST_LIMIT}
 
 
 def call(name: str, t: Tables, **arguments) -> DataFrame:
@@ -109,5 +110,5 @@ def call(name: str, t: Tables, **arguments) -> DataFrame:
     if name not in TOOLS:
         raise KeyError(f"no query {name!r}; known: {sorted(TOOLS)}")
     if arguments.get("limit") is not None:
-        arguments["limit"] = clamp_limit(arguments["limit"], API_LIMIT if name in PAGED else TOOL_LIMIT)
+        arguments["limit"] = clamp_limit(arguments["limit"], PAGED.get(name, TOOL_LIMIT))
     return TOOLS[name](t, arguments)

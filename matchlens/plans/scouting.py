@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from matchlens.constants import METRICS, MIN_DISTRIBUTION_MATCHES
 from matchlens.operators import checks, lookups, rally, scouting, totals, weeks
-from matchlens.operators.ranking import top_per
 from matchlens.plans.catalog import query, shared
 from matchlens.tables import COUNTERS
 
@@ -129,8 +128,11 @@ query("c2_list_teams", "select t.id, t.name as team, t.short_name, c.name as con
     lambda t: lookups.list_teams(t, "_1").drop("aliases"))
 query("c23_team_roster", "select player_id, season, team_id, number, name from o_roster")(
     lambda t: lookups.team_rosters(t).select("player_id", "season", "team_id", "number", "name"))
-query("c23_contest_list", "select season, contest_id, date, place from (select *, row_number() over (partition by season order by date desc nulls last, contest_id) as place from contests) x where place <= 200")(
-    lambda t: top_per(t.contests.select("season", "contest_id", "date"), ["season"], [F.desc_nulls_last("date"), F.col("contest_id")], 200, rank="place"))
+query("c23_contest_list", """select season, contest_id, date, h.name as home, a.name as away, place from (select *, row_number() over (partition by season order by contest_id) as place from contests) x
+    left join teams h on h.id = x.home_team_id left join teams a on a.id = x.away_team_id where place <= 200""")(
+    lambda t: lookups.list_contests(t).select("season", "contest_id", "date", "home", "away", "place"))
+query("c23_contest_list_page", """select season, contest_id, place from (select *, row_number() over (partition by season order by contest_id) as place from contests) x where place > 40 and place <= 70""")(
+    lambda t: lookups.list_contests(t, limit=30, offset=40).select("season", "contest_id", "place"))
 query("c23_player_game_stats", f"select contest_id, player_id, season, team_id, {_box} from player_game_stats where player_id = 103")(
     lambda t: t.player_game_stats.filter("player_id = 103").select("contest_id", "player_id", "season", "team_id", *COUNTERS))
 query("f18_favorite_contests", """select distinct f.user_id, f.season, p.contest_id from favorites f join player_game_stats p on p.player_id = f.entity_id and p.season = f.season where f.entity_type = 'player'""")(lambda t: lookups.favorite_contests(t))

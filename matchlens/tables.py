@@ -25,7 +25,7 @@ SCHEMAS: dict[str, str] = {
         "team_id int not null, season int not null, ncaa_team_id string not null, conference_id int"
     ),
     "coaches": (
-        "id int not null, team_id int not null, season int, name string not null, title string,"
+        "id bigint not null, team_id int not null, season int, name string not null, title string,"
         " sort_order int, ncaa_coach_id string, seasons string, record string"
     ),
     "players": (
