@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def hash_codes(unit: np.ndarray, planes: int, tables: int) -> np.ndarray:
 
 def unit_rows(vectors) -> np.ndarray:
     """The vectors, of one width, in double precision and of length one."""
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = np.asarray(vectors, np.float64) if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else np.stack([np.asarray(v, np.float64) for v in vectors])
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -81,36 +82,107 @@ def codes(classes: DataFrame, planes: int, tables: int) -> DataFrame:
     return classes.select("class", "label", "width", "embedding").mapInPandas(read, CODE)
 
 
-def _compare(threshold: float, planes: int, tables: int):
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        unit = unit_rows(rows["embedding"])
-        table = int(rows["table"].iloc[0])
-        at_left, at_right = np.flatnonzero(rows["at_left"]), np.flatnonzero(rows["at_right"])
-        same = rows["i"].iloc[0] == rows["j"].iloc[0]
-        a_all, b_all = [], []
+#: Rows of a bucket up to which its pairs are listed together with those of other buckets.
+SMALL = 32
+FOUND = "class long, n long, root long"
+
+
+def _close_pairs(group: np.ndarray, left: np.ndarray, right: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``a``, ``b`` of one group, sorted together, on different sides or both on both, within ``threshold``."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[first, len(group)])
+    a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(size <= SMALL, size)
+    for step in range(1, SMALL):
+        a = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]))
+        if not len(a):
+            break
+        b = a + step
+        a, b = (x[left[a] & right[b] | left[b] & right[a]] for x in (a, b))
+        for k in range(0, len(a), 20_000):
+            close = np.einsum("ij,ij->i", unit[a[k : k + 20_000]], unit[b[k : k + 20_000]]) >= threshold
+            a_all.append(a[k : k + 20_000][close])
+            b_all.append(b[k : k + 20_000][close])
+    for begin, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        rows = np.arange(begin, begin + n)
+        at_left, at_right = rows[left[rows]], rows[right[rows]]
         for k in range(0, len(at_left), 1_000):
             part = at_left[k : k + 1_000]
-            a, b = np.nonzero(unit[part] @ unit[at_right].T >= threshold)
-            a, b = part[a], at_right[b]
-            if same:
-                a, b = a[a < b], b[a < b]
-            a_all.append(a)
-            b_all.append(b)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
-        linked = np.unique(np.concatenate([a, b]))
-        # A pair counts in the first table it shares; its link is the same in every one.
-        first = np.ones(len(a), bool)
-        if table and len(linked):
-            code = np.zeros((len(rows), table), np.int64)
-            code[linked] = hash_codes(unit[linked], planes, tables)[:, :table]
-            for k in range(table):
-                first &= code[a, k] != code[b, k]
-        copies, names = rows["copies"].to_numpy(), rows["class"].to_numpy()
-        n = np.bincount(a[first], copies[b[first]], len(rows)) + np.bincount(b[first], copies[a[first]], len(rows))
-        root = local_roots(len(rows), a, b)
-        return pd.DataFrame({"class": names[linked], "n": n[linked].astype(np.int64), "root": names[root[linked]]})
-
-    return compare
+            x, y = np.nonzero(unit[part] @ unit[at_right].T >= threshold)
+            x, y = part[x], at_right[y]
+            # Rows on both sides meet twice.
+            once = (x < y) | ~(left[y] & right[x])
+            once &= x != y
+            a_all.append(x[once])
+            b_all.append(y[once])
+    return np.concatenate(a_all), np.concatenate(b_all)
+
+
+def _found(rows: dict[str, np.ndarray], unit: np.ndarray, threshold: float, planes: int) -> tuple[np.ndarray, ...]:
+    """``class``, ``n`` and ``root`` of the linked rows of whole groups of one width."""
+    a, b = _close_pairs(rows["group"], rows["left"], rows["right"], unit, threshold)
+    linked = np.unique(np.concatenate([a, b]))
+    # A pair counts in the first table it shares; its link is the same in every one.
+    first, table = np.ones(len(a), bool), rows["table"][a]
+    most = int(table.max(initial=0))
+    if most:
+        code = hash_codes(unit[linked], planes, most)
+        x, y = np.searchsorted(linked, a), np.searchsorted(linked, b)
+        for k in range(most):
+            first &= (k >= table) | (code[x, k] != code[y, k])
+    n = np.bincount(a[first], rows["copies"][b[first]], len(unit)) + np.bincount(b[first], rows["copies"][a[first]], len(unit))
+    root = local_roots(len(unit), a, b)
+    return rows["class"][linked], n[linked].astype(np.int64), rows["class"][root[linked]]
+
+
+def compared(met: DataFrame, bucket: list[str], threshold: float, planes: int) -> DataFrame:
+    """Counts and links of the rows of each group of ``bucket``, ``i`` and ``j``.
+
+    Most groups are a few rows. They are not handed over one by one: a task's rows are sorted by group,
+    and all whole groups of an Arrow batch are compared together.
+    """
+    keys = [*bucket, "i", "j"]
+    dealt = met.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "class", "copies", "at_left", "at_right", "embedding")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            wide = table["width"].to_numpy()
+            for width in np.unique(wide):
+                part = table.filter(pa.array(wide == width))
+                unit = unit_rows(part["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+                rows = {n: part[n].to_numpy() for n in ("group", "table", "class", "copies")} | {n: part[f"at_{n}"].to_numpy() for n in ("left", "right")}
+                for begin, end in _chunks(rows["group"]):
+                    found = _found({n: v[begin:end] for n, v in rows.items()}, unit[begin:end], threshold, planes)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["class", "n", "root"])
+
+        held, last, number = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in keys], 1)
+            new = np.r_[last is None or (key[0] != last).any(), (key[1:] != key[:-1]).any(axis=1)]
+            group = number + np.cumsum(new)
+            number, last = int(group[-1]), key[-1]
+            own = pa.Table.from_batches([b]).append_column("group", pa.array(group))
+            held = own if held is None else pa.concat_tables([held, own])
+            # The last group may go on in the next batch.
+            whole = int(np.searchsorted(held["group"].to_numpy(), number))
+            if whole:
+                yield from linked(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from linked(held)
+
+    return dealt.mapInArrow(compare, FOUND)
+
+
+def _chunks(group: np.ndarray, rows: int = 4_000) -> Iterator[tuple[int, int]]:
+    """Bounds of whole groups that hold about ``rows`` together."""
+    begin = 0
+    while begin < len(group):
+        end = int(np.searchsorted(group, group[min(begin + rows, len(group)) - 1], "right"))
+        yield begin, end
+        begin = end
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -145,7 +217,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         (F.col("own") <= F.col("other")).alias("at_left"), (F.col("own") >= F.col("other")).alias("at_right"),
     )
     with_vectors = tiles.join(classes.select("class", "embedding", "copies"), "class")
-    found = stored(with_vectors.groupBy(*bucket, "i", "j").applyInPandas(_compare(threshold, planes, tables), "class long, n long, root long"), "found")
+    found = stored(compared(with_vectors, bucket, threshold, planes), "found")
 
     links = found.groupBy("class").agg(F.sum("n").alias("n"))
     reached = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
