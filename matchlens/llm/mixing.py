@@ -181,6 +181,10 @@ def thresholds(sized: DataFrame, plan: Plan) -> DataFrame:
     return need.join(first_out, "pattern", "left").join(ends, "pattern", "left").select("pattern", "full", F.when(F.col("rest") == 0, F.lit(0)).otherwise(F.coalesce("below", "end", F.lit(ALL))).cast("long").alias("below"))
 
 
+#: Patterns up to which the plan is sent to every task: a few megabytes. With more the documents are joined.
+PATTERNS_SENT = 50_000
+
+
 def mix(docs: DataFrame, membership: Column | None = None, seed: int = 17, weights=WEIGHTS, share: float = SHARE, uses: int = MAX_USES) -> tuple[DataFrame, list[str]]:
     """The documents with four more columns, whose names come second: ``size`` (words), the sizes and
     targets of its sources as arrays in pattern order, and ``uses`` (times the mix takes it).
@@ -200,6 +204,8 @@ def mix(docs: DataFrame, membership: Column | None = None, seed: int = 17, weigh
     limits = thresholds(sized, plan).collect()
     rows = [(r["pattern"], [plan.sizes[s] for s in json.loads(r["pattern"])], [plan.targets[s] for s in json.loads(r["pattern"])], r["full"], r["below"]) for r in limits]
     by_pattern = spark.createDataFrame(rows, f"`{pattern}` string, `{own[1]}` array<long>, `{own[2]}` array<double>, `{full}` long, `{below}` long")
+    # The plan came from the driver, so its size is known: up to the bound it is sent to every task, and no text moves.
+    by_pattern = F.broadcast(by_pattern) if len(rows) <= PATTERNS_SENT else by_pattern
     joined = docs.withColumns({pattern: pattern_of(membership), u: seeded(seed), own[0]: size}).join(by_pattern, pattern)
     taken = F.col(full) + (F.col(u) < F.col(below)).cast("long")
     return joined.withColumn(own[3], taken).drop(pattern, u, full, below), own

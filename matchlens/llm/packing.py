@@ -22,7 +22,7 @@ from matchlens.llm.pretokens import piece_memo, vocabulary_path
 CAPACITY = 2048
 #: Pieces of one length that are ranked together; a length with more is split by hash.
 RANKED_TOGETHER = 100_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Slots(NamedTuple):
@@ -74,12 +74,14 @@ def plan_slots(counts: dict[int, int], capacity: int) -> list[Slots]:
     return plan
 
 
-def encoded_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def encoded_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Token pieces of every document: ids by the vocabulary's library, then ``end_id``.
 
     A document over ``capacity`` is cut into full pieces, but for its first, which takes the rest.
-    ``ids`` holds little-endian unsigned 16-bit numbers.
+    ``ids``, which may be left out, holds little-endian unsigned 16-bit numbers.
     """
+    schema = PIECES + (", ids binary" if with_ids else "")
+    names = [p.split()[0] for p in schema.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = piece_memo(vocabulary)
@@ -94,12 +96,12 @@ def encoded_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, e
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     part = ids[2 * a : 2 * b]
                     crc = zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes())
-                    rows.append((doc, piece, a, b - a, crc, part))
+                    rows.append((doc, piece, a, b - a, crc, part) if with_ids else (doc, piece, a, b - a, crc))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = zip(*rows) if rows else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[p.split()[0] for p in PIECES.split(", ")])
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return corpus(docs).mapInArrow(encode, PIECES)
+    return corpus(docs).mapInArrow(encode, schema)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -138,12 +140,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row per piece: its document, place in the document, ids, checksum, sequence and offset.
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """One row per piece: its document, place in the document, ids if wanted, checksum, sequence and offset.
 
     A null or empty text is the end id alone. Repeated rows are packed each; rows alike in all of
     ``doc_id``, piece and ids may swap places. An empty table gives no rows. Very long texts become
     many pieces. The pieces are stored once in the shared folder.
     """
-    pieces = stored(encoded_pieces(docs, vocabulary or vocabulary_path(), capacity, end_id), "pieces")
+    pieces = stored(encoded_pieces(docs, vocabulary or vocabulary_path(), capacity, end_id, with_ids), "pieces")
     return place(pieces, capacity)

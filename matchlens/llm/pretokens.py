@@ -21,6 +21,8 @@ WHITE_SPACE = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 # Letters that are split off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 PLAIN = re.compile(r" ?\S+").fullmatch
+#: Characters split before their new pre-tokens are learned.
+AT_ONCE = 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -105,23 +107,31 @@ class PieceMemo:
         return [np.asarray(e.ids, self.dtype) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed."""
-        out = []
-        for text in texts:
-            pieces = None if self.special(text) else split(text)
-            if pieces is None:
-                out.append(self.encode([text])[0].tobytes())
-                continue
-            known = self.memo
-            try:
-                out.append(b"".join([known[p] for p in pieces]))
-            except KeyError:
-                if len(known) > self.limit:
-                    known.clear()
-                self.learn(set(pieces).difference(known))
-                out.append(b"".join([known[p] for p in pieces]))
+        """Ids of each text, packed. Texts are split some at a time, and what they bring is learned at once."""
+        out: list[bytes] = []
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < AT_ONCE:
+                size += len(texts[end])
+                end += 1
+            out += self._ids(texts[begin:end])
+            begin = end
         return out
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        split_texts = [None if self.special(text) else split(text) for text in texts]
+        every: set[str] = set()
+        for pieces in split_texts:
+            every.update(pieces or ())
+        known = self.memo
+        missing = every.difference(known)
+        if len(known) + len(missing) > self.limit:
+            known.clear()
+            missing = every
+        self.learn(missing)
+        return [self.encode([text])[0].tobytes() if pieces is None else b"".join([known[p] for p in pieces]) for text, pieces in zip(texts, split_texts)]
+
     def learn(self, pieces: set[str], at_once: int = 256) -> None:
         """Put pre-tokens into the memo.
 

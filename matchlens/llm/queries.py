@@ -32,7 +32,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = packing.pack(table(spark, sf_dir, "documents"))
+    placed = packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

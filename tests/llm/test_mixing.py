@@ -122,3 +122,9 @@ def test_odd_rows(spark):
     assert twice.columns == docs.columns
     assert twice.count() == sum(r[own[3]] for r in found.collect())
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_no_text_is_shuffled(spark, sf):
+    mixed = mixing.mixed_documents(spark.read.parquet(f"{sf}/documents.parquet"))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan

@@ -93,6 +93,7 @@ def test_packing_whole_table(spark, sf):
 def test_packing_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 2)
     check_packing(ODD_ROWS, packing.pack(documents(spark, ODD_ROWS)).collect())
+    assert "ids" not in packing.pack(documents(spark, ODD_ROWS), with_ids=False).columns
     assert packing.pack(documents(spark, [])).count() == 0
 
 
