@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlens.llm.common import corpus, fresh_path, stored, unused
+from matchlens.llm.common import corpus, fresh_path, give_back, stored, unused
 from matchlens.llm.simhash import row_key
 
 LENGTH = 50
@@ -365,6 +365,7 @@ def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
     def find(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         anchors, times = passages_of(Block(rows).data)
         number = int(rows["block"].iloc[0])
         rest = (anchors << np.uint64(bits)) >> np.uint64(16)
@@ -378,6 +379,7 @@ def code_rows(anchors: DataFrame) -> DataFrame:
     """Per anchor a block sent, in order: 0 it stands only there, 1 it is shared, 2 it is hot."""
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         found = [_from_planes(a) for a in rows["anchors"]]
         passages, occurrences = np.concatenate([_from_planes(t).reshape(2, -1) for t in rows["times"]], axis=1).astype(np.int64)
         _, which = np.unique(np.concatenate(found), return_inverse=True)
@@ -399,6 +401,7 @@ def passage_rows(blocks: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
         columns = [c.split()[0] for c in PASSAGE_ROWS.split(", ")]
         if rows.empty or codes.empty:
             return pd.DataFrame({c: [] for c in columns})
+        give_back()
         block = Block(rows)
         at, hashes, begin, end = anchors_in(block.data)
         distinct, which = np.unique(hashes, return_inverse=True)
@@ -443,6 +446,7 @@ def mask_rows(passages: DataFrame) -> DataFrame:
     """Per passage a block sent, in order, which of its strings a smaller document has."""
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         frames = np.frombuffer(b"".join(map(unsqueezed, rows["passages"])), np.uint8).reshape(-1, FRAME)
         documents = np.frombuffer(b"".join(map(unsqueezed, rows["firsts"])), "<i8")
         _, first, which = np.unique(_as_records(frames), return_index=True, return_inverse=True)
@@ -490,6 +494,7 @@ def cut_rows(blocks: DataFrame, marks: DataFrame, with_text: bool) -> DataFrame:
     def cut(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame({c.split()[0].split(":")[0]: [] for c in ("doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("spans", "kept") if with_text else ()))})
+        give_back()
         block = Block(rows)
         covered = _covered(block, marks)
         out = []
