@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 import uuid
 
@@ -40,17 +39,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def give_back() -> None:
-    """Hand memory that was freed back to the system.
-
-    A Python worker outlives its task, and what its allocator keeps counts against the executor while
-    other tasks run. Where the C library has no such call nothing happens.
-    """
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared folder."""
     return f"{shared_dir(spark)}/{re.sub(r'\W', '-', what)}-{uuid.uuid4().hex}"
