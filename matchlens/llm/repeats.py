@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,9 @@ BLOCK_BYTES = 4 << 20
 #: Bytes looked at together when anchors are chosen.
 SLICE = 1 << 20
 #: Passages that are cut out and hashed together.
-FRAMES_AT_ONCE = 100_000
+FRAMES_AT_ONCE = 20_000
 #: Anchors, and bytes of passages, that should meet in one task.
-ANCHORS_TOGETHER = 1_000_000
+ANCHORS_TOGETHER = 250_000
 PASSAGES_TOGETHER = 1 << 20
 #: Passages of one anchor, distinct in their blocks, beyond which its strings go their own ways.
 HOT = 30_000
@@ -113,7 +114,7 @@ def anchors_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         greatest = _extreme(np.r_[edge, least, edge], STRINGS, np.maximum)
         chosen = np.flatnonzero((greatest == gram) & (gram > 0))
         chosen = chosen[(chosen >= begin - low) & (chosen < end - low)]
-        own = np.r_[edge, least, edge][chosen[:, None] + np.arange(STRINGS)] == gram[chosen][:, None]
+        own = sliding_window_view(np.r_[edge, least, edge], STRINGS)[chosen] == gram[chosen][:, None]
         first, last = own.argmax(axis=1), REACH - own[:, ::-1].argmax(axis=1)
         found.append((chosen + low, gram[chosen], first.astype(np.uint8), last.astype(np.uint8)))
     if not found:
@@ -124,10 +125,15 @@ def anchors_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def passages_at(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The frame of ``FRAME`` bytes about each anchor, ``NONE`` outside strings ``first`` to ``last``."""
     pad = np.full(FRAME, NONE, np.uint8)
-    place = np.arange(FRAME)
-    frame = np.r_[pad, data, pad][(at + FRAME - REACH)[:, None] + place]
-    frame[(place < first[:, None]) | (place >= last[:, None].astype(np.int64) + LENGTH)] = NONE
-    return frame
+    place = np.arange(FRAME, dtype=np.uint8)
+    around = sliding_window_view(np.r_[pad, data, pad], FRAME)
+    frames = np.empty((len(at), FRAME), np.uint8)
+    for i in range(0, len(at), FRAMES_AT_ONCE):
+        part = slice(i, i + FRAMES_AT_ONCE)
+        frame = around[at[part] + FRAME - REACH]
+        frame[(place < first[part, None]) | (place >= last[part, None] + np.uint8(LENGTH))] = NONE
+        frames[part] = frame
+    return frames
 
 
 def _as_records(frames: np.ndarray) -> np.ndarray:
@@ -135,11 +141,13 @@ def _as_records(frames: np.ndarray) -> np.ndarray:
 
 
 def _frame_hash(frames: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(frames), -(-FRAME // 8) * 8), np.uint8)
-    wide[:, :FRAME] = frames
     out = np.zeros(len(frames), np.uint64)
-    for column in wide.view(np.uint64).T:
-        out = mixed(out ^ column)
+    for i in range(0, len(frames), FRAMES_AT_ONCE):
+        part = frames[i : i + FRAMES_AT_ONCE]
+        wide = np.zeros((len(part), -(-FRAME // 8) * 8), np.uint8)
+        wide[:, :FRAME] = part
+        for column in wide.view(np.uint64).T:
+            out[i : i + len(part)] = mixed(out[i : i + len(part)] ^ column)
     return out
 
 
@@ -171,7 +179,7 @@ def suffix_order(text: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple
     eight symbols on.
     """
     n = len(text)
-    left = end - np.arange(n)
+    left = (end - np.arange(n)).astype(np.uint8)
     padded = np.r_[text, np.zeros(8, np.uint8)]
     key = np.zeros(n, np.uint64)
     for k in range(8):
@@ -180,17 +188,22 @@ def suffix_order(text: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple
     span, at_32 = 8, None
     while True:
         order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]]) if n else 0
+        key = key[order]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32) if n else 0
         if span == 32:
             at_32 = rank
         if span > 32 and (not n or rank[order[-1]] == n - 1):
             return order, at_32
         # What ends within the span is told apart by its passage, the rest by the next span.
-        follows = np.minimum(np.arange(n) + span, max(n - 1, 0))
-        second = np.where(left < span, number, passages + rank[follows])
-        key = (rank.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+        del key, order
+        second = np.full(n, n, np.int32)
+        second[: max(0, n - span)] = rank[span:]
+        second += passages
+        second = np.where(left < span, number, second)
+        key = rank.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= second.astype(np.uint64)
         span *= 2
 
 
@@ -250,7 +263,7 @@ def match_masks(frames: np.ndarray, documents: np.ndarray) -> np.ndarray:
     count = len(frames)
     ends = np.cumsum(lengths + 1) - 1
     text = np.zeros(int(ends[-1]) + 1 if count else 0, np.uint8)
-    number = np.repeat(np.arange(count), lengths + 1)
+    number = np.repeat(np.arange(count, dtype=np.int32), lengths + 1)
     filled = np.ones(len(text), bool)
     filled[ends] = False
     # Symbols are bytes plus one: no byte of UTF-8 is 0xFF, and 0 marks the ends.
@@ -368,7 +381,7 @@ def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
         anchors, times = passages_of(Block(rows).data)
         number = int(rows["block"].iloc[0])
         rest = (anchors << np.uint64(bits)) >> np.uint64(16)
-        out = [(k, number, _planes(rest[s]), _planes(times[:, s].ravel())) for k, s in _cuts(_bucket(anchors, bits))]
+        out = [(k, number, _planes(rest[s]), squeezed(times[:, s].astype("<u4"))) for k, s in _cuts(_bucket(anchors, bits))]
         return pd.DataFrame(out, columns=["bucket", "block", "anchors", "times"])
 
     return blocks.groupBy("block").applyInPandas(find, ANCHOR_ROWS)
@@ -379,7 +392,7 @@ def code_rows(anchors: DataFrame) -> DataFrame:
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         found = [_from_planes(a) for a in rows["anchors"]]
-        passages, occurrences = np.concatenate([_from_planes(t).reshape(2, -1) for t in rows["times"]], axis=1).astype(np.int64)
+        passages, occurrences = np.concatenate([np.frombuffer(unsqueezed(t), "<u4").reshape(2, -1) for t in rows["times"]], axis=1)
         _, which = np.unique(np.concatenate(found), return_inverse=True)
         total, passages = np.bincount(which, occurrences), np.bincount(which, passages)
         code = ((total >= 2).astype(np.uint8) + (passages > HOT).astype(np.uint8))[which]
