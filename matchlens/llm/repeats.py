@@ -187,7 +187,7 @@ def suffix_order(text: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple
     passages = int(number[-1]) + 1 if n else 0
     span, at_32 = 8, None
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32) if n else 0
@@ -244,6 +244,9 @@ def stream(index: RunIndex, count: int, lengths: np.ndarray) -> Iterator[tuple[i
         walking, row = walking[walking_on], row[walking_on]
         run = np.searchsorted(index.begin, row, "right") - 1
         row = index.target[run] + row - index.begin[run]
+        # In the order of rows, neighbours look into the same part of the runs.
+        order = np.argsort(row)
+        walking, row = walking[order], row[order]
         if step >= LENGTH:
             yield step, walking, index.least[np.searchsorted(index.classes, row, "right") - 1]
 
