@@ -84,14 +84,19 @@ query("a29_setter_system", """select s.season, s.team_id, case when two then '6-
       from o_setters a join o_assists t on t.season = a.season and t.team_id = a.team_id and t.total > 0 left join o_setters b on b.season = a.season and b.team_id = a.team_id and b.pos = 2 where a.pos = 1) s""")(
     lambda t: scouting.setter_system(t).withColumns({"setters": F.array_join("setters", ","), "setter_hit_pct": F.round("setter_hit_pct", 6)}))
 query("c10_scouting_report", """select m.season, m.team_id, t.name as team, m.games as matches, m.n_sets as sets, m.games < 4 as low_sample, r.wins, r.losses, r.win_streak, coalesce(p.n, 0) as n_pct, coalesce(i.s, 0) as strengths, coalesce(i.w, 0) as weaknesses,
-    coalesce(l.h, 0) as hitters, g.gap from o_metrics m left join teams t on t.id = m.team_id left join o_records r on r.season = m.season and r.team_id = m.team_id
+    coalesce(l.h, 0) as hitters, coalesce(i.sk, '') as strength_keys, coalesce(i.wk, '') as weakness_keys, coalesce(l.hn, '') as hitter_names, coalesce(l.bn, '') as blocker_names, coalesce(l.mn, '') as middle_names, g.gap from o_metrics m left join teams t on t.id = m.team_id left join o_records r on r.season = m.season and r.team_id = m.team_id
     left join (select season, team_id, count(*) as n from o_standing group by all) p on p.season = m.season and p.team_id = m.team_id
-    left join (select season, team_id, least(6, count(*) filter (pct >= 85)) as s, least(6, count(*) filter (pct <= 15)) as w from o_standing where auto group by all) i on i.season = m.season and i.team_id = m.team_id
-    left join (select season, team_id, count(*) filter (kind = 'hitter') as h from o_leaders group by all) l on l.season = m.season and l.team_id = m.team_id
+    left join (select season, team_id, least(6, count(*) filter (pct >= 85)) as s, least(6, count(*) filter (pct <= 15)) as w, array_to_string(list(key order by -pct, no) filter (pct >= 85)[1:6], ',') as sk,
+      array_to_string(list(key order by pct, no) filter (pct <= 15)[1:6], ',') as wk from o_standing where auto group by season, team_id) i on i.season = m.season and i.team_id = m.team_id
+    left join (select l.season, l.team_id, count(*) filter (kind = 'hitter') as h, string_agg(name, ',' order by pos) filter (kind = 'hitter') as hn, string_agg(name, ',' order by pos) filter (kind = 'blocker') as bn,
+      string_agg(name, ',' order by pos) filter (kind = 'middle') as mn from o_leaders l join o_lines x on x.season = l.season and x.player_id = l.player_id group by l.season, l.team_id) l on l.season = m.season and l.team_id = m.team_id
     left join o_gap g on g.season = m.season and g.team_id = m.team_id where m.games > 0""")(
     lambda t: scouting.scouting_reports(t, prose=False).select(
         "season", "team_id", "team", "matches", "sets", "low_sample", "record.wins", "record.losses", "record.win_streak", F.when(F.col("pct").isNull(), 0).otherwise(F.size("pct")).alias("n_pct"),
-        *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).alias(c) for c in ("strengths", "weaknesses", "hitters")], F.col("phase.in_out_gap").alias("gap")))
+        *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).alias(c) for c in ("strengths", "weaknesses", "hitters")],
+        *[F.coalesce(F.array_join(F.col(c)[f], ","), F.lit("")).alias(n) for c, f, n in (
+            ("strengths", "key", "strength_keys"), ("weaknesses", "key", "weakness_keys"), ("hitters", "name", "hitter_names"), ("blockers", "name", "blocker_names"), ("middles", "name", "middle_names"))],
+        F.col("phase.in_out_gap").alias("gap")))
 query("c12_scouting_prose")(lambda t: scouting.scouting_reports(t).select(
     "season", "team_id", "team", F.array_join("profile", "\n").alias("profile"), F.array_join("keys", "\n").alias("keys")))
 
