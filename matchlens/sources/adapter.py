@@ -147,6 +147,18 @@ def _per_season(name: str, base: str, months: bool = False) -> object:
     return make
 
 
+def _players(t: Tables) -> DataFrame:
+    """Every part in every season.
+
+    Spark takes an exploded table to be no larger than the table itself, and so sent millions of
+    players to the driver for a broadcast. A product with the few seasons is not underestimated;
+    joins with players are then settled by the bytes that adaptive execution meets.
+    """
+    years = "(select distinct year(o_orderdate) as season from {orders} where o_orderdate is not null)"
+    rows = f"(select /*+ broadcast(y) */ * from {{part}} cross join {years} y)"
+    return t.spark.sql(PER_SEASON["players"].replace("{season_rows}", rows), part=t["part"], orders=t["orders"])
+
+
 def _teams(t: Tables) -> DataFrame:
     return t.spark.sql(
         """select cast(n_nationkey as int) as id, n_name as name,
@@ -266,7 +278,7 @@ def adapted_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "teams": _teams,
         "contests": _contests,
         "team_season_ids": _per_season("team_season_ids", "nation"),
-        "players": _per_season("players", "part"),
+        "players": _players,
         "ranking_snapshots": _per_season("ranking_snapshots", "nation", months=True),
         "pbp_events": _pbp_events,
         "player_season_stats_scraped": _scraped,
