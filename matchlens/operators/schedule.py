@@ -198,7 +198,11 @@ def overlay_live(board: DataFrame, live: DataFrame, t: Tables, points: DataFrame
     if points is not None:
         last = F.max_by(F.struct("home_points", "visit_points"), F.col("at") if "at" in points.columns else F.lit(1))
         lines = points.filter("ncaa_game_id is not null").groupBy(F.col("ncaa_game_id").alias("_gid")).agg(last.alias("_p"))
-        board = board.withColumn("_gid", F.col("_g.ncaa_game_id")).join(lines, "_gid", "left")
+        # Few rows have a game of the feed. The others match nothing; as NULLs they would all go to one task.
+        key = F.concat(F.lit("="), "_gid")
+        other = F.concat(F.lit("-"), F.xxhash64("date", "home_team_id", "away_team_id").cast("string"))
+        board = board.withColumn("_gid", F.col("_g.ncaa_game_id")).withColumn("_key", F.coalesce(key, other)).drop("_gid")
+        board = board.join(lines.select(key.alias("_key"), "_p"), "_key", "left")
         home, visit = F.col("_p.home_points"), F.col("_p.visit_points")
         told = F.struct(F.when(turned, home).otherwise(visit).alias("away"), F.when(turned, visit).otherwise(home).alias("home"))
         before = F.col("set_scores") if "set_scores" in board.columns else F.lit(None)
@@ -208,4 +212,4 @@ def overlay_live(board: DataFrame, live: DataFrame, t: Tables, points: DataFrame
         "home_sets_won": put("away_sets_won", "home_sets_won", "home_sets_won"), "away_sets_won": put("home_sets_won", "away_sets_won", "away_sets_won"),
         "status": F.when(F.col("_g").isNull(), F.col("status")).when(live_now, "live").otherwise("final_pending"),
         "live_period": F.when(F.coalesce(live_now, F.lit(False)), F.col("_g.current_period")),
-    }).drop("_day", "_slugs", "_home_slug", "_away_slug", "_g", "_gid", "_p")
+    }).drop("_day", "_slugs", "_home_slug", "_away_slug", "_g", "_key", "_p")

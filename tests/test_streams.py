@@ -1,6 +1,7 @@
 """Streams fed in several batches from one checkpoint."""
 
 import random
+from collections import Counter
 
 import pytest
 from helpers import rows, tables
@@ -156,6 +157,24 @@ def test_set_scores_are_turned_with_the_sets(spark):
     assert shown("c4") == ("live", 0, 1, None)
 
 
+def test_rows_without_a_game_are_spread(spark):
+    t, df = board(spark)
+    many = df.unionByName(df.filter("contest_id = 'c3'").drop("away_team_id").join(spark.range(300).select(F.col("id").cast("int").alias("away_team_id"))))
+    points = spark.createDataFrame([("g1", [25], [20], 1)], POINTS)
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        shown = schedule.overlay_live(many, live(spark, ("g1", "2026-09-08", "live", ["iowa", "ohio"], 2, 1, "4TH SET")), t, points)
+        got = shown.select("set_scores", F.spark_partition_id().alias("task")).collect()
+        assert len(got) == 304 and max(Counter(r.task for r in got).values()) < 150
+        assert [r.set_scores.home for r in got if r.set_scores] == [[25]]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_live_scores_join_two_streams(spark, tmp_path):
     at = lambda df: df.withColumn("at", F.timestamp_seconds("at"))
     updates = lambda *given: at(spark.createDataFrame(list(given), "ncaa_game_id string, home_sets_won int, at long"))
