@@ -24,3 +24,31 @@ def test_every_part_plays_once_in_every_season(spark, tmp_path):
     people = _stored(spark, tmp_path, 30).players
     assert people.count() == 90
     assert {(r["id"], r["season"]) for r in people.collect()} == {(p * 100 + s - 1995, s) for p in range(30) for s in (1995, 1996, 1998)}
+
+
+def _lines(spark, path, matches=40, parts=25):
+    _stored(spark, path, 3)
+    spark.range(matches).selectExpr(
+        "id as o_orderkey", "cast('1996-02-01' as timestamp) as o_orderdate", "id % 7 as o_custkey", "'F' as o_orderstatus", "1.0D as o_totalprice",
+    ).coalesce(1).write.mode("overwrite").parquet(f"{path}/orders.parquet")
+    spark.range(7).selectExpr("id as c_custkey", "cast(id as int) as c_nationkey").coalesce(1).write.parquet(f"{path}/customer.parquet")
+    spark.range(matches * parts).selectExpr(
+        f"case when id % 50 <> 49 then id div {parts} end as l_orderkey", f"id % {parts} as l_partkey", "id % 3 as l_suppkey", "cast(id % 4 + 1 as int) as l_linenumber",
+        "2.0D as l_quantity", "0.05D as l_discount", "0.02D as l_tax", "'A' as l_returnflag", "'F' as l_linestatus",
+    ).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return adapted_tables(spark, str(path))
+
+
+def test_box_lines_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    whole = _lines(spark, tmp_path).player_game_stats
+    monkeypatch.setattr("matchlens.sources.adapter.LINES_PER_TASK", 50)
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(broadcast)
+    try:
+        spark.conf.set(broadcast, "-1")
+        dealt = adapted_tables(spark, str(tmp_path)).player_game_stats
+        assert dealt.rdd.getNumPartitions() == 1000 // 50
+    finally:
+        spark.conf.set(broadcast, limit)
+    assert dealt.schema == whole.schema and dealt.count() == whole.count() == 980
+    assert dealt.exceptAll(whole).isEmpty()
