@@ -22,12 +22,15 @@ SUMMED = ["sets", *COUNTERS]
 SOURCE = "box lines"
 
 
-def partial_sums(lines: DataFrame) -> DataFrame:
+def partial_sums(lines: DataFrame, sign: str = "1") -> DataFrame:
     """Sums per (player, season, team). A match counts once per player, for the larger team should there be two;
-    all lines of a match lie in one bucket, so sums of buckets add up."""
-    match = lines.groupBy("player_id", "season", "contest_id").agg(F.max("team_id").alias("team_id"), *[f(c).alias(f"{k}_{c}") for c in SUMMED for k, f in (("sum", F.sum), ("n", F.count))])
-    sums = [F.coalesce(F.sum(f"sum_{c}"), F.lit(0.0)).alias(f"sum_{c}") for c in SUMMED]
-    return match.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("matches"), *sums, *[F.sum(f"n_{c}").alias(f"n_{c}") for c in SUMMED])
+    all lines of a match lie in one bucket, so sums of buckets add up. Lines are counted ``sign`` times, which
+    tells those to take back (-1) from those to add. They move once, by player, before they are widened into sums."""
+    dealt = lines.withColumn("_sign", F.expr(sign).cast("int")).repartition("player_id", "season")
+    match = dealt.groupBy("_sign", "player_id", "season", "contest_id").agg(F.max("team_id").alias("team_id"), *[f(c).alias(f"{k}_{c}") for c in SUMMED for k, f in (("sum", F.sum), ("n", F.count))])
+    sums = [F.coalesce(F.sum(F.col("_sign") * F.col(f"sum_{c}")), F.lit(0.0)).alias(f"sum_{c}") for c in SUMMED]
+    counts = [F.sum(F.col("_sign") * F.col(f"n_{c}")).alias(f"n_{c}") for c in SUMMED]
+    return match.groupBy(*KEYS).agg(F.sum("_sign").alias("matches"), *sums, *counts)
 
 
 def _schema() -> StructType:
@@ -79,10 +82,10 @@ class SeasonView:
 
     def _add_changes(self, seen: Manifest, since: int, until: int) -> None:
         changed = self.lines.changed(since, until)
-        was, now = (partial_sums(self.lines.read(v, only=changed)) for v in (since, until))
-        numbers = [c for c in was.columns if c not in KEYS]
-        taken = was.select(*KEYS, *[(-F.col(c)).alias(c) for c in numbers])
-        difference = self._sum(taken.unionByName(now), numbers).filter(" or ".join(f"{c} <> 0" for c in numbers))
+        was, now = (self.lines.read(v, only=changed).withColumn("_times", F.lit(times)) for v, times in ((since, -1), (until, 1)))
+        difference = partial_sums(was.unionByName(now), "_times")
+        numbers = [c for c in difference.columns if c not in KEYS]
+        difference = difference.filter(" or ".join(f"{c} <> 0" for c in numbers))
         add = lambda old, new: self._sum(old.unionByName(new), numbers).filter("matches <> 0")
         self.table.merge(difference, add, notes={SOURCE: str(until)}, based_on=seen.version)
 

@@ -1,6 +1,7 @@
 from helpers import rows, tables
+from pyspark.sql import functions as F
 
-from matchlens.operators import leaderboards, people, totals, weeks
+from matchlens.operators import cumulative, leaderboards, people, totals, weeks
 
 BOX = ["contest_id", "player_id", "team_id", "season", "sets", "kills", "errors", "total_attacks", "aces", "digs", "assists", "block_solos", "block_assists", "serr"]
 
@@ -48,3 +49,14 @@ def test_transfer_uses_newest_earlier_season_and_skips_shared_names(spark):
         (40, 1, 2025, "Dee", "Z, IN", "P"), (41, 1, 2026, "Dee", "Z, IN", None)]))
     got = rows(people.transfers(t), "player_id", "transferred", "previous_season", "previous_team_id")
     assert got == [(11, True, 2023, 1), (12, True, 2024, 2), (41, False, None, None)]
+
+
+def test_season_sums_move_lines_once_and_can_take_back(spark):
+    lines = tables(spark, player_game_stats=(BOX, [
+        ("a", 1, 9, 2026, 3.0, 10.0, *[None] * 8), ("a", 1, 8, 2026, 1.0, 2.5, *[None] * 8), ("b", 1, 9, 2026, 4.0, None, *[None] * 8)])).player_game_stats
+    was = lines.withColumn("times", F.lit(-1))
+    now = lines.filter("contest_id = 'a'").withColumn("times", F.lit(1))
+    assert rows(cumulative.partial_sums(lines), *cumulative.KEYS, "matches", "sum_sets", "sum_kills", "n_kills", "sum_digs", "n_digs") == [(1, 2026, 9, 2, 8.0, 12.5, 2, 0.0, 0)]
+    difference = cumulative.partial_sums(was.unionByName(now), "times")
+    assert rows(difference, *cumulative.KEYS, "matches", "sum_sets", "sum_kills", "n_sets", "n_kills") == [(1, 2026, 9, -1, -4.0, 0.0, -1, 0)]
+    assert difference._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
