@@ -13,7 +13,8 @@ scored. A block whose bound equals the tenth score is scored, as a smaller ``doc
 nothing that belongs into the result is left out, whatever the blocks look like.
 
 A segment is scored for all items by one task; a task keeps the best rows of each item, and only those are
-shuffled. Texts are read once per block of items and never shuffled.
+shuffled. A segment's arrays, mostly zeros, are stored compressed and unpacked one segment at a time, since
+Spark hands a task many rows at once. Texts are read once per block of items and never shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,7 +168,7 @@ def build(found: DataFrame, wanted: Wanted, weight: np.ndarray, n_docs: int, n_t
         values = shares(np.asarray([r[1] for r in rows], np.int64)[of], times, n_docs, n_terms).astype("<u4")
         table = np.zeros((n, width), np.uint32)
         table[of, terms] = values
-        near = table * weight.astype(np.float32) @ directions
+        near = table.astype(np.float32) @ (weight.astype(np.float32)[:, None] * directions)
         near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-30)
         alike = near @ near.T
         by_term = np.argsort(terms, kind="stable")
@@ -198,7 +200,8 @@ def build(found: DataFrame, wanted: Wanted, weight: np.ndarray, n_docs: int, n_t
             "members": np.concatenate(members).astype("<u4"),
             "summaries": np.concatenate(summaries).astype("<u4"),
         }
-        return {c: a.tobytes() for c, a in parts.items()}
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return {c: pack(a.tobytes()) for c, a in parts.items()}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, _ = given.value
@@ -242,14 +245,15 @@ class Segment:
     """One stored row of the index, ready to be searched."""
 
     def __init__(self, row: dict[str, bytes], width: int, columns: list[np.ndarray]):
-        take = lambda c, kind: np.frombuffer(row[c], kind).astype(np.int64)
+        unpack = zstandard.ZstdDecompressor().decompress
+        take = lambda c, kind: np.frombuffer(unpack(row[c]), kind).astype(np.int64)
         self.doc_ids, self.nulls = take("doc_ids", "<i8"), take("nulls", "u1")
         n = len(self.doc_ids)
         self.table = np.zeros((n, width), np.uint32)
-        self.table[np.repeat(np.arange(n), take("widths", "<u4")), take("terms", "<u4")] = np.frombuffer(row["shares"], "<u4")
+        self.table[np.repeat(np.arange(n), take("widths", "<u4")), take("terms", "<u4")] = np.frombuffer(unpack(row["shares"]), "<u4")
         self.top = self.table.max(axis=0, initial=0).astype(np.float64)
         sizes, members = take("sizes", "<u4"), take("members", "<u4")
-        summaries = np.frombuffer(row["summaries"], "<u4")
+        summaries = np.frombuffer(unpack(row["summaries"]), "<u4")
         self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         block = posting = cell = 0
         for t, n_blocks in zip(take("lists", "<u4").tolist(), take("blocks", "<u4").tolist()):

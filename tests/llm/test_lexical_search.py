@@ -117,3 +117,14 @@ def test_blocks_are_skipped_and_nothing_is_lost(spark, sf):
         score, _, doc_id = best.rows[place]
         assert [(-s, d) for s, d in zip(score.tolist(), doc_id.tolist())] == sorted(everything)[:10]
     assert scored < all_of
+
+
+def test_stored_segments_are_packed(spark):
+    docs = documents(spark, [(i, f"alpha beta{i} gamma{i % 7}") for i in range(300)]).repartition(1)
+    wanted = lexical_search.Wanted.of([(0, [b"alpha", *(f"beta{i}".encode() for i in range(300))], [1] * 301)])
+    index = lexical_search.build(lexical_search.vectors(docs, wanted), wanted, np.ones(301), 300, 900)
+    (row,) = index.collect()
+    whole = lexical_search.Segment({c: row[c] for c in index.columns}, 301, [wanted.columns(h) for h in wanted.holders()])
+    size, members, summaries = whole.lists[0]
+    assert size.sum() == 300 and sorted(members.tolist()) == list(range(300))
+    assert len(row["summaries"]) < summaries.nbytes / 2
