@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -157,17 +158,18 @@ def _frame_hash(frames: np.ndarray) -> np.ndarray:
 class RunIndex(NamedTuple):
     """A run-compressed Burrows-Wheeler transform of passages.
 
-    Row j lies in run r with ``begin[r] <= j``; the LF step takes it to ``target[r] + j - begin[r]``.
-    ``sample[r]`` is the text position of the run's last row. ``classes`` are the first rows of the
-    intervals that start with the same ``LENGTH`` bytes, ``least`` the smallest document in each, ``LAST``
-    where fewer bytes follow.
+    Row j lies in run r = ``run[j]``, which counts the run heads up to j; ``begin[r]`` is its first row, and
+    the LF step takes j to ``target[r] + j - begin[r]``. ``sample[r]`` is the text position of the run's last
+    row. ``interval[j]`` numbers the intervals of rows that start with the same ``LENGTH`` bytes, ``least`` is
+    the smallest document in each, ``LAST`` where fewer bytes follow.
     """
 
     begin: np.ndarray
+    run: np.ndarray
     symbol: np.ndarray
     target: np.ndarray
     sample: np.ndarray
-    classes: np.ndarray
+    interval: np.ndarray
     least: np.ndarray
 
 
@@ -187,7 +189,7 @@ def suffix_order(text: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple
     passages = int(number[-1]) + 1 if n else 0
     span, at_32 = 8, None
     while True:
-        order = np.argsort(key)
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
         rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32) if n else 0
@@ -207,18 +209,23 @@ def suffix_order(text: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple
         span *= 2
 
 
+def _upto(heads: np.ndarray) -> np.ndarray:
+    """Of every row the number of the head that it lies behind."""
+    return np.cumsum(heads, dtype=np.int32) - np.int32(1)
+
+
 def build_index(text: np.ndarray, end: np.ndarray, number: np.ndarray, documents: np.ndarray) -> RunIndex:
     """Index of passages; ``documents`` holds the smallest document of each."""
     order, rank = suffix_order(text, end, number)
     n = len(order)
     before = text[order - 1]
     starts = np.r_[True, before[1:] != before[:-1]]
-    begin = np.flatnonzero(starts)
+    begin = np.flatnonzero(starts).astype(np.int32)
     symbol = before[begin]
     length = np.diff(np.r_[begin, n])
     # Rows that start with a symbol come in the order of the rows that it stands before.
     by_symbol = np.argsort(symbol, kind="stable")
-    target = np.empty(len(begin), np.int64)
+    target = np.empty(len(begin), np.int32)
     target[by_symbol] = np.cumsum(length[by_symbol]) - length[by_symbol]
     sample = order[begin + length - 1]
 
@@ -226,9 +233,10 @@ def build_index(text: np.ndarray, end: np.ndarray, number: np.ndarray, documents
     shift = LENGTH - 32
     second = rank[np.minimum(order + shift, n - 1)]
     same = long[1:] & long[:-1] & (rank[order[1:]] == rank[order[:-1]]) & (second[1:] == second[:-1])
-    classes = np.flatnonzero(np.r_[True, ~same])
+    heads = np.r_[True, ~same]
     of_row = np.where(long, documents[number[order]], LAST)
-    return RunIndex(begin, symbol, target, sample, classes, np.minimum.reduceat(of_row, classes))
+    least = np.minimum.reduceat(of_row, np.flatnonzero(heads))
+    return RunIndex(begin, _upto(starts), symbol, target, sample, _upto(heads), least)
 
 
 def stream(index: RunIndex, count: int, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -238,17 +246,17 @@ def stream(index: RunIndex, count: int, lengths: np.ndarray) -> Iterator[tuple[i
     has the next ``LENGTH`` bytes (``LAST`` if there are fewer). A passage's end is the row of its number.
     """
     walking = np.arange(count)
-    row = np.arange(count)
+    row = np.arange(count, dtype=np.int32)
+    onward = index.target - index.begin
+    # The shortest passages have walked to their beginnings first.
+    ending = np.bincount(lengths, minlength=1)
     for step in range(1, int(lengths.max(initial=0)) + 1):
-        walking_on = lengths[walking] >= step
-        walking, row = walking[walking_on], row[walking_on]
-        run = np.searchsorted(index.begin, row, "right") - 1
-        row = index.target[run] + row - index.begin[run]
-        # In the order of rows, neighbours look into the same part of the runs.
-        order = np.argsort(row)
-        walking, row = walking[order], row[order]
+        if ending[step - 1]:
+            walking_on = lengths[walking] >= step
+            walking, row = walking[walking_on], row[walking_on]
+        row += onward[index.run[row]]
         if step >= LENGTH:
-            yield step, walking, index.least[np.searchsorted(index.classes, row, "right") - 1]
+            yield step, walking, index.least[index.interval[row]]
 
 
 def string_starts(frames: np.ndarray) -> np.ndarray:
@@ -257,6 +265,38 @@ def string_starts(frames: np.ndarray) -> np.ndarray:
     return inside[:, LENGTH:] - inside[:, :-LENGTH] == LENGTH
 
 
+def may_meet(frames: np.ndarray) -> np.ndarray:
+    """Which of the distinct frames can have a string in common with another one.
+
+    A string holds its anchor and at least ``REACH // 2`` bytes before or after it; frames with a common
+    string have the same anchor and the same bytes on that side.
+    """
+    found = np.zeros(len(frames), bool)
+    for low, high in ((REACH - REACH // 2, REACH + GRAM), (REACH, REACH + GRAM + REACH // 2)):
+        side = np.zeros((len(frames), -(-(high - low) // 8) * 8), np.uint8)
+        side[:, : high - low] = frames[:, low:high]
+        key = np.zeros(len(frames), np.uint64)
+        for column in side.view(np.uint64).T:
+            key = mixed(key ^ column)
+        order = np.argsort(key)
+        equal = key[order[1:]] == key[order[:-1]]
+        found[order[1:][equal]] = True
+        found[order[:-1][equal]] = True
+    return found
+
+
+def strings_met(frames: np.ndarray, documents: np.ndarray, anchored: bool) -> np.ndarray:
+    """For distinct frames with their smallest documents: per frame, the smallest document that has each of
+    its strings, as ``match_masks`` says; frames that are not ``anchored`` are strings on their own."""
+    # A passage that shares no side of its anchor, or a string on its own, meets none but its equals.
+    least = np.where(string_starts(frames), documents[:, None], LAST)
+    if anchored:
+        several = np.flatnonzero(may_meet(frames))
+        if len(several):
+            least[several] = match_masks(frames[several], documents[several])
+    return least
+
+
 def match_masks(frames: np.ndarray, documents: np.ndarray) -> np.ndarray:
     """For distinct frames with their smallest documents: per frame, the smallest document that has each
     of its ``STRINGS`` strings, ``LAST`` where the frame has no whole string; sorted as given."""
@@ -341,13 +381,19 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each per worker; making them takes longer than a small row does."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays one after the other, compressed before they are stored and shuffled."""
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(a.tobytes() for a in arrays))
+    return _zstd()[0].compress(b"".join(a.tobytes() for a in arrays))
 
 
 def unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _zstd()[1].decompress(data)
 
 
 def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -361,9 +407,15 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of anchors that fill all buckets alike: an anchor's own, the least of many, is small."""
+    return mixed(hashes)
+
+
 def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct anchors of a block; then of each its distinct passages, and of each its occurrences."""
     at, hashes, first, last = anchors_in(data)
+    hashes = spread(hashes)
     frames = [np.zeros(0, np.uint64)]
     for i in range(0, len(at), FRAMES_AT_ONCE):
         part = slice(i, i + FRAMES_AT_ONCE)
@@ -417,6 +469,7 @@ def passage_rows(blocks: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
             return pd.DataFrame({c: [] for c in columns})
         block = Block(rows)
         at, hashes, begin, end = anchors_in(block.data)
+        hashes = spread(hashes)
         distinct, which = np.unique(hashes, return_inverse=True)
         code = np.concatenate([np.frombuffer(c, np.uint8) for c in codes.sort_values("bucket")["codes"]])[which]
         warm, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
@@ -465,13 +518,7 @@ def mask_rows(passages: DataFrame) -> DataFrame:
         smallest = np.full(len(first), LAST)
         np.minimum.at(smallest, which, documents)
         distinct = frames[first]
-        # A passage that is its anchor's only one, or a string on its own, meets none but its equals.
-        least = np.where(string_starts(distinct), smallest[:, None], LAST)
-        if rows["bucket"].iloc[0] >= 0:
-            _, anchor, times = np.unique(np.ascontiguousarray(distinct[:, REACH : REACH + GRAM]).view(f"V{GRAM}").ravel(), return_inverse=True, return_counts=True)
-            several = np.flatnonzero(times[anchor] > 1)
-            if len(several):
-                least[several] = match_masks(distinct[several], smallest[several])
+        least = strings_met(distinct, smallest, rows["bucket"].iloc[0] >= 0)
         masks = np.zeros(len(frames), np.uint64)
         for k in range(STRINGS):
             masks |= (least[which, k] < documents).astype(np.uint64) << np.uint64(k)

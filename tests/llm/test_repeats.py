@@ -95,3 +95,33 @@ def test_index_streams_the_text():
     for i, s in enumerate(strings):
         for k in range(len(s) - 49):
             assert least[i, k] == min(j for j, t in enumerate(strings) if s[k : k + 50] in t) + 5
+
+
+def test_anchors_fill_their_buckets_alike():
+    """A bucket's size is what one task holds, so none may be many times the others'."""
+    text = np.random.default_rng(3).integers(97, 123, 400_000).astype(np.uint8)
+    anchors, _ = repeats.passages_of(text)
+    sizes = np.bincount(repeats._bucket(anchors, 5), minlength=32)
+    assert sizes.max() < 1.3 * sizes.mean()
+
+
+def test_only_passages_that_may_meet_are_indexed(monkeypatch):
+    """Passages that have no more than the anchor in common stay out; all others are matched."""
+    rng = np.random.default_rng(4)
+    frames = rng.integers(97, 123, (60, repeats.FRAME)).astype(np.uint8)
+    frames[:, repeats.REACH : repeats.REACH + repeats.GRAM] = frames[0, repeats.REACH : repeats.REACH + repeats.GRAM]
+    sides = [(0, 1, 17, 67), (2, 3, 34, 84), (4, 5, 0, 50), (6, 7, 10, 84)]
+    for a, b, low, high in sides:
+        frames[b, low:high] = frames[a, low:high]
+    frames[[4, 8], 70:] = 255
+    frames[[9], :12] = 255
+    documents = np.arange(60) + 5
+    indexed, whole = [], repeats.match_masks
+    monkeypatch.setattr(repeats, "match_masks", lambda f, d: indexed.append(len(f)) or whole(f, d))
+    least = repeats.strings_met(frames, documents, True)
+    assert indexed == [8]
+    for i, f in enumerate(frames):
+        for k in range(repeats.STRINGS):
+            s = f[k : k + 50]
+            want = repeats.LAST if (s == 255).any() else min(5 + j for j, o in enumerate(frames) if (o[k : k + 50] == s).all())
+            assert least[i, k] == want
