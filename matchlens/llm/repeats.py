@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.llm.common import corpus, fresh_path, stored, unused
@@ -596,20 +596,29 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that was cut into is dropped. ``n_chars``, where there is such a column, is counted anew.
     """
-    key, left = unused(docs, "row_key"), unused(docs, "kept_text")
-    found = stored(remove_repeats(docs).filter("n_removed > 0").select(F.col("row_key").alias(key), whole_characters("kept").alias(left)), "kept")
-    found = found.dropDuplicates([key])
-    joined = docs.withColumn(key, row_key()).join(found, key, "left")
+    key, cuts, left = unused(docs, "row_key"), unused(docs, "cuts"), unused(docs, "kept_text")
+    edges = F.flatten(F.transform("spans", lambda s: F.array(s["begin"], s["end"])))
+    # Only spans are stored and dealt anew; texts move in the join alone.
+    found = stored(remove_repeats(docs).filter("n_removed > 0").select(F.col("row_key").alias(key), edges.alias(cuts)), "cuts")
+    joined = docs.withColumn(key, row_key()).join(found.dropDuplicates([key]), key, "left")
+    joined = joined.withColumn(left, left_over(F.when(F.col(cuts).isNotNull(), F.col("text")), F.col(cuts)))
     text = F.coalesce(F.col(left), F.col("text"))
     new = {"text": text} | ({"n_chars": F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*[(new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns])
 
 
-def whole_characters(column: str):
-    """Bytes as text, without the parts of characters that were cut into."""
+def left_over(text: Column, cuts: Column) -> Column:
+    """Texts without the bytes from each odd edge to the next, and without parts of characters that were cut into."""
+
+    def cut(t: str | None, edges: np.ndarray | None) -> str | None:
+        if t is None or edges is None:
+            return None
+        data = t.encode()
+        edges = [0, *edges.tolist(), len(data)]
+        return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore")
 
     @F.pandas_udf("string")
-    def read(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    def read(text: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, e) for t, e in zip(text, cuts)], dtype=object)
 
-    return read(column)
+    return read(text, cuts)

@@ -125,3 +125,14 @@ def test_only_passages_that_may_meet_are_indexed(monkeypatch):
             s = f[k : k + 50]
             want = repeats.LAST if (s == 255).any() else min(5 + j for j, o in enumerate(frames) if (o[k : k + 50] == s).all())
             assert least[i, k] == want
+
+
+def test_texts_are_neither_stored_nor_dealt_with_the_spans(spark, monkeypatch):
+    """What goes on to the join is as long as the spans, however long the texts are."""
+    line = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 5000)))
+    rows = [(1, line), (2, "é" + line[:2000] + "ü" + line[2500:] + "end"), (2, "é" + line[:2000] + "ü" + line[2500:] + "end"), (3, None), (4, "\u4e2d" * 20 + line[7:])]
+    kept, whole = [], repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df, name: kept.append(whole(df, name)) or kept[-1])
+    left = sorted(((r.doc_id, r.text, r.n_chars) for r in repeats.without_repeats(documents(spark, rows)).collect()), key=str)
+    assert left == [(1, line, 5000), (2, "éüend", 5), (2, "éüend", 5), (3, None, 0), (4, "\u4e2d" * 20, 20)]
+    assert "text" not in str(kept[-1].schema) and all(len(str(r)) < 500 for r in kept[-1].collect())
