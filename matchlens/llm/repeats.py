@@ -6,18 +6,21 @@ corpus is taken apart so that every two equal strings of that length meet in one
 1. Blocks. The documents are stored once, some megabytes to a block, bucketed by block, so that the
    later steps move only small tables to them.
 2. Anchors. Of the 16-byte grams in a string the one with the least hash is its anchor; equal strings
-   have equal anchors. Each block tells which anchors it has, six bytes each, and how many passages it
-   would send for each, and learns which of them stand elsewhere too. Only those go on.
-3. Passages. An occurrence of a shared anchor is sent with the strings whose anchor it is, at most 34
-   bytes on either side. Equal passages of a block are sent once, with the smallest document; passages
-   meet by anchor. An anchor that too many passages share is taken string by string instead; those meet
-   by their own hash, and as wholes.
+   have equal anchors. An occurrence of an anchor has a passage: the strings whose anchor it is, at most
+   34 bytes on either side. Each block tells the hashes of its distinct anchors and passages, with the
+   smallest document of each passage, and learns of each whether a smaller document has the very same one
+   (all its strings go), else whether other passages have its anchor. Only those go on.
+3. Passages. They are sent with their bytes, equal ones from the smallest document alone, and meet by
+   anchor. An anchor that too many passages share is taken string by string instead; those meet
+   by their own hash, and as wholes. A row holds what a block has for many anchors, so that rows stay
+   long as blocks grow in number.
 4. Index. The distinct passages of an anchor are repetitive. Their Burrows-Wheeler transform is kept as
    runs, with the suffix position sampled at every run's end, and the intervals of rows that start with
    the same ``LENGTH`` bytes with the smallest document in each. Every passage is streamed through the
    runs from its end, one LF step per byte; the row it reaches says how long a match starts there and
    whether a smaller document has it.
-5. Marks. Blocks get one bit per passage and string back, unite the marked strings and cut them out.
+5. Marks. Blocks get one bit per passage and string back, find their passages once more, unite the
+   marked strings and cut them out. Passages are moved once and stored nowhere else.
 """
 
 from __future__ import annotations
@@ -53,18 +56,23 @@ BLOCK_BYTES = 4 << 20
 SLICE = 1 << 20
 #: Passages that are cut out and hashed together.
 FRAMES_AT_ONCE = 20_000
-#: Anchors, and bytes of passages, that should meet in one task.
-ANCHORS_TOGETHER = 250_000
-PASSAGES_TOGETHER = 1 << 20
-#: Passages of one anchor, distinct in their blocks, beyond which its strings go their own ways.
+#: Passages whose hashes, and bytes of passages that, should meet in one task.
+ANCHORS_TOGETHER = 1_000_000
+PASSAGES_TOGETHER = 32 << 20
+#: Bytes of passages that are indexed together, and tasks up to which such lots are dealt one by one.
+INDEXED_TOGETHER = 1 << 18
+LOTS = 256
+#: Passages of one anchor, distinct in the corpus, beyond which its strings go their own ways.
 HOT = 30_000
 #: Stands for a null id, and for no document.
 LAST = np.iinfo(np.int64).max
 
-ANCHOR_ROWS = "bucket long, block long, anchors binary, times binary"
+ANCHOR_ROWS = "bucket long, block long, anchors binary, passages binary, firsts binary"
 CODE_ROWS = "bucket long, block long, codes binary, shared long"
-PASSAGE_ROWS = "kind int, bucket long, block long, passages binary, firsts binary, n long, places binary"
+PASSAGE_ROWS = "bucket long, block long, passages binary, firsts binary, n long"
 MASK_ROWS = "block long, bucket long, masks binary"
+#: What a block learns of a passage: no other has its anchor; others do; too many do; a smaller document has it.
+ALONE, SHARED, CROWDED, COVERED = range(4)
 
 
 # ---------------------------------------------------------------- anchors
@@ -369,18 +377,29 @@ class Block:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Six bytes of each number, plane by plane, which compresses sorted ones better."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The lower ``width`` bytes of each number, plane by plane, which compresses sorted or close ones better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(6, -1)
+def _from_planes(raw: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
     wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :6] = planes.T
+    wide[:, :width] = planes.T
     return wide.view("<u8").ravel()
 
 
+def _ids_out(documents: np.ndarray) -> bytes:
+    """Documents by their distance from the smallest."""
+    least = documents.min(keepdims=True).astype("<i8")
+    return squeezed(least, _planes(documents.astype("<i8").view("<u8") - least.view("<u8"), 8))
+
+
+def _ids_in(data: bytes) -> np.ndarray:
+    raw = unsqueezed(data)
+    return (_from_planes(raw[8:], 8) + np.frombuffer(raw, "<u8", 1)).view("<i8")
+
+
 @cache
 def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     """One of each per worker; making them takes longer than a small row does."""
@@ -412,8 +431,20 @@ def spread(hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes)
 
 
-def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct anchors of a block; then of each its distinct passages, and of each its occurrences."""
+class Passages(NamedTuple):
+    """The occurrences of anchors in a block: position, first and last string, number of its passage.
+    Passages are distinct and ordered by anchor; ``hashes`` are theirs, ``one`` is the first occurrence."""
+
+    at: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    which: np.ndarray
+    hashes: np.ndarray
+    one: np.ndarray
+
+
+def passages_of(data: np.ndarray) -> tuple[np.ndarray, Passages]:
+    """The anchors of a block's distinct passages, ascending, and the passages."""
     at, hashes, first, last = anchors_in(data)
     hashes = spread(hashes)
     frames = [np.zeros(0, np.uint64)]
@@ -426,127 +457,169 @@ def passages_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, frames = hashes[order], frames[order]
     new = np.ones(len(order), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (frames[1:] != frames[:-1])
-    anchors, begin, times = np.unique(hashes, return_index=True, return_counts=True)
-    distinct = np.add.reduceat(new.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-    return anchors, np.stack([distinct, times])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return hashes[new], Passages(at, first, last, which, frames[new], order[new])
 
 
 def anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
+    """Per block and bucket the distinct passages: 32 bits of their anchors (more would only keep a few of
+    different anchors from being sent), all of their hashes and their smallest documents."""
+
     def find(rows: pd.DataFrame) -> pd.DataFrame:
-        anchors, times = passages_of(Block(rows).data)
+        block = Block(rows)
+        anchors, found = passages_of(block.data)
+        documents = block.order[block.owner(found.at[found.one])]
         number = int(rows["block"].iloc[0])
-        rest = (anchors << np.uint64(bits)) >> np.uint64(16)
-        out = [(k, number, _planes(rest[s]), squeezed(times[:, s].astype("<u4"))) for k, s in _cuts(_bucket(anchors, bits))]
-        return pd.DataFrame(out, columns=["bucket", "block", "anchors", "times"])
+        rest = (anchors << np.uint64(bits)) >> np.uint64(32)
+        out = [(k, number, squeezed(_planes(rest[s], 4)), found.hashes[s].astype("<u8").tobytes(), _ids_out(documents[s])) for k, s in _cuts(_bucket(anchors, bits))]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANCHOR_ROWS.split(", ")])
 
     return blocks.groupBy("block").applyInPandas(find, ANCHOR_ROWS)
 
 
 def code_rows(anchors: DataFrame) -> DataFrame:
-    """Per anchor a block sent, in order: 0 it stands only there, 1 it is shared, 2 it is hot."""
+    """Per passage a block told of, in order, what it learns: ``ALONE``, ``SHARED``, ``CROWDED`` or ``COVERED``."""
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [_from_planes(a) for a in rows["anchors"]]
-        passages, occurrences = np.concatenate([np.frombuffer(unsqueezed(t), "<u4").reshape(2, -1) for t in rows["times"]], axis=1)
-        _, which = np.unique(np.concatenate(found), return_inverse=True)
-        total, passages = np.bincount(which, occurrences), np.bincount(which, passages)
-        code = ((total >= 2).astype(np.uint8) + (passages > HOT).astype(np.uint8))[which]
-        weight = np.where(code == 2, STRINGS, 1) * (code > 0) * occurrences
+        found = [_from_planes(unsqueezed(a), 4) for a in rows["anchors"]]
         ends = np.cumsum([len(f) for f in found])
+        anchor, passage = np.concatenate(found), np.frombuffer(b"".join(rows["passages"]), "<u8")
+        documents = np.concatenate([_ids_in(d) for d in rows["firsts"]])
+        order = np.lexsort([passage, anchor])
+        anchor, passage, documents = anchor[order], passage[order], documents[order]
+        heads = np.r_[True, anchor[1:] != anchor[:-1]]
+        new = heads | np.r_[True, passage[1:] != passage[:-1]]
+        least = np.minimum.reduceat(documents, np.flatnonzero(new))[np.cumsum(new) - 1]
+        several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(heads))[np.cumsum(heads) - 1]
+        code = np.empty(len(order), np.uint8)
+        code[order] = np.select([documents > least, several > HOT, several > 1], [COVERED, CROWDED, SHARED], ALONE)
+        weight = np.where(code == CROWDED, STRINGS, code == SHARED)
         parts, weights = np.split(code, ends[:-1]), np.split(weight, ends[:-1])
         return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "codes": [p.tobytes() for p in parts], "shared": [int(w.sum()) for w in weights]})
 
     return anchors.groupBy("bucket").applyInPandas(judge, CODE_ROWS)
 
 
+class Sent(NamedTuple):
+    """What a block sends: ``frames`` with their smallest ``documents``, in the order of their buckets ``home``.
+    Every whole passage, or string of a crowded one, that asks has the number of the ``passage``, its ``strings`` as
+    bits, the ``record`` that stands for it, and is ``later`` if that is of a smaller document."""
+
+    home: np.ndarray
+    frames: np.ndarray
+    documents: np.ndarray
+    passage: np.ndarray
+    strings: np.ndarray
+    record: np.ndarray
+    later: np.ndarray
+
+
+def sent_by(block: Block, anchors: np.ndarray, found: Passages, code: np.ndarray, bits: int) -> Sent:
+    warm, hot = np.flatnonzero(code == SHARED), np.flatnonzero(code == CROWDED)
+    first, last = found.first[found.one], found.last[found.one]
+    passage, strings, asked = [warm], [np.stack([first[warm], last[warm]], 1)], [np.full(len(warm), (1 << STRINGS) - 1, np.uint64)]
+    for k in range(STRINGS):
+        whole = hot[(first[hot] <= k) & (k <= last[hot])]
+        passage.append(whole)
+        strings.append(np.full((len(whole), 2), k, np.uint8))
+        asked.append(np.full(len(whole), 1 << k, np.uint64))
+    passage, strings, asked = np.concatenate(passage), np.concatenate(strings), np.concatenate(asked)
+    places = found.at[found.one[passage]]
+    frames = passages_at(block.data, places, strings[:, 0], strings[:, 1])
+    bucket = _bucket(anchors[passage], bits)
+    # Strings on their own have buckets below zero, by their hash.
+    bucket[len(warm) :] = -1 - _bucket(_frame_hash(frames[len(warm) :]), bits)
+    own = block.order[block.owner(places)]
+    records, one, which = np.unique(_as_records(frames), return_index=True, return_inverse=True)
+    smallest = np.full(len(records), LAST)
+    np.minimum.at(smallest, which, own)
+    by_bucket = np.argsort(bucket[one], kind="stable")
+    place = np.empty(len(records), np.int64)
+    place[by_bucket] = np.arange(len(records))
+    return Sent(bucket[one][by_bucket], frames[one[by_bucket]], smallest[by_bucket], passage, asked, place[which], own > smallest[which])
+
+
+def _codes_of(codes: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.frombuffer(c, np.uint8) for c in codes.sort_values("bucket")["codes"]])
+
+
 def passage_rows(blocks: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
-    """Rows of kind 0, distinct passages of a block for a bucket, with the smallest document of each;
-    and one row of kind 1 per block, where its passages are."""
+    """The passages a block sends to a bucket, with the smallest document of each."""
 
     def collect(rows: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in PASSAGE_ROWS.split(", ")]
-        if rows.empty or codes.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        block = Block(rows)
-        at, hashes, begin, end = anchors_in(block.data)
-        hashes = spread(hashes)
-        distinct, which = np.unique(hashes, return_inverse=True)
-        code = np.concatenate([np.frombuffer(c, np.uint8) for c in codes.sort_values("bucket")["codes"]])[which]
-        warm, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
-        taken, strings = [warm], [np.stack([begin[warm], end[warm]], 1)]
-        for k in range(STRINGS):
-            whole = hot[(begin[hot] <= k) & (k <= end[hot])]
-            taken.append(whole)
-            strings.append(np.full((len(whole), 2), k, np.uint8))
-        taken, strings = np.concatenate(taken), np.concatenate(strings)
-        if not len(taken):
-            return pd.DataFrame({c: [] for c in columns})
-        places = at[taken]
-        frames = passages_at(block.data, places, strings[:, 0], strings[:, 1])
-        bucket = _bucket(hashes[taken], bits)
-        # Strings on their own have buckets below zero, by their hash.
-        bucket[len(warm) :] = -1 - _bucket(_frame_hash(frames[len(warm) :]), bits)
-        owner = block.owner(places)
-        # Distinct (bucket, passage); documents are in order, so the first to have it is the smallest.
-        records, first, which = np.unique(_as_records(frames), return_index=True, return_inverse=True)
-        smallest = np.full(len(records), len(block.order))
-        np.minimum.at(smallest, which, owner)
-        home = bucket[first]
-        by_bucket = np.argsort(home, kind="stable")
-        place = np.empty(len(records), np.int64)
-        place[by_bucket] = np.arange(len(records))
-        sent, documents = frames[first[by_bucket]], block.order[smallest[by_bucket]]
-        number = int(rows["block"].iloc[0])
-        out = [(0, k, number, squeezed(sent[s]), squeezed(documents[s].astype("<i8")), s.stop - s.start, None) for k, s in _cuts(home[by_bucket])]
-        record = place[which]
-        # A later document with a passage that the block met before has all its strings from there.
-        later = block.order[owner] > documents[record]
-        state = (owner.astype("<u4") << 1 | later, (places - block.starts[owner]).astype("<u4"), record.astype("<u4"), strings)
-        out.append((1, -1, number, None, None, len(places), squeezed(*state)))
-        return pd.DataFrame(out, columns=columns)
+        out = []
+        if len(rows) and len(codes) and codes["shared"].any():
+            block = Block(rows)
+            sent = sent_by(block, *passages_of(block.data), _codes_of(codes), bits)
+            number = int(rows["block"].iloc[0])
+            out = [(k, number, squeezed(sent.frames[s]), _ids_out(sent.documents[s]), s.stop - s.start) for k, s in _cuts(sent.home)]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGE_ROWS.split(", ")])
 
     return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(collect, PASSAGE_ROWS)
 
 
+def _lots(frames: np.ndarray, anchored: bool) -> Iterator[np.ndarray]:
+    """Which frames are indexed together: those with one anchor, or else equal ones, are."""
+    bits = _bits(len(frames) * FRAME / INDEXED_TOGETHER)
+    if anchored:
+        first, second = np.ascontiguousarray(frames[:, REACH : REACH + GRAM]).view("<u8").T
+        lot = _bucket(mixed(first ^ mixed(second)), bits)
+    else:
+        # The upper bits told the task.
+        lot = _bucket(mixed(_frame_hash(frames)), bits)
+    order = np.argsort(lot, kind="stable")
+    for _, s in _cuts(lot[order]):
+        yield order[s]
+
+
 def mask_rows(passages: DataFrame) -> DataFrame:
     """Per passage a block sent, in order, which of its strings a smaller document has."""
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         frames = np.frombuffer(b"".join(map(unsqueezed, rows["passages"])), np.uint8).reshape(-1, FRAME)
-        documents = np.frombuffer(b"".join(map(unsqueezed, rows["firsts"])), "<i8")
-        _, first, which = np.unique(_as_records(frames), return_index=True, return_inverse=True)
-        smallest = np.full(len(first), LAST)
-        np.minimum.at(smallest, which, documents)
-        distinct = frames[first]
-        least = strings_met(distinct, smallest, rows["bucket"].iloc[0] >= 0)
+        documents = np.concatenate([_ids_in(d) for d in rows["firsts"]])
+        anchored = rows["bucket"].iloc[0] >= 0
         masks = np.zeros(len(frames), np.uint64)
-        for k in range(STRINGS):
-            masks |= (least[which, k] < documents).astype(np.uint64) << np.uint64(k)
+        for lot in _lots(frames, anchored):
+            own = documents[lot]
+            records, first, which = np.unique(_as_records(frames[lot]), return_index=True, return_inverse=True)
+            smallest = np.full(len(first), LAST)
+            np.minimum.at(smallest, which, own)
+            least = strings_met(frames[lot[first]], smallest, anchored)
+            for k in range(STRINGS):
+                masks[lot] |= (least[which, k] < own).astype(np.uint64) << np.uint64(k)
         parts = np.split(masks, np.cumsum(rows["n"].to_numpy())[:-1])
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "masks": [squeezed(m.astype("<u8")) for m in parts]})
 
-    return passages.filter("kind = 0").select("bucket", "block", "passages", "firsts", "n").groupBy("bucket").applyInPandas(index, MASK_ROWS)
+    return passages.groupBy("bucket").applyInPandas(index, MASK_ROWS)
 
 
-def _covered(block: Block, marks: pd.DataFrame) -> np.ndarray:
+def _covered(block: Block, marks: pd.DataFrame, bits: int) -> np.ndarray:
     """Which bytes of the block's array go."""
     begins = np.zeros(len(block.data) + 1, bool)
-    state = marks[marks["places"].notna()]
-    if len(state):
-        n, raw = int(state["n"].iloc[0]), unsqueezed(state["places"].iloc[0])
-        row, at, record = (np.frombuffer(raw, "<u4", n, 4 * n * k).astype(np.int64) for k in range(3))
-        strings = np.frombuffer(raw, np.uint8, 2 * n, 12 * n).reshape(-1, 2)
-        masks = np.concatenate([np.frombuffer(unsqueezed(m), "<u8") for m in marks[marks["masks"].notna()].sort_values("bucket")["masks"]])[record]
-        owner, later = row >> 1, (row & 1).astype(bool)
+    codes = marks[marks["codes"].notna()]
+    if len(codes):
+        code = _codes_of(codes)
+        anchors, found = passages_of(block.data)
+        every = np.uint64((1 << STRINGS) - 1)
+        gone = np.where(code == COVERED, every, np.uint64(0))
+        if ((code == SHARED) | (code == CROWDED)).any():
+            sent = sent_by(block, anchors, found, code, bits)
+            masks = np.concatenate([np.frombuffer(unsqueezed(m), "<u8") for m in marks[marks["masks"].notna()].sort_values("bucket")["masks"]])
+            np.bitwise_or.at(gone, sent.passage, np.where(sent.later, every, masks[sent.record]) & sent.strings)
+        # A later document with a passage that the block met before has all its strings from there.
+        owner = block.owner(found.at)
+        later = block.order[owner] > block.order[owner[found.one]][found.which]
+        gone = np.where(later, every, gone[found.which])
         for k in range(STRINGS):
-            own = (strings[:, 0] <= k) & (k <= strings[:, 1])
-            go = own & (later | (masks >> np.uint64(k) & np.uint64(1)).astype(bool))
-            begins[block.starts[owner[go]] + at[go] - REACH + k] = True
+            go = (found.first <= k) & (k <= found.last) & (gone >> np.uint64(k) & np.uint64(1)).astype(bool)
+            begins[found.at[go] - REACH + k] = True
     upto = np.cumsum(begins)
     return upto[:-1] - np.r_[np.zeros(min(LENGTH, len(block.data)), upto.dtype), upto[: max(0, len(block.data) - LENGTH)]] > 0
 
 
-def cut_rows(blocks: DataFrame, marks: DataFrame, with_text: bool) -> DataFrame:
+def cut_rows(blocks: DataFrame, marks: DataFrame, bits: int, with_text: bool) -> DataFrame:
     schema = "doc_id long, row_key string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", spans array<struct<begin:long,end:long>>, kept binary" if with_text else ""
 
@@ -554,7 +627,7 @@ def cut_rows(blocks: DataFrame, marks: DataFrame, with_text: bool) -> DataFrame:
         if rows.empty:
             return pd.DataFrame({c.split()[0].split(":")[0]: [] for c in ("doc_id", "row_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("spans", "kept") if with_text else ()))})
         block = Block(rows)
-        covered = _covered(block, marks)
+        covered = _covered(block, marks, bits)
         out = []
         for start, n in zip(block.starts.tolist(), block.lengths.tolist()):
             gone, text = covered[start : start + n], block.data[start : start + n]
@@ -584,11 +657,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     blocks, size = store_blocks(docs)
     bits = _bits(size / 18 / ANCHORS_TOGETHER)
     codes = stored(code_rows(anchor_rows(blocks, bits)), "codes")
-    shared = codes.agg(F.sum("shared")).first()[0] or 0
-    passages = stored(passage_rows(blocks, codes.select("block", "bucket", "codes"), _bits(shared * FRAME / PASSAGES_TOGETHER)), "passages")
-    masks = mask_rows(passages)
-    marks = passages.filter("kind = 1").select("block", "bucket", "n", "places").unionByName(masks, allowMissingColumns=True)
-    return cut_rows(blocks, marks, with_text)
+    size = (codes.agg(F.sum("shared")).first()[0] or 0) * FRAME
+    told, bits = codes.select("block", "bucket", "codes", "shared"), _bits(max(size / PASSAGES_TOGETHER, min(size / INDEXED_TOGETHER, LOTS)))
+    masks = mask_rows(passage_rows(blocks, told, bits))
+    marks = told.drop("shared").unionByName(masks, allowMissingColumns=True)
+    return cut_rows(blocks, marks, bits, with_text)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

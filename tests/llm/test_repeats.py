@@ -136,3 +136,18 @@ def test_texts_are_neither_stored_nor_dealt_with_the_spans(spark, monkeypatch):
     left = sorted(((r.doc_id, r.text, r.n_chars) for r in repeats.without_repeats(documents(spark, rows)).collect()), key=str)
     assert left == [(1, line, 5000), (2, "éüend", 5), (2, "éüend", 5), (3, None, 0), (4, "\u4e2d" * 20, 20)]
     assert "text" not in str(kept[-1].schema) and all(len(str(r)) < 500 for r in kept[-1].collect())
+
+
+def test_equal_passages_are_sent_once_and_not_stored(spark, monkeypatch):
+    """Copies in many blocks cost hashes; bytes come from the smallest document, and only where passages differ."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1000)
+    rng = np.random.default_rng(6)
+    line = "".join(map(chr, rng.integers(97, 123, 2000)))
+    rows = [(i, line) for i in range(12)] + [(20, line[:900] + "-" + line[901:]), (21, "".join(map(chr, rng.integers(97, 123, 2000))))]
+    sent, kept, whole, store = [], [], repeats.mask_rows, repeats.stored
+    monkeypatch.setattr(repeats, "mask_rows", lambda p: sent.append(p) or whole(p))
+    monkeypatch.setattr(repeats, "stored", lambda df, name: kept.append(df.columns) or store(df, name))
+    assert found(repeats.remove_repeats(documents(spark, rows))) == by_hand(rows)
+    # About the changed byte passages differ from the line's; all others are alone or equal.
+    assert 0 < sum(r.n for r in sent[0].collect()) < 30
+    assert not any("passages" in columns for columns in kept)
