@@ -91,11 +91,14 @@ def new_conferences(df: DataFrame, t: Tables, label: str) -> DataFrame:
 NAME_TIERS = ("full", "tokens", "initial", "surname")
 
 
+def _tier_key(tier: str) -> Column:
+    """The key of a tier, from the plain name in ``full``."""
+    return {"full": F.col("full"), "tokens": F.array_join(name_tokens("full"), " "), "initial": initial_and_surname("full"), "surname": surname("full")}[tier]
+
+
 def _name_keys(df: DataFrame, name: str) -> DataFrame:
     df = df.withColumn("full", plain_name(name))
-    return df.withColumns({
-        "tokens": F.array_join(name_tokens("full"), " "), "initial": initial_and_surname("full"), "surname": surname("full"),
-    })
+    return df.withColumns({tier: _tier_key(tier) for tier in NAME_TIERS[1:]})
 
 
 def _word_pairs(plain: str) -> Column:
@@ -130,27 +133,62 @@ def match_names(asked: DataFrame, roster: DataFrame, group: list[str]) -> DataFr
     return found.select(*group, "name", F.coalesce("player_id", only).alias("player_id"))
 
 
+def match_names_on_teams(asked: DataFrame, roster: DataFrame) -> DataFrame:
+    """:func:`match_names` for names asked of several teams: ``season``, ``name`` and the array ``teams`` that each is asked of.
+
+    Gives ``season``, ``name`` and ``found``, an array of (``team_id``, ``player_id``) of the teams where it matched. A name
+    moves once per tier with all of its teams, in place of once per tier and team; a key holds one entry per team
+    that has it. Both arrays are bounded by the teams of a season.
+    """
+    names = asked.withColumns({"full": plain_name("name"), "found": F.expr("cast(array() as array<struct<team_id:int,player_id:bigint>>)")})
+    people = _name_keys(roster.select("season", "team_id", "player_id", F.col("name").alias("roster_name")), "roster_name")
+    ends = (F.min("player_id").alias("_a"), F.max("player_id").alias("_b"))
+    # What of a key's entries the name is asked of and has not matched at a stricter tier.
+    open_to = "filter(coalesce(_known, array()), x -> array_contains(teams, x.team_id))"
+    for tier in NAME_TIERS:
+        known = people.filter(F.coalesce(tier, F.lit("")) != "").groupBy("season", "team_id", tier).agg(*ends).filter("_a = _b")
+        known = known.groupBy("season", tier).agg(F.collect_list(F.struct("team_id", F.col("_a").alias("player_id"))).alias("_known"))
+        rows = names.withColumn("_key", _tier_key(tier)).join(known.withColumnRenamed(tier, "_key"), ["season", "_key"], "left").withColumn("_known", F.expr(open_to))
+        names = rows.select("season", "name", "full", F.concat("found", "_known").alias("found"), F.expr("filter(teams, x -> not array_contains(transform(_known, y -> y.team_id), x))").alias("teams"))
+    # Names with nothing left go along under a key that no pair has, so that the tiers are joined once.
+    words = _word_pairs("full")
+    left = names.select("season", "name", "teams", "found", F.posexplode(
+        F.when(F.expr("size(teams) > 0") & (F.size(words) > 0), words).otherwise(F.array(F.concat(F.lit("- "), "name")))).alias("pos", "pair"))
+    # What was found goes along once.
+    left = left.select("season", "name", "teams", "pair", F.when(F.col("pos") == 0, F.col("found")).alias("found"))
+    pairs = people.select("season", "team_id", "player_id", F.explode(_word_pairs("full")).alias("pair")).groupBy("season", "team_id", "pair").agg(*ends)
+    pairs = pairs.groupBy("season", "pair").agg(F.collect_list(F.struct("team_id", "_a", "_b")).alias("_known"))
+    met = left.join(pairs, ["season", "pair"], "left").select("season", "name", "found", F.expr(open_to).alias("_known")).filter("size(found) > 0 or size(_known) > 0")
+    several = met.groupBy("season", "name").agg(F.first("found", ignorenulls=True).alias("found"), F.flatten(F.collect_list("_known")).alias("_met"))
+    of_team = "filter(_met, y -> y.team_id = t)"
+    only = f"""filter(transform(array_distinct(transform(_met, y -> y.team_id)), t -> struct(t as team_id, array_min(transform({of_team}, y -> y._a)) as _a,
+        array_max(transform({of_team}, y -> y._b)) as _b)), x -> x._a = x._b)"""
+    loose = F.expr(f"transform({only}, x -> struct(x.team_id as team_id, x._a as player_id))")
+    return several.select("season", "name", F.when(F.col("found").isNull(), loose).otherwise(F.concat("found", loose)).alias("found")).filter("size(found) > 0")
+
+
 def assign_starters(lines: DataFrame, t: Tables) -> DataFrame:
     """Give each starters line to a side.
 
     ``lines`` has one row per name: ``season``, ``contest_id``, ``set_number``, ``line_no``, ``name``. The side whose roster matches more of the names gets the line; the home side on a tie, and
     nobody when no name matches.
     """
-    games = t.contests.select("contest_id", "home_team_id", "away_team_id")
-    spread = lines.join(games, "contest_id").select(
-        "season", "contest_id", "set_number", "line_no", "name", "home_team_id", "away_team_id"
-    ).withColumn("s", F.explode(F.array(
-        F.struct(F.lit(0).alias("turn"), F.col("home_team_id").alias("team_id")), F.struct(F.lit(1).alias("turn"), F.col("away_team_id").alias("team_id")))))
-    spread = spread.select("season", "contest_id", "set_number", "line_no", "name", "s.*").filter("team_id is not null")
-    roster = t.players.select("season", "team_id", F.col("id").alias("player_id"), "name")
-    found = match_names(spread, roster, ["season", "team_id"])
-    hits = spread.join(found, ["season", "team_id", "name"], "left")
+    games = t.contests.select("contest_id", F.col("home_team_id").alias("home"), F.col("away_team_id").alias("away"))
     line = ["season", "contest_id", "set_number", "line_no"]
-    counts = hits.groupBy(*line, "turn", "team_id").agg(F.count_distinct("player_id").alias("n"))
+    named = lines.filter(" and ".join(f"{c} is not null" for c in [*line, "name"])).join(games, "contest_id").select(*line, "name", "home", "away")
+    asked = named.select("season", "name", F.explode(F.array("home", "away")).alias("team_id")).filter("team_id is not null")
+    asked = asked.groupBy("season", "name").agg(F.collect_set("team_id").alias("teams"))
+    roster = t.players.select("season", "team_id", F.col("id").alias("player_id"), "name")
+    found = match_names_on_teams(asked, roster)
+    sides = F.expr("""flatten(transform(array(struct(0 as turn, home as team_id), struct(1 as turn, away as team_id)), s ->
+        transform(filter(found, x -> x.team_id = s.team_id), x -> struct(s.turn as turn, x.team_id as team_id, x.player_id as player_id))))""")
+    hits = named.join(found, ["season", "name"]).select(*line, F.explode(sides).alias("hit"))
     # A line names six players of one of two sides.
-    best = counts.groupBy(*line).agg(F.max(F.struct("n", (-F.col("turn")).alias("o"), "team_id")).alias("m")).filter("m.n > 0").select(*line, F.col("m.team_id").alias("team_id"))
-    return hits.join(best, [*line, "team_id"], "left_semi").filter("player_id is not null").select(
-        "season", "contest_id", "team_id", "set_number", "player_id").distinct()
+    whole = hits.groupBy(*line).agg(F.collect_set("hit").alias("hits"))
+    best = """array_max(transform(array_distinct(transform(hits, x -> struct(x.turn as turn, x.team_id as team_id))), s ->
+        struct(size(filter(hits, x -> x.turn = s.turn and x.team_id = s.team_id)) as n, -s.turn as o, s.team_id as team_id))).team_id"""
+    return whole.withColumn("team_id", F.expr(best)).select(
+        "season", "contest_id", "team_id", "set_number", F.explode(F.expr("transform(filter(hits, x -> x.team_id = team_id), x -> x.player_id)")).alias("player_id")).distinct()
 
 
 def match_players_on_team(df: DataFrame, t: Tables, text: str, out: str) -> DataFrame:
